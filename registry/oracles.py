@@ -117,7 +117,7 @@ CTES: dict[str, str] = {
     "repeats": """
         SELECT user_id, parent_asin,
                row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, parent_asin) - 1 AS rank
-        FROM loo WHERE split = 'train' GROUP BY ALL QUALIFY rank < 10""",
+        FROM loo WHERE split = 'train' GROUP BY user_id, parent_asin QUALIFY rank < 10""",
     "repeat_ranks": "SELECT user_id, rank FROM truth LEFT JOIN repeats USING (user_id, parent_asin)",
     "left_0": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS r FROM embeddings",
     **level_step(0),
@@ -217,10 +217,11 @@ def _oracles() -> dict[str, str]:
     return {
         "ingest_clean": with_ctes("SELECT * FROM clean"),
         "ingest_report": with_ctes("""
-            SELECT *, round(100.0 * removed / greatest(raw_rows, 1), 6) AS removed_pct,
+            SELECT *, raw_rows - rows AS removed,
+                   round(100.0 * (raw_rows - rows) / greatest(raw_rows, 1), 6) AS removed_pct,
                    round(rows / greatest(users, 1), 6) AS rows_per_user
-            FROM (SELECT (SELECT count(*) FROM raw) AS raw_rows, count(*) AS rows, raw_rows - count(*) AS removed,
-                         count(DISTINCT user_id) AS users, count(DISTINCT parent_asin) AS items,
+            FROM (SELECT count(*) AS raw_rows FROM raw),
+                 (SELECT count(*) AS rows, count(DISTINCT user_id) AS users, count(DISTINCT parent_asin) AS items,
                          min(ts_ms) AS min_ts_ms, max(ts_ms) AS max_ts_ms FROM clean)"""),
         "ingest_by_category": with_ctes("SELECT category, count(*) AS rows FROM clean GROUP BY 1"),
         "ts_digits": with_ctes("""

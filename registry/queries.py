@@ -30,6 +30,7 @@ from seqloom.sources.readers import union_all, user_sample
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 HASH_PARTITIONS = 16
+FIT_K = 32
 KS = (5, 10)
 
 
@@ -284,7 +285,7 @@ def standardize(spark, sf_dir):
 @query
 def rq_fit(spark, sf_dir):
     vectors = t.item_vectors(spark, sf_dir)
-    books = rq.fit_codebooks(vectors, levels=t.LEVELS, k=t.K, iterations=5)
+    books = rq.fit_codebooks(vectors, levels=t.LEVELS, k=FIT_K, iterations=5)
     return rq.reconstruction_error(rq.quantize(vectors, books), dim=books[0].shape[1])
 
 

@@ -13,7 +13,7 @@ from seqloom.operators.quantize import quantize
 from seqloom.operators.semantic_ids import semantic_ids
 from seqloom.operators.tokens import item_tokens
 
-LEVELS, K = 3, 32
+LEVELS, K = 3, 160
 EPOCH_MILLIS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
 
 

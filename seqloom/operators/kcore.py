@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.columns import percent, ratio
+from seqloom.plans.inspect import exchange_count
 from seqloom.schemas import ITEM, USER
 from seqloom.session import cut_lineage
 from seqloom.sources.readers import union_all
 
 STRATEGIES = ("delta", "table", "persist", "recompute")
-# After a round that removed less than this share of the rows, only the losses are followed.
+# After a round that removed less than this share of the rows, only the losses are followed; a table below this many
+# rows is rewritten instead, because the extra small jobs would cost more than its shuffles.
 DELTA_SHARE = 0.1
+DELTA_ROWS = 20_000_000
 
 
 @dataclass
@@ -43,6 +46,7 @@ def kcore(
     strategy: str = "delta",
     user: str = USER,
     item: str = ITEM,
+    delta_rows: int = DELTA_ROWS,
 ) -> KCore:
     """Each round drops users with fewer than k rows, then items with fewer than k of the rows left.
 
@@ -51,13 +55,16 @@ def kcore(
 
     Strategies differ in what a round costs, never in its result:
     `recompute` runs every earlier round again; `persist` caches each round and frees the one before; `table` writes
-    each round to the shared folder; `delta` does the same while rounds remove much, then leaves the edge table as it
-    is and follows only the keys that the previous removals touched, so a late round is two scans without a shuffle
-    of edges.
+    each round to the shared folder; `delta` does the same while rounds remove much or the table has fewer than
+    `delta_rows` rows, then leaves the edge table as it is and follows only the keys that the previous removals
+    touched, so a late round is two scans without a shuffle of edges.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
     edges = df.select(user, item).dropna()
+    if strategy in ("delta", "table") and exchange_count(edges):
+        # A round reads its edges more than once; what needs shuffles to compute is computed once.
+        edges = cut_lineage(edges)
     trace: list[tuple[int, int, float]] = []
     cached: list[DataFrame] = []
     losses: _Losses | None = None
@@ -66,7 +73,7 @@ def kcore(
         started = time.perf_counter()
         if losses is None and strategy == "delta" and len(trace) > 1:
             before, after = trace[-2][1], trace[-1][1]
-            if before - after < DELTA_SHARE * before:
+            if after >= delta_rows and before - after < DELTA_SHARE * before:
                 losses = _Losses(edges, after, k, user, item)
         if losses is not None:
             rows = losses.advance()

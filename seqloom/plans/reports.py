@@ -11,7 +11,8 @@ from seqloom.operators.enrich import enrich
 from seqloom.operators.kcore import kcore
 from seqloom.operators.sequences import loo_report, loo_split
 from seqloom.plans.inspect import join_nodes
-from seqloom.session import conf_scope
+from seqloom.schemas import ITEM, USER
+from seqloom.session import conf_scope, cut_lineage
 from seqloom.sources.writers import discard
 
 
@@ -22,7 +23,8 @@ def seconds_for(action: Callable[[], object]) -> float:
 
 
 def kcore_strategies(df: DataFrame, k: int, strategies: Sequence[str], max_rounds: int = 15) -> DataFrame:
-    """Rows and seconds of every k-core round under each strategy."""
+    """Rows and seconds of every k-core round under each strategy, all from the same stored edge table."""
+    df = cut_lineage(df.select(USER, ITEM))
     rows = []
     for strategy in strategies:
         core = kcore(df, k, max_rounds, strategy)
