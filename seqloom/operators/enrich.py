@@ -21,7 +21,7 @@ def payload_bytes(df: DataFrame) -> int:
 
 def used_items(items: DataFrame, interactions: DataFrame, item: str = ITEM) -> DataFrame:
     """Items that occur in the interactions. The distinct runs map-side first, so a hot item costs one row per task."""
-    return items.join(interactions.select(item).distinct(), item, "left_semi")
+    return items.join(interactions.select(item).distinct(), item, "left_semi").select(*items.columns)
 
 
 def enrich(
@@ -39,11 +39,10 @@ def enrich(
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
-    if strategy in ("auto", "broadcast") and payload_bytes(items) <= broadcast_limit:
-        return interactions.join(F.broadcast(items), item, "left")
-    if strategy in ("auto", "reduced_broadcast"):
+    small = strategy in ("auto", "broadcast") and payload_bytes(items) <= broadcast_limit
+    if not small and strategy in ("auto", "reduced_broadcast"):
         # Written once: it is measured and joined, and finding the used items scans all interactions.
         items = cut_lineage(used_items(items, interactions, item))
-        if payload_bytes(items) <= broadcast_limit:
-            return interactions.join(F.broadcast(items), item, "left")
-    return interactions.join(items.hint("merge"), item, "left")
+        small = payload_bytes(items) <= broadcast_limit
+    joined = interactions.join(F.broadcast(items) if small else items.hint("merge"), item, "left")
+    return joined.select(*interactions.columns, *[name for name in items.columns if name != item])

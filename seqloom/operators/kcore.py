@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.columns import percent, ratio
+from seqloom.operators.clean import require_keys
 from seqloom.plans.inspect import exchange_count
 from seqloom.schemas import ITEM, USER
 from seqloom.session import cut_lineage
@@ -61,7 +62,7 @@ def kcore(
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
-    edges = df.select(user, item).dropna()
+    edges = require_keys(df.select(user, item), [user, item])
     if strategy in ("delta", "table") and exchange_count(edges):
         # A round reads its edges more than once; what needs shuffles to compute is computed once.
         edges = cut_lineage(edges)
@@ -99,7 +100,7 @@ def kcore(
         users, items = edges.select(user).distinct(), edges.select(item).distinct()
     # Rows go only when one of their ends goes, so the core is every row between surviving users and items.
     kept = df.join(users, user, "left_semi").join(items, item, "left_semi")
-    return KCore(kept, trace, converged, cached)
+    return KCore(kept.select(*df.columns), trace, converged, cached)
 
 
 def _full_round(edges: DataFrame, k: int, user: str, item: str) -> DataFrame:

@@ -54,7 +54,7 @@ def user_sequences(
     array or aggregation group grows without bound.
     """
     placed = ranked(df.select(user, item, ts), [user], [ts, item], "pos", "n", hot_rows)
-    chunk = F.floor((F.col("pos") - 1) / chunk_items).cast("bigint")
+    chunk = F.expr(f"(pos - 1) div {chunk_items}")
     chunks = placed.groupBy(F.col(user), chunk.alias("chunk")).agg(
         F.sort_array(F.collect_list(F.struct("pos", item))).alias("_steps"),
         F.max("n").alias("n"),
@@ -71,4 +71,4 @@ def users_with_rows(df: DataFrame, low: int, high: int, user: str = USER) -> Dat
 def example_history(labelled: DataFrame, low: int = 6, high: int = 10, user: str = USER) -> DataFrame:
     """The labelled history of the first user, by id, that has between `low` and `high` rows."""
     first = users_with_rows(labelled, low, high, user).orderBy(user).limit(1).select(user)
-    return labelled.join(F.broadcast(first), user, "left_semi").orderBy("pos")
+    return labelled.join(F.broadcast(first), user, "left_semi").select(*labelled.columns).orderBy("pos")

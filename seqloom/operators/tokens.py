@@ -55,6 +55,8 @@ def examples(
     Histories are cut into blocks of `block` targets. The last `history` steps of a block are also sent to the next,
     so every example is built inside one bounded group and no group holds a whole long history.
     """
+    if block < history:
+        raise ValueError(f"block must be at least the history length {history}, not {block}")
     steps = steps.filter(F.col("n") >= MIN_ITEMS)
     pos, n = F.col("pos"), F.col("n")
     if "train" not in splits:
@@ -63,7 +65,7 @@ def examples(
         blocks = F.array(F.lit(0).cast("bigint"))
         first_target = F.lit(1)
     else:
-        own = F.floor((pos - 1) / block).cast("bigint")
+        own = F.expr(f"(pos - 1) div {block}")
         carried = (pos > (own + 1) * block - history) & (n > (own + 1) * block)
         blocks = F.when(carried, F.array(own, own + 1)).otherwise(F.array(own))
         first_target = F.col("_block") * block + 1

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from seqloom.session import build_session
 
-    session = build_session("tests", cores=8, memory="8g", shuffle_partitions=8)
+    session = build_session("tests", cores=8, memory="8g", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
