@@ -16,10 +16,10 @@ from seqloom.session import cut_lineage
 from seqloom.sources.readers import union_all
 
 STRATEGIES = ("delta", "table", "persist", "recompute")
-# After a round that removed less than this share of the rows, only the losses are followed; a table below this many
-# rows is rewritten instead, because the extra small jobs would cost more than its shuffles.
-DELTA_SHARE = 0.1
+# An edge table below this many rows is rewritten every round: following losses takes more, smaller jobs.
 DELTA_ROWS = 20_000_000
+# While losses are followed, the edge table is rewritten once fewer than this share of its rows is left.
+REWRITE_SHARE = 0.5
 
 
 @dataclass
@@ -56,9 +56,9 @@ def kcore(
 
     Strategies differ in what a round costs, never in its result:
     `recompute` runs every earlier round again; `persist` caches each round and frees the one before; `table` writes
-    each round to the shared folder; `delta` does the same while rounds remove much or the table has fewer than
-    `delta_rows` rows, then leaves the edge table as it is and follows only the keys that the previous removals
-    touched, so a late round is two scans without a shuffle of edges.
+    each round to the shared folder; `delta` does that once and for tables below `delta_rows` rows, then leaves the
+    edge table as it is and follows only the keys that the previous removals touched, so that a round with few
+    removals is two scans without a shuffle of edges.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
@@ -72,10 +72,10 @@ def kcore(
     previous, converged = None, False
     for number in range(1, max_rounds + 1):
         started = time.perf_counter()
-        if losses is None and strategy == "delta" and len(trace) > 1:
-            before, after = trace[-2][1], trace[-1][1]
-            if after >= delta_rows and before - after < DELTA_SHARE * before:
-                losses = _Losses(edges, after, k, user, item)
+        if losses is not None and losses.rows < REWRITE_SHARE * losses.stored_rows:
+            edges, losses = losses.remaining(), None
+        elif losses is None and strategy == "delta" and trace and trace[-1][1] >= max(delta_rows, 1):
+            losses = _Losses(edges, trace[-1][1], k, user, item)
         if losses is not None:
             rows = losses.advance()
         else:
@@ -117,7 +117,7 @@ class _Losses:
     """
 
     def __init__(self, edges: DataFrame, rows: int, k: int, user: str, item: str) -> None:
-        self.edges, self.rows, self.k = edges, rows, k
+        self.edges, self.rows, self.stored_rows, self.k = edges, rows, rows, k
         self.user, self.item = user, item
         self.degree = {
             key: cut_lineage(edges.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))) for key in (user, item)
@@ -149,6 +149,10 @@ class _Losses:
     def _without_gone(self, df: DataFrame, key: str) -> DataFrame:
         return df.join(union_all(self.gone[key]), key, "left_anti") if self.gone[key] else df
 
+    def remaining(self) -> DataFrame:
+        """The edges between keys that are still there."""
+        return self._without_gone(self._without_gone(self.edges, self.user), self.item)
+
     def survivors(self) -> tuple[DataFrame, DataFrame]:
         users, items = (self._without_gone(self.degree[key].select(key), key) for key in (self.user, self.item))
         return users, items

@@ -60,6 +60,15 @@ def test_delta_rounds_to_the_fixpoint(spark, seed):
     assert as_counter(core.rows) == Counter(kept)
 
 
+def test_delta_rewrites_a_table_that_has_shrunk(spark):
+    """A bare chain loses both its ends every round until nothing is left."""
+    chain = [(j, 200 + j) for j in range(7)] + [(1 + j, 200 + j) for j in range(7)]
+    _, trace, converged = plain_kcore(chain, 2)
+    core = kcore(frame(spark, chain), 2, delta_rows=0)
+    assert [entry[1] for entry in core.trace] == trace and core.converged == converged
+    assert trace[-1] == 0 and len(trace) >= 5 and core.rows.isEmpty()
+
+
 def test_core_is_a_fixpoint_and_shrinks_with_k(spark):
     rows = random_rows(7)
     three, four = (kcore(frame(spark, rows), k).rows for k in (3, 4))

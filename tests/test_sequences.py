@@ -59,7 +59,7 @@ def test_hot_users_are_sliced_with_the_same_result(spark, ties):
     found = {(r["user_id"], r["parent_asin"]): (r["pos"], r["seq_len"]) for r in sliced.collect()}
     assert found == expected and sliced.count() == len(rows)
     whole = sq.sessionize(df, hot_rows=None)
-    assert whole.exceptAll(sliced).isEmpty() and whole.schema == sliced.schema
+    assert whole.exceptAll(sliced).isEmpty() and whole.dtypes == sliced.dtypes
 
 
 def test_slices_of_a_hot_user_are_spread(spark):
