@@ -23,7 +23,7 @@ from seqloom.operators.semantic_ids import collision_report, semantic_ids, utili
 from seqloom.operators.vectors import embed, standardize
 from seqloom.plans.inspect import join_nodes
 from seqloom.schemas import ITEM, USER
-from seqloom.session import build_session
+from seqloom.session import build_session, cut_lineage
 from seqloom.sources import readers as rd
 from seqloom.sources import writers as wr
 
@@ -102,7 +102,8 @@ def run_embed(spark: SparkSession, args: argparse.Namespace) -> None:
 def run_semantic_ids(spark: SparkSession, args: argparse.Namespace) -> None:
     vectors = standardize(spark.read.parquet(args.input))
     books = rq.fit_codebooks(vectors, args.levels, args.k, args.iterations)
-    coded = rq.quantize(vectors, books)
+    # Stored, because the error report and the ID table both read the codes.
+    coded = cut_lineage(rq.quantize(vectors, books).drop("embedding"))
     show("reconstruction error", rq.reconstruction_error(coded, books[0].shape[1]).orderBy("level"))
     codes = tuple(f"c{level + 1}" for level in range(args.levels))
     wr.write_parquet(semantic_ids(coded, codes=codes), args.out)

@@ -12,6 +12,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.session import cut_lineage
+
 Codebooks = Sequence[np.ndarray]
 
 
@@ -77,17 +79,17 @@ def fit_codebooks(
     seed: int = 42,
     vector: str = "embedding",
 ) -> list[np.ndarray]:
-    """One codebook per level: k-means from k random rows, then unused codes are revived and one more step is taken."""
+    """One codebook per level: k-means from k random rows, then unused codes are revived and one more step is taken.
+
+    The residuals of each level are stored, since every k-means iteration reads them.
+    """
     codebooks: list[np.ndarray] = []
-    left = vectors.select(F.col(vector).cast("array<double>").alias("_left")).persist()
+    left = cut_lineage(vectors.select(F.col(vector).cast("array<double>").alias("_left")))
     for level in range(levels):
         codebooks.append(_fit_level(left, k, iterations, seed))
         if level + 1 < levels:
-            deeper = quantize(left, codebooks[-1:], "_left", residual="_next").select(F.col("_next").alias("_left"))
-            previous, left = left, deeper.persist()
-            left.count()
-            previous.unpersist()
-    left.unpersist()
+            deeper = quantize(left, codebooks[-1:], "_left", residual="_next")
+            left = cut_lineage(deeper.select(F.col("_next").alias("_left")))
     return codebooks
 
 

@@ -54,14 +54,15 @@ def ranked(
     pos: str = "pos",
     size: str | None = None,
     hot_rows: int | None = HOT_GROUP_ROWS,
+    search: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, and the group's row count when `size` is named.
 
     Ordinary groups take one window over one exchange. Hot groups are cut into range slices of near-equal size, ranked
     slice by slice, and shifted by the rows in earlier slices. `order` should be a total order within a group.
-    `hot_rows=None` skips the search for hot groups.
+    `hot_rows=None` skips the search for hot groups. `search` is a cheaper table to search, of which `df` is a part.
     """
-    hot = hot_groups(df, group, hot_rows) if hot_rows is not None else []
+    hot = hot_groups(df if search is None else search, group, hot_rows) if hot_rows is not None else []
     if not hot:
         return _ranked_whole(df, group, order, pos, size)
     is_hot = _group_hash(group).isin(hot)

@@ -34,7 +34,8 @@ def token_steps(
 ) -> DataFrame:
     """Interactions as (user, pos, n, item, tokens). Rows whose item has no ID are gone before positions are given."""
     mapped = interactions.select(user, item, ts).join(tokens, item)
-    return ranked(mapped, [user], [ts, item], "pos", "n", hot_rows).select(user, "pos", "n", item, "tokens")
+    placed = ranked(mapped, [user], [ts, item], "pos", "n", hot_rows, search=interactions)
+    return placed.select(user, "pos", "n", item, "tokens")
 
 
 def split_of_target() -> Column:
