@@ -294,6 +294,14 @@ def _oracles() -> dict[str, str]:
             SELECT * FROM (SELECT unnest([false, true]) AS adaptive), (
                 SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'valid') AS valid,
                        count(*) FILTER (split = 'test') AS test, count(DISTINCT user_id) AS users FROM loo)"""),
+        "repeat_cost_report": """
+            SELECT 'plan' AS mode, 0::INTEGER AS action UNION ALL SELECT 'recompute', unnest([1, 2]) UNION ALL
+            SELECT 'cached', unnest([1, 2])""",
+        "clean_schema": """
+            SELECT * FROM (VALUES (0, 'user_id', 'bigint'), (1, 'parent_asin', 'bigint'), (2, 'asin', 'bigint'),
+                (3, 'rating', 'double'), (4, 'verified_purchase', 'boolean'), (5, 'helpful_vote', 'bigint'),
+                (6, 'ts_ms', 'bigint'), (7, 'event_ts', 'timestamp'), (8, 'category', 'string'))
+                AS s(position, name, type)""",
         "user_skew": with_ctes(distribution("(SELECT count(*) AS count FROM clean GROUP BY user_id)")),
         "item_skew": with_ctes(distribution("(SELECT count(*) AS count FROM clean GROUP BY parent_asin)")),
         "hot_items": with_ctes(

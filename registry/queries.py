@@ -23,7 +23,8 @@ from seqloom.operators.prefixes import allowed_next as next_tokens
 from seqloom.operators.prefixes import prefix_table as build_prefix_table
 from seqloom.operators.ranking import ranked
 from seqloom.operators.vectors import embed, standardize as standardize_vectors
-from seqloom.plans.reports import adaptive_comparison, enrich_strategies, kcore_strategies
+from seqloom.plans.inspect import schema_listing
+from seqloom.plans.reports import adaptive_comparison, enrich_strategies, kcore_strategies, repeat_cost
 from seqloom.schemas import EOS, PAD
 from seqloom.sources.readers import union_all, user_sample
 
@@ -228,6 +229,17 @@ def aqe_report(spark, sf_dir):
     return adaptive_comparison(t.clean(spark, sf_dir)).drop("seconds")
 
 
+@query
+def repeat_cost_report(spark, sf_dir):
+    liked = t.clean(spark, sf_dir).filter(F.col("verified_purchase")).groupBy("user_id").count()
+    return repeat_cost(liked).drop("seconds")
+
+
+@query
+def clean_schema(spark, sf_dir):
+    return schema_listing(t.clean(spark, sf_dir))
+
+
 # Skew
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.columns import value_bytes
+from seqloom.plans.inspect import exchange_count
 from seqloom.schemas import ITEM
 from seqloom.session import cut_lineage
 
@@ -39,9 +40,12 @@ def enrich(
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
+    if exchange_count(items):
+        # Written once for measuring and joining. It also lets adaptive execution split hot items, which it cannot when
+        # the join reads an aggregate.
+        items = cut_lineage(items)
     small = strategy in ("auto", "broadcast") and payload_bytes(items) <= broadcast_limit
     if not small and strategy in ("auto", "reduced_broadcast"):
-        # Written once: it is measured and joined, and finding the used items scans all interactions.
         items = cut_lineage(used_items(items, interactions, item))
         small = payload_bytes(items) <= broadcast_limit
     joined = interactions.join(F.broadcast(items) if small else items.hint("merge"), item, "left")

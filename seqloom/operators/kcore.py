@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.columns import percent, ratio
 from seqloom.operators.clean import require_keys
+from seqloom.operators.ranking import HOT_GROUP_ROWS, hot_groups, in_groups
 from seqloom.plans.inspect import exchange_count
 from seqloom.schemas import ITEM, USER
-from seqloom.session import cut_lineage
+from seqloom.session import cut_lineage, drop_stored
 from seqloom.sources.readers import union_all
 
 STRATEGIES = ("delta", "table", "persist", "recompute")
@@ -48,6 +49,7 @@ def kcore(
     user: str = USER,
     item: str = ITEM,
     delta_rows: int = DELTA_ROWS,
+    hot_rows: int = HOT_GROUP_ROWS,
 ) -> KCore:
     """Each round drops users with fewer than k rows, then items with fewer than k of the rows left.
 
@@ -66,6 +68,8 @@ def kcore(
     if strategy in ("delta", "table") and exchange_count(edges):
         # A round reads its edges more than once; what needs shuffles to compute is computed once.
         edges = cut_lineage(edges)
+    stored = edges
+    hot = {key: hot_groups(edges, [key], hot_rows) for key in (user, item)}
     trace: list[tuple[int, int, float]] = []
     cached: list[DataFrame] = []
     losses: _Losses | None = None
@@ -73,15 +77,17 @@ def kcore(
     for number in range(1, max_rounds + 1):
         started = time.perf_counter()
         if losses is not None and losses.rows < REWRITE_SHARE * losses.stored_rows:
-            edges, losses = losses.remaining(), None
+            stored, edges, losses = losses.edges, losses.remaining(), None
         elif losses is None and strategy == "delta" and trace and trace[-1][1] >= max(delta_rows, 1):
             losses = _Losses(edges, trace[-1][1], k, user, item)
         if losses is not None:
             rows = losses.advance()
         else:
-            edges = _full_round(edges, k, user, item)
+            edges = _full_round(edges, k, hot)
             if strategy in ("delta", "table"):
                 edges = cut_lineage(edges)
+                drop_stored(stored)
+                stored = edges
             elif strategy == "persist":
                 edges = edges.persist()
             rows = edges.count()
@@ -97,19 +103,32 @@ def kcore(
     if losses is not None:
         users, items = losses.survivors()
     else:
-        users, items = edges.select(user).distinct(), edges.select(item).distinct()
+        users, items = (cut_lineage(edges.select(key).distinct()) for key in (user, item))
     # Rows go only when one of their ends goes, so the core is every row between surviving users and items.
     kept = df.join(users, user, "left_semi").join(items, item, "left_semi")
     return KCore(kept.select(*df.columns), trace, converged, cached)
 
 
-def _full_round(edges: DataFrame, k: int, user: str, item: str) -> DataFrame:
-    for key in (user, item):
-        enough = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= k)
-        edges = edges.join(enough.select(key), key, "left_semi")
+def _full_round(edges: DataFrame, k: int, hot: dict[str, list[int]]) -> DataFrame:
+    for key in hot:
+        enough = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= k).select(key)
+        edges = _among(edges, enough, key, hot[key])
     return edges
 
 
+def _among(edges: DataFrame, enough: DataFrame, key: str, hot: list[int]) -> DataFrame:
+    """Rows whose key is in `enough`.
+
+    Adaptive execution cannot split a join partition whose other side is an aggregate, so rows of hot keys stay where
+    they are: there are at most as many hot keys as partitions, and those that have enough rows are broadcast.
+    """
+    if not hot:
+        return edges.join(enough, key, "left_semi")
+    is_hot = in_groups([key], hot)
+    shuffled = edges.filter(~is_hot).join(enough.filter(~is_hot), key, "left_semi")
+    return shuffled.unionByName(edges.filter(is_hot).join(F.broadcast(enough.filter(is_hot)), key, "left_semi"))
+
+
 class _Losses:
     """Late rounds: the edge table stays, and small tables say which keys are gone and what the others have lost.
 

@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.session import cut_lineage
+from seqloom.session import cut_lineage, drop_stored
 
 Codebooks = Sequence[np.ndarray]
 
@@ -89,7 +89,9 @@ def fit_codebooks(
         codebooks.append(_fit_level(left, k, iterations, seed))
         if level + 1 < levels:
             deeper = quantize(left, codebooks[-1:], "_left", residual="_next")
-            left = cut_lineage(deeper.select(F.col("_next").alias("_left")))
+            previous, left = left, cut_lineage(deeper.select(F.col("_next").alias("_left")))
+            drop_stored(previous)
+    drop_stored(left)
     return codebooks
 
 

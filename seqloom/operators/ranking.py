@@ -22,6 +22,11 @@ def _group_hash(group: Sequence[str]) -> Column:
     return F.xxhash64(*group)
 
 
+def in_groups(group: Sequence[str], hashes: Sequence[int]) -> Column:
+    """Whether a row belongs to one of the groups found by `hot_groups`."""
+    return _group_hash(group).isin(list(hashes))
+
+
 def _is_small(df: DataFrame) -> bool:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
@@ -65,7 +70,7 @@ def ranked(
     hot = hot_groups(df if search is None else search, group, hot_rows) if hot_rows is not None else []
     if not hot:
         return _ranked_whole(df, group, order, pos, size)
-    is_hot = _group_hash(group).isin(hot)
+    is_hot = in_groups(group, hot)
     whole = _ranked_whole(df.filter(~is_hot), group, order, pos, size)
     return whole.unionByName(_ranked_sliced(df.filter(is_hot), group, order, pos, size))
 

@@ -6,9 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Where each table written by cut_lineage lies, as long as its DataFrame is in use.
+_stored_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def build_session(
     app: str,
@@ -74,6 +78,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/seqloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    hadoop_path, file_system = _hadoop(spark, path)
+    file_system.deleteOnExit(hadoop_path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _stored_paths[stored] = path
+    return stored
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete the files of a table that `cut_lineage` wrote and nothing reads any more; other DataFrames are left."""
+    path = _stored_paths.pop(df, None)
+    if path:
+        hadoop_path, file_system = _hadoop(df.sparkSession, path)
+        file_system.delete(hadoop_path, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())

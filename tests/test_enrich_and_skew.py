@@ -1,5 +1,7 @@
 """Join strategies, plan inspection, scoped settings and skew reports."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,9 +9,12 @@ from seqloom.functions.columns import value_bytes
 from seqloom.operators import enrich as en
 from seqloom.operators import skew as sk
 from seqloom.operators.clean import dedup_items, one_per_key
+from seqloom.operators.kcore import _full_round, kcore
+from seqloom.operators.ranking import hot_groups
+from seqloom.operators.tokens import token_steps
 from seqloom.plans import inspect as pi
 from seqloom.plans import reports as rp
-from seqloom.session import build_session, conf_scope, cut_lineage, shared_folder
+from seqloom.session import build_session, conf_scope, cut_lineage, drop_stored, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -91,6 +96,45 @@ def test_adaptive_comparison_and_repeat_cost(spark, tables):
     ]
 
 
+def test_adaptive_execution_splits_hot_keys(spark, tmp_path):
+    """One item and one user each hold a third of the rows; every shuffled join that meets them is split."""
+    n = 60_000
+    rows = spark.range(0, n, 1, 8).select(
+        F.when(F.col("id") % 3 == 1, -1).otherwise(F.col("id") % 999).alias("user_id"),
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 998).alias("parent_asin"),
+        F.col("id").alias("ts_ms"),
+    )
+    rows = cut_lineage(rows)
+    keys = rows.select("parent_asin").distinct()
+    items = cut_lineage(keys.withColumn("title", F.lit("t")))
+    tokens = cut_lineage(keys.select("parent_asin", F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("tokens")))
+    eager = {
+        "spark__sql__autoBroadcastJoinThreshold": -1,
+        "spark__sql__adaptive__autoBroadcastJoinThreshold": -1,
+        "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": 20_000,
+        "spark__sql__adaptive__skewJoin__skewedPartitionFactor": 1.5,
+        "spark__sql__adaptive__advisoryPartitionSizeInBytes": 20_000,
+        "spark__sql__shuffle__partitions": 8,
+    }
+    with conf_scope(spark, **eager):
+        core = kcore(rows, 3, max_rounds=1, hot_rows=5_000)
+        for df, joins in (
+            (en.enrich(rows, one_per_key(items, ["parent_asin"]), "merge"), 1),
+            (token_steps(rows, tokens), 1),
+            (core.rows, 2),
+        ):
+            df.collect()
+            final = pi.physical_plan(df).split("Initial Plan")[0]
+            assert final.count("SortMergeJoin(skew=true)") == joins, final
+        hot = {key: hot_groups(rows, [key], 5_000) for key in ("user_id", "parent_asin")}
+        assert [len(found) for found in hot.values()] == [1, 1]
+        edges = rows.select("user_id", "parent_asin")
+        kept = _full_round(edges, 3, hot)
+        assert pi.join_nodes(kept).count("BroadcastHashJoin") >= 2
+        plain = _full_round(edges, 3, {key: [] for key in hot})
+        assert kept.count() == plain.count() == core.rows.count() == n
+
+
 def test_narrow_plans_have_no_exchange(tables):
     rows, _ = tables
     assert pi.exchange_count(rows.filter("user_id = 1").select("ts_ms")) == 0
@@ -157,7 +201,13 @@ def test_cut_lineage_reads_what_was_written_to_the_shared_folder(spark):
     df = spark.range(10).withColumn("a", F.array("id"))
     cut = cut_lineage(df)
     assert cut.dtypes == df.dtypes and cut.count() == 10
-    assert shared_folder(spark).removeprefix("file:") in cut.inputFiles()[0]
+    folder = shared_folder(spark).removeprefix("file:")
+    assert folder in cut.inputFiles()[0]
+    files = [Path(name.removeprefix("file://")) for name in cut.inputFiles()]
+    assert all(file.exists() for file in files)
+    drop_stored(df)
+    drop_stored(cut)
+    assert not any(file.exists() for file in files)
 
 
 def test_session_settings(spark):

@@ -60,6 +60,16 @@ def test_delta_rounds_to_the_fixpoint(spark, seed):
     assert as_counter(core.rows) == Counter(kept)
 
 
+def test_hot_keys_that_fall_below_k_still_go(spark):
+    """User 0 and item 0 hold most rows, but only with partners that go, so both go with them."""
+    rows = [(0, i) for i in range(1, 60)] + [(u, 0) for u in range(1, 60)] + [(u, i) for u in range(70, 75) for i in range(70, 75)]
+    kept, trace, _ = plain_kcore(rows, 3)
+    for delta_rows in (0, 10**9):
+        core = kcore(frame(spark, rows), 3, delta_rows=delta_rows, hot_rows=20)
+        assert [entry[1] for entry in core.trace] == trace and as_counter(core.rows) == Counter(kept)
+    assert len(kept) == 25
+
+
 def test_delta_rewrites_a_table_that_has_shrunk(spark):
     """A bare chain loses both its ends every round until nothing is left."""
     chain = [(j, 200 + j) for j in range(7)] + [(1 + j, 200 + j) for j in range(7)]
