@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.columns import percent, ratio
 from seqloom.operators.clean import require_keys
-from seqloom.operators.ranking import HOT_GROUP_ROWS, hot_groups, in_groups
+from seqloom.operators.ranking import HOT_GROUP_ROWS, hot_group_lists, in_groups
 from seqloom.plans.inspect import exchange_count
 from seqloom.schemas import ITEM, USER
 from seqloom.session import cut_lineage, drop_stored
@@ -69,7 +69,7 @@ def kcore(
         # A round reads its edges more than once; what needs shuffles to compute is computed once.
         edges = cut_lineage(edges)
     stored = edges
-    hot = {key: hot_groups(edges, [key], hot_rows) for key in (user, item)}
+    hot = dict(zip((user, item), hot_group_lists(edges, [[user], [item]], hot_rows)))
     trace: list[tuple[int, int, float]] = []
     cached: list[DataFrame] = []
     losses: _Losses | None = None
@@ -120,7 +120,7 @@ def _among(edges: DataFrame, enough: DataFrame, key: str, hot: list[int]) -> Dat
     """Rows whose key is in `enough`.
 
     Adaptive execution cannot split a join partition whose other side is an aggregate, so rows of hot keys stay where
-    they are: there are at most as many hot keys as partitions, and those that have enough rows are broadcast.
+    they are: there are at most twice as many hot keys as partitions, and those with enough rows are broadcast.
     """
     if not hot:
         return edges.join(enough, key, "left_semi")

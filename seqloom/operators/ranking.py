@@ -13,9 +13,8 @@ from seqloom.session import cut_lineage
 HOT_GROUP_ROWS = 1_000_000
 # An input below one scan split is one task's work already, so looking for hot groups would only add a pass.
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
-# approx_top_k limits: entries returned, and counters kept per sketch.
-MAX_HOT_GROUPS = 10_000
-SKETCH_COUNTERS = 200_000
+# Groups are compared with rows / partitions, for at most this many partitions; approx_top_k returns up to twice that.
+MAX_PARTITIONS = 5_000
 
 
 def _group_hash(group: Sequence[str]) -> Column:
@@ -34,22 +33,30 @@ def _is_small(df: DataFrame) -> bool:
 
 
 def hot_groups(df: DataFrame, group: Sequence[str], hot_rows: int = HOT_GROUP_ROWS) -> list[int]:
-    """Hashes of the groups with more than max(`hot_rows`, rows / partitions) rows.
+    """Hashes of the groups with more than max(`hot_rows`, rows / partitions) rows; see `hot_group_lists`."""
+    return hot_group_lists(df, [group], hot_rows)[0]
 
-    One scan of the group columns feeds mergeable frequent-item sketches, so no row is shuffled. At most `partitions`
-    groups can exceed rows / partitions, which bounds the list. The sketch misses only groups that are smaller than
-    about 1/25,000 of the rows, well below any threshold used here.
+
+def hot_group_lists(
+    df: DataFrame, groups: Sequence[Sequence[str]], hot_rows: int = HOT_GROUP_ROWS
+) -> list[list[int]]:
+    """For each grouping, the hashes of the groups with more than max(`hot_rows`, rows / partitions) rows.
+
+    One scan of the group columns feeds mergeable frequent-item sketches, so no row is shuffled. A sketch with 8
+    counters per partition errs by less than half of rows / partitions. It therefore misses no group above the limit and
+    lists at most twice as many as there are partitions.
     """
     if hot_rows >= HOT_GROUP_ROWS and _is_small(df):
-        return []
-    partitions = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_HOT_GROUPS)
-    found = df.select(_group_hash(group).alias("_group")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.expr(f"approx_top_k(_group, {MAX_HOT_GROUPS}, {SKETCH_COUNTERS})").alias("top"),
-    )
-    row = found.first()
-    threshold = max(hot_rows, row["rows"] // partitions)
-    return [entry["item"] for entry in row["top"] if entry["count"] > threshold]
+        return [[] for _ in groups]
+    partitions = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS)
+    hashes = df.select(*[_group_hash(group).alias(f"g{i}") for i, group in enumerate(groups)])
+    sketches = [
+        F.expr(f"approx_top_k(g{i}, {2 * partitions}, {max(8 * partitions, 1_000)})").alias(f"top{i}")
+        for i in range(len(groups))
+    ]
+    row = hashes.agg(F.count(F.lit(1)).alias("rows"), *sketches).first()
+    limit = max(hot_rows, row["rows"] // partitions)
+    return [[entry["item"] for entry in row[f"top{i}"] if entry["count"] > limit] for i in range(len(groups))]
 
 
 def ranked(

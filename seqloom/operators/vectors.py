@@ -34,12 +34,12 @@ def hashed_ngrams(dim: int = 64, n: int = 3) -> Encoder:
             out[row] = np.bincount(buckets, minlength=dim)
         return out
 
-    return encode
+    return lambda: encode
 
 
 def embed(
     texts: DataFrame,
-    encoder_factory: Callable[[], Encoder] = hashed_ngrams,
+    encoder_factory: Callable[[], Encoder] = hashed_ngrams(),
     item: str = ITEM,
     text: str = "text",
     batch: int = 256,

@@ -28,7 +28,7 @@ def test_embedding_keeps_keys_and_whole_texts(spark):
     texts = [("a", "some text"), ("b", None), ("c", "x" * 5_000 + "tail"), ("d", "some text")]
     df = spark.createDataFrame(texts, "parent_asin STRING, text STRING").repartition(2)
     found = {r["parent_asin"]: r["embedding"] for r in embed(df, batch=1).collect()}
-    encode = hashed_ngrams()
+    encode = hashed_ngrams()()
     for key, text in texts:
         assert found[key] == encode([text or ""])[0].tolist()
     assert found["a"] == found["d"] and sum(found["c"]) == 5_002
