@@ -96,9 +96,10 @@ def fit_codebooks(
 
 
 def _fit_level(left: DataFrame, k: int, iterations: int, seed: int) -> np.ndarray:
-    model = KMeans(k=k, maxIter=iterations, initMode="random", seed=seed, featuresCol="v").fit(
-        left.select(array_to_vector("_left").alias("v"))
-    )
+    # The block solver fails when equal vectors among the starting rows leave fewer than k centres; the row solver does
+    # not, and the missing codes are revived below.
+    kmeans = KMeans(k=k, maxIter=iterations, initMode="random", seed=seed, featuresCol="v", solver="row")
+    model = kmeans.fit(left.select(array_to_vector("_left").alias("v")))
     centres = np.array(model.clusterCenters())
     coded = quantize(left, [centres], "_left").select("_left", F.get("codes", F.lit(0)).alias("code"))
     used = {row["code"] for row in coded.select("code").distinct().collect()}

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from seqloom.operators import evaluate as ev
 from seqloom.operators import quantize as rq
@@ -91,6 +92,16 @@ def test_dead_codes_move_to_distinct_points(spark):
     assert rq._lloyd_step(left, np.array([[0.0, 0.0], [900.0, 900.0]]))[1].tolist() == [900.0, 900.0]
 
 
+def test_fit_with_mostly_equal_vectors(spark):
+    """Nearly every starting row is the same vector, so k-means begins with too few centres."""
+    rows = [([0.0, 0.0],)] * 400 + [([float(i), 1.0 + i],) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "embedding ARRAY<DOUBLE>").repartition(4)
+    books = rq.fit_codebooks(df, levels=2, k=6, iterations=3)
+    assert [b.shape for b in books] == [(6, 2), (6, 2)]
+    coded = rq.quantize(df, books)
+    assert coded.select(F.get("codes", F.lit(0))).distinct().count() >= 4
+
+
 @pytest.mark.parametrize("hot_rows", [None, 100])
 def test_collision_ordinals(spark, hot_rows):
     rows = [(f"i{i:04d}", [1, 2, 3 if i % 3 else i]) for i in range(600)]
