@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,17 +59,20 @@ def conf_scope(spark: SparkSession, **settings: object) -> Iterator[SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in `spark.checkpoint.dir`; local sessions without one get a temporary folder."""
+    """The folder named in `spark.checkpoint.dir`, else the session's checkpoint folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
-    folder = tempfile.mkdtemp(prefix="seqloom-")
-    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def default_shared_folder(spark: SparkSession) -> None:
+    """For tests and single-machine runs: a temporary folder where a `local` session has none configured."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
