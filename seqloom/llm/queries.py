@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import exact_dedup, mixing, quality_rules
-from seqloom.session import default_shared_folder
+from seqloom.llm import chat, exact_dedup, mixing, packing, quality_rules, warc
+from seqloom.session import cut_lineage, default_shared_folder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_chat_prefix_targets(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.read_back(cut_lineage(chat.prefix_examples(turns)))
+
+
 @query
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -38,6 +49,19 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that the packed ids are defined by; the package is on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op4_pack_windows(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), packing.word_encoder(tokenizer_path()))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     judged = quality_rules.cascade(table(spark, sf_dir, "documents"), statistics=list(quality_rules.STATISTICS))
@@ -91,3 +115,15 @@ m AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / s
 ORACLES["op8_mix_sources"] = "WITH " + MIXED.format(docs="documents") + """
 SELECT doc_id, size, source_size, target, (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) * size AS taken FROM m
 """
+
+
+@query
+def op10_warc_archives(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    files = cut_lineage(warc.write_archives(pages, folder))
+    records = warc.read_archives(files, with_payload=False)
+    return records.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
