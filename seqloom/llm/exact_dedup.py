@@ -174,7 +174,8 @@ def _classes(docs, prints, same, key, text, chunk_bytes) -> DataFrame | None:
     texts = texts.withColumn("n_bytes", F.length("bytes").cast("long"))
     while True:
         unequal = cut_lineage(_unequal(texts, pending, chunk_bytes).join(
-            pending.select("doc_id", "text_sha256", *same).distinct(), ["doc_id", "text_sha256"]))
+            pending.select("doc_id", "text_sha256", *same).distinct(), ["doc_id", "text_sha256"]
+        ))
         drop_stored(pending)
         if unequal.isEmpty():
             drop_stored(unequal)
@@ -197,12 +198,16 @@ def _classes(docs, prints, same, key, text, chunk_bytes) -> DataFrame | None:
 
 def _unequal(texts: DataFrame, pending: DataFrame, chunk_bytes: int) -> DataFrame:
     """doc_id and digest of the pending texts that differ from their group's first text in any chunk."""
-    wanted = pending.select("doc_id", "first_id").distinct()
-    chunks = _chunked(texts.join(wanted, "doc_id").withColumn("text_sha256", F.sha2("bytes", 256)), chunk_bytes)
+    # Always by a shuffle: the list of members grows with the corpus.
+    wanted = pending.select("doc_id", "first_id").distinct().hint("merge")
+    members = texts.join(wanted, "doc_id").withColumn("text_sha256", F.sha2("bytes", 256))
+    chunks = cut_lineage(_chunked(members, chunk_bytes).drop("n_bytes", "after"))
     first = chunks.filter("doc_id = first_id").select(
         F.col("first_id").alias("of"), F.col("number").alias("at"), F.col("chunk").alias("expected")
     ).dropDuplicates(["of", "at"])
     others = chunks.filter("doc_id <> first_id")
     compared = others.join(first, (F.col("first_id") == F.col("of")) & (F.col("number") == F.col("at")), "left")
     differs = ~F.col("chunk").eqNullSafe(F.col("expected"))
-    return compared.filter(differs).select("doc_id", "text_sha256").distinct()
+    unequal = cut_lineage(compared.filter(differs).select("doc_id", "text_sha256").distinct())
+    drop_stored(chunks)
+    return unequal
