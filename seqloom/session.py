@@ -81,7 +81,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/seqloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Nothing reads this job's shuffles once the table is written.
+    with conf_scope(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     hadoop_path, file_system = _hadoop(spark, path)
     file_system.deleteOnExit(hadoop_path)
     stored = spark.read.schema(df.schema).parquet(path)
