@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, exact_dedup, mixing, packing, quality_rules, warc
+from seqloom.llm import chat, exact_dedup, mixing, packing, quality_rules, toxicity, warc
 from seqloom.session import cut_lineage, default_shared_folder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,19 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def held_out(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~held_out())
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def tokenizer_path() -> str:
     """The vocabulary file that the packed ids are defined by; the package is on every node."""
     import public_tokenizers

@@ -84,7 +84,7 @@ def write_archives(
             for page_id, target, payload, refers in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
-                    out, written, records = store.open_output_stream(f"{root}/{name}"), 0, 0
+                    out, written, records = store.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 ids = ["" if value is None else quote(str(value), safe="") for value in (page_id, refers)]
                 record = record_bytes(ids[0], target, payload, digest, None if refers is None else ids[1])
