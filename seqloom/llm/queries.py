@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, exact_dedup, mixing, packing, quality_rules, toxicity, warc
+from seqloom.llm import chat, exact_dedup, mixing, packing, quality_rules, suffix_arrays, suffix_trees, toxicity, warc
 from seqloom.session import cut_lineage, default_shared_folder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,18 @@ def op4_pack_windows(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op5_suffix_arrays(spark, sf_dir):
+    left = suffix_arrays.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_suffix_trees(spark, sf_dir):
+    left = suffix_trees.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     judged = quality_rules.cascade(table(spark, sf_dir, "documents"), statistics=list(quality_rules.STATISTICS))
