@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, exact_dedup, mixing, packing, quality_rules, suffix_arrays, suffix_trees, toxicity, warc
+from seqloom.llm import chat, exact_dedup, mixing, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees, toxicity, warc
 from seqloom.session import cut_lineage, default_shared_folder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +142,11 @@ SELECT doc_id, size, source_size, target, (floor(rate)::BIGINT + (u < rate - flo
 """
 
 
+@query
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_warc_archives(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")

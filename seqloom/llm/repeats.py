@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import doubled_hashes, mix, sliding, text_or_empty, window_hashes
@@ -37,8 +37,9 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.coalesce("doc", without).alias("doc"), "text")
 
 
-def key_again():
-    return F.when(F.col("doc") <= LAST_ID, F.col("doc")).alias("doc_id")
+def key_again(doc: str = "doc", name: str = "doc_id") -> Column:
+    """The key of a document as it was given."""
+    return F.when(F.col(doc) <= LAST_ID, F.col(doc)).alias(name)
 
 
 def occurrences(symbols: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
