@@ -1,7 +1,62 @@
-"""The corpus pipeline: quality rules, exact dedup, near dedup, mixing and packing over `documents`."""
+"""From `documents` to packed training sequences: quality rules, exact dedup, near dedup, source mixing, packing.
+
+Each stage reads all rows that the one before kept. All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from seqloom.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
+from seqloom.llm.queries import table, tokenizer_path
+from seqloom.session import cut_lineage, default_shared_folder
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    default_shared_folder(spark)
+    return quality_rules.kept_documents(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    default_shared_folder(spark)
+    return exact_dedup.distinct_documents(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    default_shared_folder(spark)
+    return near_dedup.representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    default_shared_folder(spark)
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    default_shared_folder(spark)
+    return packing.pack(docs, packing.word_encoder(tokenizer_path()))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", apply_quality_rules),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("pack", pack_sequences),
+]
+
+# Near-duplicate sampling and the tokenizer cannot be stated in SQL; tests/llm/test_pipeline.py has a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}

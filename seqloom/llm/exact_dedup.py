@@ -158,6 +158,15 @@ def exact_dedup(
     )
 
 
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that stay, with their columns: of equal texts that with the smallest doc_id, once if repeated."""
+    staying = exact_dedup(docs, key, text, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_of"))
+    rows = docs.withColumn("_sha256", F.sha2(normalised(text).cast("binary"), 256))
+    same = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_of"))
+    joined = rows.join(staying.distinct().hint("merge"), same, "left_semi")
+    return joined.dropDuplicates([key, "_sha256"]).drop("_sha256")
+
+
 def _classes(docs, prints, same, key, text, chunk_bytes) -> DataFrame | None:
     """None if all texts with equal fingerprints are equal. Else, for fingerprints shared by different texts, the class
     of every such text but those of class 0."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import (
     WHITE_SPACE_RUN, byte_rows, doubled_hashes, mix, slices, window_hashes, word_hashes, word_spans,
 )
-from seqloom.llm.repeats import key_again, keyed
+from seqloom.llm.repeats import key_again, keyed, number
 from seqloom.session import cut_lineage, drop_stored
 
 WORDS = 5
@@ -252,8 +252,23 @@ def near_duplicates(
     Links can be missed only where no band agrees, with probability (1 - s^band_rows)^bands at similarity s: 0.0008 at 0.8
     and less above. Statistics cover all documents; the driver holds 2^bits of them.
     """
-    rows = keyed(docs, key, text)
-    spark = docs.sparkSession
+    result = _members(keyed(docs, key, text), threshold, bands, band_rows, bits)
+    kept = (F.col("doc") == F.col("class")).alias("kept")
+    return result.select(key_again(), key_again("class", "class_id"), key_again("rep", "copy_of"), kept)
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS,
+                    band_rows: int = ROWS, bits: int = BUCKET_BITS) -> DataFrame:
+    """The rows of `docs` that are their class's smallest document, with their columns; a repeated one once."""
+    classes = _members(keyed(docs, key, text), threshold, bands, band_rows, bits)
+    staying = classes.filter(F.col("doc") == F.col("class")).select(F.col("doc").alias("_kept")).distinct()
+    rows = docs.withColumn("_doc", number(key, text))
+    return rows.join(staying.hint("merge"), F.col("_doc") == F.col("_kept"), "left_semi").dropDuplicates(["_doc"]).drop("_doc")
+
+
+def _members(rows: DataFrame, threshold: float, bands: int, band_rows: int, bits: int) -> DataFrame:
+    """doc, rep (the smallest doc with equal words) and class of every row."""
+    spark = rows.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(document_frequencies(rows, bits), rows.count()))
     signed = cut_lineage(_signatures(rows, idf, bands, band_rows))
     distinct = cut_lineage(signed.groupBy("d1", "d2", "bands").agg(F.min("doc").alias("rep")))
@@ -282,8 +297,7 @@ def near_duplicates(
         result = result.withColumn("class", F.col("rep"))
     else:
         result = result.join(classes, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("root", "rep"))
-    kept = (F.col("doc") == F.col("class")).alias("kept")
-    return result.select(key_again(), key_again("class", "class_id"), key_again("rep", "copy_of"), kept)
+    return result.select("doc", "rep", "class")
 
 
 def _next_pairs(members: DataFrame, classes: DataFrame | None, used: DataFrame | None, pivots_each: int):

@@ -30,11 +30,15 @@ LAST_ID = (1 << 63) - 1 - (1 << 40)
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
+def number(key: str, text: str) -> Column:
+    """A document's key. Documents without one get numbers above LAST_ID, from their texts' hashes."""
+    without = F.lit(LAST_ID + 1) + F.pmod(F.xxhash64(text_or_empty(text)), F.lit(1 << 40))
+    return F.coalesce(F.col(key).cast("long"), without)
+
+
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc and text; null text is empty. Documents without a key get numbers above LAST_ID, from their texts' hashes."""
-    rows = docs.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).alias("text"))
-    without = F.lit(LAST_ID + 1) + F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    return rows.select(F.coalesce("doc", without).alias("doc"), "text")
+    """doc, the document's number, and text; null text is empty."""
+    return docs.select(number(key, text).alias("doc"), text_or_empty(text).alias("text"))
 
 
 def key_again(doc: str = "doc", name: str = "doc_id") -> Column:
