@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from registry.queries import HASH_PARTITIONS, KS
+from registry.queries import FIT_K, FIT_LEVELS, HASH_PARTITIONS, KS
 from registry.tables import K
 from seqloom.schemas import BOS, EOS, HISTORY_ITEMS, INPUT_LENGTH, LEVEL_OFFSETS, PAD, VOCAB_SIZE
 
-ROUNDS = 8
+# The cores below end earlier; `CONVERGED` makes a query fail whose last two rounds differ.
+ROUNDS = 12
 MASK = 4294967295
 
 
@@ -74,15 +75,15 @@ def pmod(x: str, n: int) -> str:
 
 
 def level_step(level: int) -> dict[str, str]:
-    """Nearest centroid of one level for every vector, and what is left after subtracting it."""
-    low = level * K
+    """Centroids of one level, the nearest of them for every vector, and what is left after subtracting it."""
     codes = "".join(f"v.c{i}, " for i in range(1, level + 1))
     errors = "".join(f"v.e{i}, " for i in range(1, level + 1))
     kept = (codes + errors).replace("v.", "")
     return {
-        f"near_{level}": f"""SELECT v.vec_id, {codes}{errors} v.r, c.vec_id - {low} AS code, c.r AS centre,
-            row_number() OVER (PARTITION BY v.vec_id ORDER BY list_distance(v.r, c.r), c.vec_id) AS rn
-            FROM left_{level} v JOIN left_{level} c ON c.vec_id BETWEEN {low} AND {low + K - 1}""",
+        f"centre_{level}": means(f"SELECT (vec_id + {level} * (vec_id // {K})) % {K} AS code, r FROM left_{level}"),
+        f"near_{level}": f"""SELECT v.vec_id, {codes}{errors} v.r, c.code, c.r AS centre,
+            row_number() OVER (PARTITION BY v.vec_id ORDER BY list_distance(v.r, c.r), c.code) AS rn
+            FROM left_{level} v CROSS JOIN centre_{level} c""",
         f"left_{level + 1}": f"""SELECT vec_id, {kept} code AS c{level + 1},
             list_distance(r, centre) * list_distance(r, centre) AS e{level + 1},
             list_transform(list_zip(r, centre), lambda p: p[1] - p[2]) AS r
@@ -90,6 +91,34 @@ def level_step(level: int) -> dict[str, str]:
     }
 
 
+def means(rows: str) -> str:
+    """The mean vector r of each code."""
+    return f"""SELECT code, list(m ORDER BY dim) AS r FROM (SELECT code, dim, avg(x) AS m FROM
+        (SELECT code, unnest(range(len(r))) AS dim, unnest(r) AS x FROM ({rows})) GROUP BY code, dim) GROUP BY code"""
+
+
+def nearest(vectors: str, centres: str) -> str:
+    return f"""SELECT v.vec_id, v.r, c.code, c.r AS centre FROM {vectors} v CROSS JOIN {centres} c
+        QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY list_distance(v.r, c.r), c.code) = 1"""
+
+
+def fitted(vectors: str, name: str, iterations: int = 2) -> dict[str, str]:
+    """Residual quantiser fitted by plain k-means steps from the vectors numbered below FIT_K; a centre without rows stays."""
+    ctes = {f"{name}_left_0": f"SELECT vec_id, r FROM {vectors}"}
+    for level in range(FIT_LEVELS):
+        left = f"{name}_left_{level}"
+        ctes[f"{name}_{level}_0"] = f"SELECT vec_id AS code, r FROM {left} WHERE vec_id < {FIT_K}"
+        for step in range(iterations):
+            before = f"{name}_{level}_{step}"
+            ctes[f"{before}_near"] = nearest(left, before)
+            ctes[f"{name}_{level}_{step + 1}"] = f"""SELECT b.code, coalesce(m.r, b.r) AS r FROM {before} b
+                LEFT JOIN ({means(f'SELECT code, r FROM {before}_near')}) m ON m.code = b.code"""
+        ctes[f"{name}_near_{level}"] = nearest(left, f"{name}_{level}_{iterations}")
+        ctes[f"{name}_left_{level + 1}"] = f"""SELECT vec_id, list_transform(list_zip(r, centre), lambda p: p[1] - p[2]) AS r
+            FROM {name}_near_{level}"""
+    return ctes
+
+
 CTES: dict[str, str] = {
     "raw": """
         SELECT CAST(ceil(l_quantity / 10) AS DOUBLE) AS rating, l_suppkey AS asin, l_partkey AS parent_asin,
@@ -97,7 +126,6 @@ CTES: dict[str, str] = {
                l_returnflag <> 'R' AS verified_purchase, l_returnflag AS category, l_linenumber
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "clean": deduplicated("raw"),
-    "sparse": deduplicated("(SELECT * FROM raw WHERE l_linenumber = 1)"),
     "event_rows": """
         SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS parent_asin, epoch_us(ts) // 1000 AS ts_ms,
                event_type AS category FROM events""",
@@ -107,7 +135,6 @@ CTES: dict[str, str] = {
                printf('%.2f', p_retailprice) AS price, p_size / 10.0::DOUBLE AS average_rating,
                CAST(p_size AS BIGINT) AS rating_number FROM part""",
     "loo": labelled("clean"),
-    "sparse_loo": labelled("sparse"),
     "train_rows": "SELECT parent_asin, count(*) AS rows FROM loo WHERE split = 'train' GROUP BY 1",
     "popular": """
         SELECT parent_asin, rows, CAST(row_number() OVER (ORDER BY rows DESC, parent_asin) - 1 AS INTEGER) AS rank
@@ -119,6 +146,7 @@ CTES: dict[str, str] = {
                row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, parent_asin) - 1 AS rank
         FROM loo WHERE split = 'train' GROUP BY user_id, parent_asin QUALIFY rank < 10""",
     "repeat_ranks": "SELECT user_id, rank FROM truth LEFT JOIN repeats USING (user_id, parent_asin)",
+    "event_loo": labelled("event_rows"),
     "left_0": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS r FROM embeddings",
     **level_step(0),
     **level_step(1),
@@ -202,7 +230,9 @@ def example_text(seqs: str, split: str) -> str:
 
 ENRICHED = """SELECT user_id, parent_asin, ts_ms, title, description, categories, store, main_category, price,
     average_rating, rating_number FROM {} LEFT JOIN item_rows USING (parent_asin)"""
-CORE = f"SELECT user_id, parent_asin, ts_ms, rating, category FROM core_{ROUNDS}"
+CONVERGED = f"""CASE WHEN (SELECT count(*) FROM core_{ROUNDS}) = (SELECT count(*) FROM core_{ROUNDS - 1}) THEN true
+    ELSE error('more rounds are needed') END"""
+CORE = f"SELECT user_id, parent_asin, ts_ms, rating, category FROM core_{ROUNDS} WHERE {CONVERGED}"
 ROUND_ROWS = " UNION ALL ".join(f"SELECT {r}::INTEGER AS round, count(*) AS rows FROM core_{r}" for r in range(1, ROUNDS + 1))
 ROUNDS_TO_FIXPOINT = f"""SELECT round, rows FROM (SELECT *, min(CASE WHEN rows = before THEN round END) OVER () AS last
     FROM (SELECT *, lag(rows) OVER (ORDER BY round) AS before FROM ({ROUND_ROWS}))) WHERE round <= last"""
@@ -245,28 +275,42 @@ def _oracles() -> dict[str, str]:
             spark_hash("clean", "user_id"),
         ),
         "kcore_dense_k20": with_ctes(CORE, core_rounds("clean", 20)),
-        "kcore_sparse_k3": with_ctes(CORE, core_rounds("sparse", 3)),
+        "kcore_losses": with_ctes(CORE, core_rounds("clean", 23)),
+        "kcore_hot_keys": with_ctes(CORE, core_rounds("clean", 23)),
+        "kcore_dissolves_k24": with_ctes(CORE, core_rounds("clean", 24)),
+        "kcore_own_columns": with_ctes(
+            f"SELECT o_orderkey, user_id AS o_custkey, parent_asin AS o_orderpriority FROM core_{ROUNDS} WHERE {CONVERGED}",
+            core_rounds("(SELECT o_orderkey, o_custkey AS user_id, o_orderpriority AS parent_asin FROM orders)", 10),
+        ),
         "kcore_empty_k30": with_ctes(CORE, core_rounds("clean", 30)),
-        "kcore_rounds": with_ctes(ROUNDS_TO_FIXPOINT, core_rounds("sparse", 3)),
+        "kcore_rounds": with_ctes(ROUNDS_TO_FIXPOINT, core_rounds("clean", 23)),
         "kcore_report": with_ctes(
             f"""SELECT (SELECT max(round)::INTEGER FROM ({ROUNDS_TO_FIXPOINT})) AS rounds, true AS converged,
-                       (SELECT count(*) FROM sparse) AS input_rows, count(*) AS rows,
-                       round(100.0 * count(*) / greatest((SELECT count(*) FROM sparse), 1), 6) AS kept_pct,
+                       (SELECT count(*) FROM clean) AS input_rows, count(*) AS rows,
+                       round(100.0 * count(*) / greatest((SELECT count(*) FROM clean), 1), 6) AS kept_pct,
                        count(DISTINCT user_id) AS users, count(DISTINCT parent_asin) AS items,
                        round(count(*) / greatest(count(DISTINCT user_id), 1), 6) AS rows_per_user
                 FROM core_{ROUNDS}""",
-            core_rounds("sparse", 3),
+            core_rounds("clean", 23),
         ),
         "kcore_strategy_report": with_ctes(
             f"""SELECT strategy, round, rows FROM ({ROUNDS_TO_FIXPOINT}),
                 (SELECT unnest(['delta', 'table', 'persist', 'recompute']) AS strategy)""",
-            core_rounds("sparse", 3),
+            core_rounds("clean", 23),
         ),
         "sessionize": with_ctes("SELECT user_id, parent_asin, ts_ms, pos, seq_len FROM loo"),
         "sessionize_events": with_ctes(
             "SELECT user_id, parent_asin, ts_ms, category, pos, seq_len FROM event_loo",
-            {"event_loo": labelled("event_rows")},
         ),
+        "sessionize_sliced": with_ctes("SELECT user_id, parent_asin, ts_ms, pos, seq_len FROM loo"),
+        "user_sequences_chunked": with_ctes("""
+            SELECT user_id, (pos - 1) // 10 AS chunk, string_agg(parent_asin, ' ' ORDER BY pos) AS items,
+                   max(seq_len) AS n, max(seq_len) - 2 AS n_train FROM loo GROUP BY user_id, chunk"""),
+        "loo_split_own_columns": with_ctes(
+            "SELECT user_id AS o_custkey, parent_asin AS o_orderkey, pos, rev_pos, split FROM order_loo",
+            {"order_loo": labelled("(SELECT o_custkey AS user_id, o_orderkey AS parent_asin, o_orderdate AS ts_ms FROM orders)")},
+        ),
+        "dedup_items_own_column": with_ctes("SELECT parent_asin AS sku, title, store FROM item_rows"),
         "user_sequences": with_ctes("""
             SELECT user_id, 0::BIGINT AS chunk, string_agg(parent_asin, ' ' ORDER BY ts_ms, parent_asin) AS items,
                    count(*) AS n, count(*) - 2 AS n_train FROM clean GROUP BY user_id"""),
@@ -276,32 +320,39 @@ def _oracles() -> dict[str, str]:
         "loo_report": with_ctes("""
             SELECT *, valid = users AS valid_is_users, test = users AS test_is_users FROM (
                 SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'valid') AS valid,
-                       count(*) FILTER (split = 'test') AS test, count(DISTINCT user_id) AS users FROM sparse_loo)"""),
+                       count(*) FILTER (split = 'test') AS test, count(DISTINCT user_id) AS users FROM loo)"""),
         "example_user": with_ctes("""
-            SELECT user_id, parent_asin, pos, rev_pos, split FROM sparse_loo
-            WHERE user_id = (SELECT min(user_id) FROM sparse_loo WHERE seq_len BETWEEN 6 AND 10)"""),
+            SELECT user_id, parent_asin, pos, rev_pos, split FROM event_loo
+            WHERE user_id = (SELECT min(user_id) FROM event_loo WHERE seq_len BETWEEN 1 AND 200)"""),
         "enrich_merge": with_ctes(ENRICHED.format("clean")),
         "enrich_broadcast": with_ctes(ENRICHED.format("clean")),
         "enrich_reduced": with_ctes(ENRICHED.format("event_rows")),
         "enrich_auto": with_ctes(ENRICHED.format("event_rows")),
+        "enrich_over_limit": with_ctes("""
+            SELECT user_id, parent_asin, ts_ms, title, store FROM clean LEFT JOIN item_rows USING (parent_asin)"""),
+        "interactions_from_json": with_ctes("SELECT * FROM clean"),
         "used_items": with_ctes("""
             SELECT *, CAST(price AS DOUBLE) AS price_number FROM item_rows
             WHERE parent_asin IN (SELECT parent_asin FROM event_rows)"""),
-        "join_plan_report": """
-            SELECT 'merge' AS strategy, 'SortMergeJoin' AS join_node UNION ALL
-            SELECT 'broadcast', 'BroadcastHashJoin' UNION ALL SELECT 'reduced_broadcast', 'BroadcastHashJoin'""",
+        "join_plan_report": with_ctes("""
+            SELECT strategy, join_node, rows, matched FROM (VALUES ('merge', 'SortMergeJoin'),
+                ('broadcast', 'BroadcastHashJoin'), ('reduced_broadcast', 'BroadcastHashJoin')) s(strategy, join_node),
+                (SELECT count(*) AS rows, count(title) AS matched FROM clean LEFT JOIN item_rows USING (parent_asin))"""),
         "aqe_report": with_ctes("""
             SELECT * FROM (SELECT unnest([false, true]) AS adaptive), (
                 SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'valid') AS valid,
                        count(*) FILTER (split = 'test') AS test, count(DISTINCT user_id) AS users FROM loo)"""),
-        "repeat_cost_report": """
-            SELECT 'plan' AS mode, 0::INTEGER AS action UNION ALL SELECT 'recompute', unnest([1, 2]) UNION ALL
-            SELECT 'cached', unnest([1, 2])""",
-        "clean_schema": """
-            SELECT * FROM (VALUES (0, 'user_id', 'bigint'), (1, 'parent_asin', 'bigint'), (2, 'asin', 'bigint'),
-                (3, 'rating', 'double'), (4, 'verified_purchase', 'boolean'), (5, 'helpful_vote', 'bigint'),
-                (6, 'ts_ms', 'bigint'), (7, 'event_ts', 'timestamp'), (8, 'category', 'string'))
-                AS s(position, name, type)""",
+        "repeat_cost_report": with_ctes("""
+            SELECT mode, action::INTEGER AS action, CASE mode WHEN 'plan' THEN 0 ELSE rows END AS rows
+            FROM (VALUES ('plan', 0), ('recompute', 1), ('recompute', 2), ('cached', 1), ('cached', 2)) s(mode, action),
+                 (SELECT count(DISTINCT user_id) AS rows FROM clean WHERE verified_purchase)"""),
+        "clean_schema": with_ctes("SELECT position::INTEGER AS position, name, type, filled FROM (" + " UNION ALL ".join(
+            f"SELECT {i} AS position, '{name}' AS name, '{kind}' AS type, count({name}) AS filled FROM clean"
+            for i, (name, kind) in enumerate((
+                ("user_id", "bigint"), ("parent_asin", "bigint"), ("asin", "bigint"), ("rating", "double"),
+                ("verified_purchase", "boolean"), ("helpful_vote", "bigint"), ("ts_ms", "bigint"),
+                ("event_ts", "timestamp"), ("category", "string"),
+            ))) + ")"),
         "user_skew": with_ctes(distribution("(SELECT count(*) AS count FROM clean GROUP BY user_id)")),
         "item_skew": with_ctes(distribution("(SELECT count(*) AS count FROM clean GROUP BY parent_asin)")),
         "hot_items": with_ctes(
@@ -319,13 +370,30 @@ def _oracles() -> dict[str, str]:
             SELECT parent_asin, title || '. ' || replace(categories, '|', ' ') || '. ' || store || '. '
                    || replace(description, '|', ' ') AS text FROM item_rows"""),
         "embed_items": with_ctes("""
-            SELECT parent_asin, 64::INTEGER AS dims, CAST(length(title || categories || store || description) + 6 - 2
-                   AS DOUBLE) AS ngrams FROM item_rows"""),
+            SELECT parent_asin, CAST((((g * 2654435769) & 4294967295) >> 16) % 64 AS INTEGER) AS bucket, count(*)::DOUBLE AS ngrams
+            FROM (SELECT parent_asin, ord(t[i]) + 257 * ord(t[i + 1]) + 66049 * ord(t[i + 2])::BIGINT AS g
+                  FROM (SELECT parent_asin, t, unnest(range(1, length(t) - 1)) AS i
+                        FROM (SELECT parent_asin, title || '. ' || replace(categories, '|', ' ') || '. ' || store || '. '
+                                     || replace(description, '|', ' ') AS t FROM item_rows))) GROUP BY 1, 2"""),
         "standardize": """
             WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS dim,
                               CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
             s AS (SELECT dim, avg(v) AS m, stddev_samp(v) + 1e-6 AS sd FROM x GROUP BY dim)
             SELECT vec_id, CAST(dim AS INTEGER) AS dim, round((v - m) / sd, 6) AS z FROM x JOIN s USING (dim)""",
+        "rq_fit": with_ctes(
+            " UNION ALL ".join(
+                f"""SELECT {level}::INTEGER AS level, round(avg(list_inner_product(r, r) / len(r)), 6) AS mse
+                    FROM fit_left_{level + 1}""" for level in range(FIT_LEVELS)),
+            fitted("left_0", "fit"),
+        ),
+        "assign_with_stored_fit": with_ctes(
+            "SELECT vec_id, a.code || ' ' || b.code AS codes FROM fit_near_0 a JOIN fit_near_1 b USING (vec_id)",
+            {"scaled": f"""SELECT vec_id, list((v - m) / sd ORDER BY dim) AS r FROM (
+                SELECT vec_id, dim, v, avg(v) OVER (PARTITION BY dim) AS m,
+                       stddev_samp(v) OVER (PARTITION BY dim) + 1e-6 AS sd
+                FROM (SELECT vec_id, unnest(range(len(r))) AS dim, unnest(r) AS v FROM left_0)) GROUP BY vec_id""",
+             **fitted("scaled", "fit")},
+        ),
         "rq_error": with_ctes(" UNION ALL ".join(
             f"""SELECT {i}::INTEGER AS level, round(avg(e{i + 1}) / (SELECT max(len(embedding)) FROM embeddings), 6) AS mse
                 FROM coded""" for i in range(3))),
@@ -341,6 +409,7 @@ def _oracles() -> dict[str, str]:
             for i in range(3))),
         "item_tokens": with_ctes(f"SELECT parent_asin, {text('tokens')} AS tokens FROM tok"),
         "token_train": with_ctes(example_text("seqs", "train")),
+        "token_blocks": with_ctes(example_text("seqs", "train")),
         "token_valid": with_ctes(example_text("seqs", "valid")),
         "token_test": with_ctes(example_text("seqs", "test")),
         "token_test_missing_ids": with_ctes(example_text("seqs_by_id", "test")),

@@ -22,16 +22,17 @@ from seqloom.operators.itemtext import text_corpus
 from seqloom.operators.prefixes import allowed_next as next_tokens
 from seqloom.operators.prefixes import prefix_table as build_prefix_table
 from seqloom.operators.ranking import ranked
-from seqloom.operators.vectors import embed, standardize as standardize_vectors
-from seqloom.plans.inspect import schema_listing
+from seqloom.operators.vectors import embed, vector_stats, standardize as standardize_vectors
+from seqloom.plans.inspect import join_nodes, schema_listing
 from seqloom.plans.reports import adaptive_comparison, enrich_strategies, kcore_strategies, repeat_cost
 from seqloom.schemas import EOS, PAD
+from seqloom.session import cut_lineage
 from seqloom.sources.readers import union_all, user_sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 HASH_PARTITIONS = 16
-FIT_K = 32
+FIT_K, FIT_LEVELS = 32, 2
 KS = (5, 10)
 
 
@@ -122,8 +123,28 @@ def kcore_dense_k20(spark, sf_dir):
 
 
 @query
-def kcore_sparse_k3(spark, sf_dir):
-    return kc.kcore(t.sparse(spark, sf_dir).select(*CORE_COLUMNS), 3).rows
+def kcore_losses(spark, sf_dir):
+    """Losses are followed through several rounds."""
+    return kc.kcore(t.clean(spark, sf_dir).select(*CORE_COLUMNS), 23, strategy="delta").rows
+
+
+@query
+def kcore_hot_keys(spark, sf_dir):
+    """Most keys are hot, so they stay where they are."""
+    return kc.kcore(t.clean(spark, sf_dir).select(*CORE_COLUMNS), 23, strategy="table", hot_rows=25).rows
+
+
+@query
+def kcore_dissolves_k24(spark, sf_dir):
+    """Rounds until nothing is left, or little; the edge table is rewritten on the way."""
+    return kc.kcore(t.clean(spark, sf_dir).select(*CORE_COLUMNS), 24).rows
+
+
+@query
+def kcore_own_columns(spark, sf_dir):
+    """Orders under their own column names: customers and clerks."""
+    orders = t.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return kc.kcore(orders, 10, user="o_custkey", item="o_orderpriority").rows
 
 
 @query
@@ -133,18 +154,18 @@ def kcore_empty_k30(spark, sf_dir):
 
 @query
 def kcore_rounds(spark, sf_dir):
-    return kc.kcore(t.sparse(spark, sf_dir), 3).rounds.select("round", "rows")
+    return kc.kcore(t.clean(spark, sf_dir), 23).rounds.select("round", "rows")
 
 
 @query
 def kcore_report(spark, sf_dir):
-    rows = t.sparse(spark, sf_dir)
-    return rounded(kc.kcore_report(rows, kc.kcore(rows, 3)))
+    rows = t.clean(spark, sf_dir)
+    return rounded(kc.kcore_report(rows, kc.kcore(rows, 23)))
 
 
 @query
 def kcore_strategy_report(spark, sf_dir):
-    return kcore_strategies(t.sparse(spark, sf_dir), 3, kc.STRATEGIES).drop("seconds")
+    return kcore_strategies(t.clean(spark, sf_dir), 23, kc.STRATEGIES).drop("seconds")
 
 
 # Sequences and split
@@ -160,6 +181,29 @@ def sessionize_events(spark, sf_dir):
     return sq.sessionize(t.event_interactions(spark, sf_dir))
 
 
+@query
+def sessionize_sliced(spark, sf_dir):
+    """Every user with more than 20 rows is ranked in slices."""
+    return sq.sessionize(t.clean(spark, sf_dir).select("user_id", "parent_asin", "ts_ms"), hot_rows=20)
+
+
+@query
+def user_sequences_chunked(spark, sf_dir):
+    return sq.user_sequences(t.clean(spark, sf_dir), chunk_items=10).withColumn("items", joined("items"))
+
+
+@query
+def loo_split_own_columns(spark, sf_dir):
+    orders = t.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return sq.loo_split(orders, "o_custkey", "o_orderkey", "o_orderdate").drop("o_orderdate")
+
+
+@query
+def dedup_items_own_column(spark, sf_dir):
+    parts = t.items_with_copies(spark, sf_dir).withColumnRenamed("parent_asin", "sku").select("sku", "title", "store")
+    return cl.dedup_items(parts, "sku")
+
+
 @query
 def user_sequences(spark, sf_dir):
     return sq.user_sequences(t.clean(spark, sf_dir)).withColumn("items", joined("items"))
@@ -172,12 +216,12 @@ def loo_split(spark, sf_dir):
 
 @query
 def loo_report(spark, sf_dir):
-    return sq.loo_report(sq.loo_split(t.sparse(spark, sf_dir)))
+    return sq.loo_report(sq.loo_split(t.clean(spark, sf_dir)))
 
 
 @query
 def example_user(spark, sf_dir):
-    history = sq.example_history(sq.loo_split(t.sparse(spark, sf_dir)))
+    history = sq.example_history(sq.loo_split(t.event_interactions(spark, sf_dir)), 1, 200)
     return history.select("user_id", "parent_asin", "pos", "rev_pos", "split")
 
 
@@ -210,6 +254,27 @@ def enrich_auto(spark, sf_dir):
     return enriched(t.event_interactions(spark, sf_dir), cl.dedup_items(t.items_with_copies(spark, sf_dir)), "auto")
 
 
+@query
+def enrich_over_limit(spark, sf_dir):
+    """Metadata above the limit is merged, although a broadcast was asked for."""
+    items = cl.dedup_items(t.items_with_copies(spark, sf_dir))
+    rows = t.clean(spark, sf_dir).select("user_id", "parent_asin", "ts_ms")
+    joined_rows = en.enrich(rows, items, "broadcast", broadcast_limit=1)
+    if "SortMergeJoin" not in join_nodes(joined_rows):
+        raise AssertionError("a join side above the limit was broadcast")
+    return joined_rows.select("user_id", "parent_asin", "ts_ms", "title", "store")
+
+
+@query
+def interactions_from_json(spark, sf_dir):
+    """Interactions written as JSON lines and parsed with the explicit schema, as the readers do."""
+    raw = t.raw_interactions(spark, sf_dir)
+    lines = raw.select(F.to_json(F.struct(*raw.columns)).alias("line"), "category")
+    schema = "rating DOUBLE, asin BIGINT, parent_asin BIGINT, user_id BIGINT, timestamp BIGINT, helpful_vote BIGINT, verified_purchase BOOLEAN"
+    parsed = lines.select(F.from_json("line", schema).alias("r"), "category").select("r.*", "category")
+    return cl.ingest(parsed)
+
+
 @query
 def used_items(spark, sf_dir):
     items = cl.dedup_items(t.items_with_copies(spark, sf_dir))
@@ -221,7 +286,7 @@ def used_items(spark, sf_dir):
 @query
 def join_plan_report(spark, sf_dir):
     items = cl.dedup_items(t.items_with_copies(spark, sf_dir))
-    return enrich_strategies(t.clean(spark, sf_dir), items).select("strategy", "join_node")
+    return enrich_strategies(t.clean(spark, sf_dir), items).select("strategy", "join_node", "rows", "matched")
 
 
 @query
@@ -237,7 +302,11 @@ def repeat_cost_report(spark, sf_dir):
 
 @query
 def clean_schema(spark, sf_dir):
-    return schema_listing(t.clean(spark, sf_dir))
+    """Each column's name and type, and how many rows have it."""
+    rows = t.clean(spark, sf_dir)
+    filled = rows.agg(*[F.count(name).alias(name) for name in rows.columns])
+    counts = filled.select(F.explode(F.create_map(*[x for n in rows.columns for x in (F.lit(n), F.col(n))])).alias("name", "filled"))
+    return schema_listing(rows).join(counts, "name")
 
 
 # Skew
@@ -284,8 +353,9 @@ def item_text(spark, sf_dir):
 @query
 def embed_items(spark, sf_dir):
     vectors = embed(text_corpus(t.items(spark, sf_dir)))
-    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
-    return vectors.select("parent_asin", F.size("embedding").alias("dims"), total.alias("ngrams"))
+    return vectors.select("parent_asin", F.posexplode("embedding").alias("bucket", "ngrams")).filter("ngrams > 0").select(
+        "parent_asin", "bucket", F.col("ngrams").cast("double").alias("ngrams")
+    )
 
 
 @query
@@ -294,11 +364,29 @@ def standardize(spark, sf_dir):
     return rounded(vectors.select("vec_id", F.posexplode("embedding").alias("dim", "z")))
 
 
+def started_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors; those with the first FIT_K numbers are the starting rows of the fit."""
+    vectors = t.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.withColumn("start", F.when(F.col("vec_id") < FIT_K, F.col("vec_id").cast("int")))
+
+
 @query
 def rq_fit(spark, sf_dir):
-    vectors = t.item_vectors(spark, sf_dir)
-    books = rq.fit_codebooks(vectors, levels=t.LEVELS, k=FIT_K, iterations=5)
-    return rq.reconstruction_error(rq.quantize(vectors, books), dim=books[0].shape[1])
+    vectors = started_vectors(spark, sf_dir)
+    books = rq.fit_codebooks(vectors, FIT_LEVELS, FIT_K, iterations=2, start="start")
+    return rounded(rq.reconstruction_error(rq.quantize(vectors, books), dim=books[0].shape[1]))
+
+
+@query
+def assign_with_stored_fit(spark, sf_dir):
+    """A fit and its statistics go to a table and come back before items get their codes."""
+    vectors = started_vectors(spark, sf_dir)
+    mean, std = vector_stats(vectors)
+    fit = rq.fit_codebooks(standardize_vectors(vectors, stats=(mean, std)), FIT_LEVELS, FIT_K, iterations=2, start="start")
+    stored = cut_lineage(rq.model_table(spark, fit, mean, std))
+    books, mean, std = rq.model_from_table(stored)
+    coded = rq.quantize(standardize_vectors(vectors, stats=(mean, std)), books)
+    return coded.select("vec_id", joined("codes"))
 
 
 @query
@@ -367,6 +455,13 @@ def token_test_missing_ids(spark, sf_dir):
     return as_text(token_examples(spark, sf_dir, "test", shared=False))
 
 
+@query
+def token_blocks(spark, sf_dir):
+    """Blocks of twenty targets instead of one for most histories."""
+    steps = tk.token_steps(t.clean(spark, sf_dir), t.tokens_by_item(spark, sf_dir))
+    return as_text(tk.examples(steps, ["train"], block=20))
+
+
 @query
 def token_report(spark, sf_dir):
     rows = t.clean(spark, sf_dir)
@@ -418,20 +513,25 @@ def popularity_eval(spark, sf_dir):
     return rounded(popularity_metrics(spark, sf_dir))
 
 
-def repeat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repeat_candidates(labelled: DataFrame, tokens: DataFrame) -> DataFrame:
     """Each user's most frequent training items as decoded token strings, with the end and padding a decoder leaves."""
-    train = sq.loo_split(t.clean(spark, sf_dir)).filter(F.col("split") == "train")
+    train = labelled.filter(F.col("split") == "train")
     counts = train.groupBy("user_id", "parent_asin").agg((-F.count(F.lit(1))).alias("fewer"))
     placed = ranked(counts, ["user_id"], ["fewer", "parent_asin"]).filter(F.col("pos") <= max(KS))
-    decoded = placed.join(t.tokens_by_item(spark, sf_dir), "parent_asin")
+    decoded = placed.join(tokens, "parent_asin")
     noisy = F.concat(F.array(F.lit(PAD)), "tokens", F.array(F.lit(EOS), F.lit(PAD)))
     return decoded.select("user_id", (F.col("pos") - 1).alias("rank"), noisy.alias("tokens"))
 
 
+def repeat_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows and item tokens, each computed once."""
+    return cut_lineage(sq.loo_split(t.clean(spark, sf_dir))), cut_lineage(t.tokens_by_item(spark, sf_dir))
+
+
 def repeat_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = ev.test_targets(sq.loo_split(t.clean(spark, sf_dir)))
-    truth = targets.join(t.tokens_by_item(spark, sf_dir), "parent_asin").select("user_id", "tokens")
-    return ev.evaluate(truth, ev.decoded(repeat_candidates(spark, sf_dir)), KS, key="tokens")
+    labelled, tokens = repeat_inputs(spark, sf_dir)
+    truth = ev.test_targets(labelled).join(tokens, "parent_asin").select("user_id", "tokens")
+    return ev.evaluate(truth, ev.decoded(repeat_candidates(labelled, tokens)), KS, key="tokens")
 
 
 @query
@@ -441,8 +541,9 @@ def ranked_eval(spark, sf_dir):
 
 @query
 def sid_to_item(spark, sf_dir):
-    candidates = ev.decoded(repeat_candidates(spark, sf_dir))
-    return ev.tokens_to_items(candidates, t.tokens_by_item(spark, sf_dir)).select("user_id", "rank", "parent_asin")
+    labelled, tokens = repeat_inputs(spark, sf_dir)
+    candidates = ev.decoded(repeat_candidates(labelled, tokens))
+    return ev.tokens_to_items(candidates, tokens).select("user_id", "rank", "parent_asin")
 
 
 @query

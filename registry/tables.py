@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_interactions(spark: SparkSession, sf_dir: str, first_lines_only: bool = False) -> DataFrame:
-    """Order lines as interactions of a customer with a part; `first_lines_only` makes the sparse variant."""
+def raw_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as interactions of a customer with a part."""
     lines = table(spark, sf_dir, "lineitem")
-    if first_lines_only:
-        lines = lines.filter("l_linenumber = 1")
     orders = table(spark, sf_dir, "orders")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
@@ -46,10 +44,6 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(raw_interactions(spark, sf_dir))
 
 
-def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest(raw_interactions(spark, sf_dir, first_lines_only=True))
-
-
 def event_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as a second interaction source; the item is inside a JSON field."""
     events = table(spark, sf_dir, "events")
@@ -91,17 +85,18 @@ def item_vectors(spark: SparkSession, sf_dir: str, shared: bool = True) -> DataF
     return part.withColumn("vec_id", vec_id).join(vectors, "vec_id").select("parent_asin", "embedding")
 
 
-@lru_cache(maxsize=8)
 def fixed_codebooks(spark: SparkSession, sf_dir: str) -> list[np.ndarray]:
-    """Level l's centroids are what the earlier levels leave of vectors l*K to l*K+K-1: K rows per level."""
+    """Codebooks that SQL can state, from all vectors: level l's centroid c is the mean of what the earlier levels leave of
+    the vectors with (vec_id + l * (vec_id div K)) mod K = c. K means per level reach the driver."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     codebooks: list[np.ndarray] = []
     for level in range(LEVELS):
-        chosen = vectors.filter(F.col("vec_id").between(level * K, level * K + K - 1))
+        left = vectors.withColumn("left", F.col("embedding").cast("array<double>"))
         if codebooks:
-            chosen = quantize(chosen, codebooks, residual="left").select("vec_id", F.col("left").alias("embedding"))
-        rows = chosen.orderBy("vec_id").collect()
-        codebooks.append(np.array([row["embedding"] for row in rows], dtype=np.float64))
+            left = quantize(vectors, codebooks, residual="left")
+        code = F.expr(f"(vec_id + {level} * (vec_id div {K})) % {K}")
+        means = left.groupBy(code.alias("code")).agg(Summarizer.mean(array_to_vector("left")).alias("mean"))
+        codebooks.append(np.array([row["mean"].toArray() for row in means.orderBy("code").collect()]))
     return codebooks
 
 

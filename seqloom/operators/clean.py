@@ -41,7 +41,8 @@ def dedup_interactions(df: DataFrame, keys: Sequence[str] = RAW_KEY) -> DataFram
 
 def dedup_items(items: DataFrame, item: str = ITEM) -> DataFrame:
     """At most one row per non-null item, also across categories."""
-    return one_per_key(require_keys(items, [item]), [item]).select(*[c for c in ITEM_COLUMNS if c in items.columns])
+    wanted = [item if name == ITEM else name for name in ITEM_COLUMNS]
+    return one_per_key(require_keys(items, [item]), [item]).select(*[c for c in wanted if c in items.columns])
 
 
 def normalise_time(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def popularity_topk(labelled: DataFrame, k: int = 10, item: str = ITEM) -> DataF
 def test_targets(labelled: DataFrame, max_users: int | None = None, user: str = USER, item: str = ITEM) -> DataFrame:
     """The test item of each user with at least three rows; the optional cap keeps the first users by id."""
     targets = labelled.filter((F.col("split") == "test") & (F.col("pos") >= MIN_ITEMS)).select(user, item)
-    return targets.orderBy(user).limit(max_users) if max_users else targets
+    return targets.orderBy(user).limit(max_users) if max_users is not None else targets
 
 
 def metrics(ranks: DataFrame, ks: Sequence[int], rank: str = "rank") -> DataFrame:

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.columns import percent, ratio
 from seqloom.operators.clean import require_keys
-from seqloom.operators.ranking import HOT_GROUP_ROWS, hot_group_lists, in_groups
+from seqloom.operators.ranking import HOT_GROUP_ROWS, hot_groups, split_hot
 from seqloom.plans.inspect import exchange_count
 from seqloom.schemas import ITEM, USER
-from seqloom.session import cut_lineage, drop_stored
+from seqloom.session import StoredTables, cut_lineage, drop_stored
 from seqloom.sources.readers import union_all
 
 STRATEGIES = ("delta", "table", "persist", "recompute")
-# An edge table below this many rows is rewritten every round: following losses takes more, smaller jobs.
-DELTA_ROWS = 20_000_000
 # While losses are followed, the edge table is rewritten once fewer than this share of its rows is left.
 REWRITE_SHARE = 0.5
 
@@ -31,62 +29,85 @@ class KCore:
     trace: list[tuple[int, int, float]]
     converged: bool
     cached: list[DataFrame] = field(default_factory=list)
+    tables: StoredTables | None = None
 
     @property
     def rounds(self) -> DataFrame:
         return self.rows.sparkSession.createDataFrame(self.trace, "round INT, rows BIGINT, seconds DOUBLE")
 
     def release(self) -> None:
+        """Give up the caches and stored tables that `rows` reads."""
         for df in self.cached:
             df.unpersist()
+        if self.tables:
+            self.tables.release()
+
+
+class NotConverged(RuntimeError):
+    """A round limit ended the search before the fixpoint."""
 
 
 def kcore(
     df: DataFrame,
     k: int,
-    max_rounds: int = 15,
+    max_rounds: int | None = None,
     strategy: str = "delta",
     user: str = USER,
     item: str = ITEM,
-    delta_rows: int = DELTA_ROWS,
     hot_rows: int = HOT_GROUP_ROWS,
+    partial: bool = False,
 ) -> KCore:
     """Each round drops users with fewer than k rows, then items with fewer than k of the rows left.
 
-    It stops when a round leaves the row count unchanged or after `max_rounds`, when the result is returned with
-    `converged=False`. Only a two-column edge table goes through the rounds; the wide rows are joined once at the end.
+    It stops when a round leaves the row count unchanged. If that has not happened after `max_rounds`, NotConverged is
+    raised; with `partial` the rows of the last round are returned instead, with `converged=False`. Only a two-column edge
+    table goes through the rounds; the wide rows are joined once at the end, and stored first if they take a shuffle.
 
     Strategies differ in what a round costs, never in its result:
     `recompute` runs every earlier round again; `persist` caches each round and frees the one before; `table` writes
-    each round to the shared folder; `delta` does that once and for tables below `delta_rows` rows, then leaves the
-    edge table as it is and follows only the keys that the previous removals touched, so that a round with few
-    removals is two scans without a shuffle of edges.
+    each round to the shared folder; `delta` does that in the first round, then leaves the edge table as it is and
+    follows only the keys that the previous removals touched, so that a round with few removals is two scans without a
+    shuffle of edges.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
+    with StoredTables(df.sparkSession) as tables:
+        core = _kcore(df, k, max_rounds, strategy, user, item, hot_rows)
+    core.tables = tables
+    if not core.converged and not partial:
+        core.release()
+        raise NotConverged(f"{len(core.trace)} rounds did not reach the {k}-core")
+    return core
+
+
+def _kcore(
+    df: DataFrame, k: int, max_rounds: int | None, strategy: str, user: str, item: str, hot_rows: int
+) -> KCore:
+    if strategy in ("delta", "table") and exchange_count(df):
+        # The edges and the final join both read the rows; what needs shuffles to compute is computed once.
+        df = cut_lineage(df)
     edges = require_keys(df.select(user, item), [user, item])
-    if strategy in ("delta", "table") and exchange_count(edges):
-        # A round reads its edges more than once; what needs shuffles to compute is computed once.
-        edges = cut_lineage(edges)
-    stored = edges
-    hot = dict(zip((user, item), hot_group_lists(edges, [[user], [item]], hot_rows)))
+    hot = {key: hot_groups(edges, [key], hot_rows) for key in (user, item)}
+    hot = {key: None if found.isEmpty() else found for key, found in hot.items()}
     trace: list[tuple[int, int, float]] = []
     cached: list[DataFrame] = []
+    stored: DataFrame | None = None
     losses: _Losses | None = None
     previous, converged = None, False
-    for number in range(1, max_rounds + 1):
+    while max_rounds is None or len(trace) < max_rounds:
         started = time.perf_counter()
         if losses is not None and losses.rows < REWRITE_SHARE * losses.stored_rows:
             stored, edges, losses = losses.edges, losses.remaining(), None
-        elif losses is None and strategy == "delta" and trace and trace[-1][1] >= max(delta_rows, 1):
-            losses = _Losses(edges, trace[-1][1], k, user, item)
+        elif losses is None and strategy == "delta" and previous:
+            losses = _Losses(edges, previous, k, user, item)
         if losses is not None:
             rows = losses.advance()
         else:
             edges = _full_round(edges, k, hot)
             if strategy in ("delta", "table"):
                 edges = cut_lineage(edges)
-                drop_stored(stored)
+                if stored is not None:
+                    drop_stored(stored)
                 stored = edges
             elif strategy == "persist":
                 edges = edges.persist()
@@ -95,7 +116,7 @@ def kcore(
                 cached.append(edges)
                 if len(cached) > 1:
                     cached.pop(0).unpersist()
-        trace.append((number, rows, time.perf_counter() - started))
+        trace.append((len(trace) + 1, rows, time.perf_counter() - started))
         if rows == previous:
             converged = True
             break
@@ -103,30 +124,33 @@ def kcore(
     if losses is not None:
         users, items = losses.survivors()
     else:
-        users, items = (cut_lineage(edges.select(key).distinct()) for key in (user, item))
+        users, items = (edges.select(key).distinct() for key in (user, item))
     # Rows go only when one of their ends goes, so the core is every row between surviving users and items.
-    kept = df.join(users, user, "left_semi").join(items, item, "left_semi")
+    kept = df
+    for key, keys in ((user, cut_lineage(users)), (item, cut_lineage(items))):
+        kept = _among(kept, keys, key, hot[key])
     return KCore(kept.select(*df.columns), trace, converged, cached)
 
 
-def _full_round(edges: DataFrame, k: int, hot: dict[str, list[int]]) -> DataFrame:
+def _full_round(edges: DataFrame, k: int, hot: dict[str, DataFrame | None]) -> DataFrame:
     for key in hot:
         enough = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= k).select(key)
         edges = _among(edges, enough, key, hot[key])
     return edges
 
 
-def _among(edges: DataFrame, enough: DataFrame, key: str, hot: list[int]) -> DataFrame:
+def _among(edges: DataFrame, enough: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """Rows whose key is in `enough`.
 
     Adaptive execution cannot split a join partition whose other side is an aggregate, so rows of hot keys stay where
-    they are: there are at most twice as many hot keys as partitions, and those with enough rows are broadcast.
+    they are: the few hot keys that are in `enough` are broadcast.
     """
-    if not hot:
+    if hot is None:
         return edges.join(enough, key, "left_semi")
-    is_hot = in_groups([key], hot)
-    shuffled = edges.filter(~is_hot).join(enough.filter(~is_hot), key, "left_semi")
-    return shuffled.unionByName(edges.filter(is_hot).join(F.broadcast(enough.filter(is_hot)), key, "left_semi"))
+    ordinary, large = split_hot(edges, [key], hot)
+    ordinary_keys, large_keys = split_hot(enough, [key], hot)
+    shuffled = ordinary.join(ordinary_keys, key, "left_semi")
+    return shuffled.unionByName(large.join(F.broadcast(large_keys), key, "left_semi"))
 
 
 class _Losses:

@@ -34,11 +34,24 @@ def codebooks_from_table(table: DataFrame) -> list[np.ndarray]:
     return [np.array([row["centroid"] for row in rows if row["level"] == level]) for level in levels]
 
 
+def model_table(spark: SparkSession, codebooks: Codebooks, mean: np.ndarray, std: np.ndarray) -> DataFrame:
+    """Codebooks and standardisation in one small table: level -2 is the mean, level -1 the standard deviation."""
+    stats = [(-2, 0, [float(x) for x in mean]), (-1, 0, [float(x) for x in std])]
+    return codebook_table(spark, codebooks).unionByName(spark.createDataFrame(stats, "level INT, code INT, centroid ARRAY<DOUBLE>"))
+
+
+def model_from_table(table: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Inverse of `model_table`."""
+    stats = {row["level"]: np.array(row["centroid"]) for row in table.filter("level < 0").collect()}
+    return codebooks_from_table(table.filter("level >= 0")), stats[-2], stats[-1]
+
+
 def quantize(vectors: DataFrame, codebooks: Codebooks, vector: str = "embedding", residual: str | None = None) -> DataFrame:
     """Add `codes` (one per level) and `sq_error` (squared residual norm after each level).
 
     At every level the nearest centroid is chosen, the lowest code when two are equally near, and subtracted. The
-    codebooks go to each executor once; vectors pass through in Arrow batches. `residual` also keeps what is left.
+    codebooks go to each executor once; vectors pass through in Arrow batches. `residual` also keeps what is left. A NULL
+    vector has NULL codes, error and rest.
     """
     shared = vectors.sparkSession.sparkContext.broadcast([np.asarray(c, dtype=np.float64) for c in codebooks])
     kind = "struct<codes: array<int>, sq_error: array<double>"
@@ -46,21 +59,26 @@ def quantize(vectors: DataFrame, codebooks: Codebooks, vector: str = "embedding"
 
     @F.pandas_udf(kind)
     def assign(batch: pd.Series) -> pd.DataFrame:
-        left = np.stack(batch.to_list()).astype(np.float64) if len(batch) else np.zeros((0, 0))
+        known = batch.notna().to_numpy()
+        left = np.stack(batch[known].to_list()).astype(np.float64) if known.any() else np.zeros((0, 0))
         codes, errors = [], []
-        for centres in shared.value if len(batch) else []:
+        for centres in shared.value if known.any() else []:
             # |x - c|^2 without |x|^2, which is the same for every centroid of a row.
             distance = (centres**2).sum(axis=1) - 2.0 * left @ centres.T
             nearest = distance.argmin(axis=1)
             left = left - centres[nearest]
             codes.append(nearest)
             errors.append((left**2).sum(axis=1))
-        out = {
+        found = {
             "codes": list(np.stack(codes, axis=1).astype(np.int32)) if codes else [],
             "sq_error": list(np.stack(errors, axis=1)) if errors else [],
         }
         if residual:
-            out["left"] = list(left)
+            found["left"] = list(left)
+        out = {}
+        for name, values in found.items():
+            given = iter(values)
+            out[name] = [next(given) if there else None for there in known]
         return pd.DataFrame(out)
 
     assigned = vectors.withColumn("_q", assign(F.col(vector)))
@@ -78,45 +96,60 @@ def fit_codebooks(
     iterations: int = 10,
     seed: int = 42,
     vector: str = "embedding",
+    start: str | None = None,
 ) -> list[np.ndarray]:
     """One codebook per level: k-means from k random rows, then unused codes are revived and one more step is taken.
 
-    The residuals of each level are stored, since every k-means iteration reads them.
+    `start` names a column that numbers the starting rows of every level from 0 to k-1 and is NULL elsewhere; the level is
+    then fitted by exactly `iterations` plain steps from them, in which a centre without rows stays. Without it, a level
+    has fewer than k centres if there are fewer distinct vectors. NULL vectors take no part. The residuals of each level
+    are stored, since every k-means iteration reads them.
     """
     codebooks: list[np.ndarray] = []
-    left = cut_lineage(vectors.select(F.col(vector).cast("array<double>").alias("_left")))
+    number = (F.col(start) if start else F.lit(None)).cast("int").alias("_start")
+    left = vectors.filter(F.col(vector).isNotNull())
+    left = cut_lineage(left.select(F.col(vector).cast("array<double>").alias("_left"), number))
     for level in range(levels):
-        codebooks.append(_fit_level(left, k, iterations, seed))
+        codebooks.append(_from_rows(left, iterations) if start else _fit_level(left, k, iterations, seed))
         if level + 1 < levels:
             deeper = quantize(left, codebooks[-1:], "_left", residual="_next")
-            previous, left = left, cut_lineage(deeper.select(F.col("_next").alias("_left")))
+            previous, left = left, cut_lineage(deeper.select(F.col("_next").alias("_left"), "_start"))
             drop_stored(previous)
     drop_stored(left)
     return codebooks
 
 
+def _from_rows(left: DataFrame, iterations: int) -> np.ndarray:
+    rows = left.filter("_start is not null").orderBy("_start").collect()
+    centres = np.array([row["_left"] for row in rows])
+    for _ in range(iterations):
+        centres = _lloyd_step(left, centres)
+    return centres
+
+
 def _fit_level(left: DataFrame, k: int, iterations: int, seed: int) -> np.ndarray:
     # The block solver fails when equal vectors among the starting rows leave fewer than k centres; the row solver does
     # not, and the missing codes are revived below.
     kmeans = KMeans(k=k, maxIter=iterations, initMode="random", seed=seed, featuresCol="v", solver="row")
     model = kmeans.fit(left.select(array_to_vector("_left").alias("v")))
     centres = np.array(model.clusterCenters())
-    coded = quantize(left, [centres], "_left").select("_left", F.get("codes", F.lit(0)).alias("code"))
-    used = {row["code"] for row in coded.select("code").distinct().collect()}
-    dead = [code for code in range(k) if code not in used]
-    if not dead:
+    coded = quantize(left, [centres], "_left").select(F.get("codes", F.lit(0)).alias("code"))
+    used = sorted(row["code"] for row in coded.distinct().collect())
+    if len(used) == k:
         return centres
-    return _lloyd_step(left, _revived(left, centres, dead, k))
-
-
-def _revived(left: DataFrame, centres: np.ndarray, dead: list[int], k: int) -> np.ndarray:
-    """Move each dead code onto its own data point; the points are the first by hash, so reruns choose the same ones."""
-    points = left.distinct().orderBy(F.xxhash64("_left"), "_left").limit(len(dead)).collect()
-    full = np.zeros((k, centres.shape[1]))
-    full[: len(centres)] = centres
-    for code, point in zip(dead, points):
-        full[code] = point["_left"]
-    return full
+    return _lloyd_step(left, _revived(left, centres[used], k))
+
+
+def _revived(left: DataFrame, centres: np.ndarray, k: int) -> np.ndarray:
+    """Add up to k - len(centres) centres: the distinct points farthest from theirs, ties by hash, so reruns choose the
+    same ones. Points that equal a centre are not taken, so no code is added that could never win."""
+    far = quantize(left, [centres], "_left").select(
+        "_left", F.round(F.get("sq_error", F.lit(0)), 9).alias("_far"), F.xxhash64("_left").alias("_hash")
+    ).filter("_far > 0")
+    # Copies of a point collapse map-side, as a hash and a distance.
+    chosen = far.groupBy("_hash").agg(F.max("_far").alias("_max")).orderBy(F.desc("_max"), "_hash").limit(k - len(centres))
+    points = far.join(F.broadcast(chosen), "_hash").groupBy("_hash").agg(F.max("_left").alias("_left")).collect()
+    return np.vstack([centres, *[np.array([row["_left"]]) for row in sorted(points, key=lambda row: row["_hash"])]])
 
 
 def _lloyd_step(left: DataFrame, centres: np.ndarray) -> np.ndarray:

@@ -7,56 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.plans.inspect import exchange_count
 from seqloom.session import cut_lineage
 
-# A group below this size is one task's work whatever the cluster.
+# The most rows of one group that a single task ranks, whatever the input and the cluster.
 HOT_GROUP_ROWS = 1_000_000
-# An input below one scan split is one task's work already, so looking for hot groups would only add a pass.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-# Groups are compared with rows / partitions, for at most this many partitions; approx_top_k returns up to twice that.
-MAX_PARTITIONS = 5_000
 
 
 def _group_hash(group: Sequence[str]) -> Column:
     return F.xxhash64(*group)
 
 
-def in_groups(group: Sequence[str], hashes: Sequence[int]) -> Column:
-    """Whether a row belongs to one of the groups found by `hot_groups`."""
-    return _group_hash(group).isin(list(hashes))
-
-
-def _is_small(df: DataFrame) -> bool:
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(sizes) <= SMALL_INPUT_BYTES
-
-
-def hot_groups(df: DataFrame, group: Sequence[str], hot_rows: int = HOT_GROUP_ROWS) -> list[int]:
-    """Hashes of the groups with more than max(`hot_rows`, rows / partitions) rows; see `hot_group_lists`."""
-    return hot_group_lists(df, [group], hot_rows)[0]
+def hot_groups(df: DataFrame, group: Sequence[str], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Stored table `_hot`: hashes of the groups with more than `hot_rows` rows.
 
+    Counting starts map-side, so a hot group costs one row per task. There are fewer than rows / `hot_rows` such groups,
+    which is what makes this table safe to broadcast: 10^12 rows have at most a million, 8 MB.
+    """
+    counts = df.groupBy(_group_hash(group).alias("_hot")).count()
+    return cut_lineage(counts.filter(F.col("count") > hot_rows).select("_hot"))
 
-def hot_group_lists(
-    df: DataFrame, groups: Sequence[Sequence[str]], hot_rows: int = HOT_GROUP_ROWS
-) -> list[list[int]]:
-    """For each grouping, the hashes of the groups with more than max(`hot_rows`, rows / partitions) rows.
 
-    One scan of the group columns feeds mergeable frequent-item sketches, so no row is shuffled. A sketch with 8
-    counters per partition errs by less than half of rows / partitions. It therefore misses no group above the limit and
-    lists at most twice as many as there are partitions.
-    """
-    if hot_rows >= HOT_GROUP_ROWS and _is_small(df):
-        return [[] for _ in groups]
-    partitions = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_PARTITIONS)
-    hashes = df.select(*[_group_hash(group).alias(f"g{i}") for i, group in enumerate(groups)])
-    sketches = [
-        F.expr(f"approx_top_k(g{i}, {2 * partitions}, {max(8 * partitions, 1_000)})").alias(f"top{i}")
-        for i in range(len(groups))
-    ]
-    row = hashes.agg(F.count(F.lit(1)).alias("rows"), *sketches).first()
-    limit = max(hot_rows, row["rows"] // partitions)
-    return [[entry["item"] for entry in row[f"top{i}"] if entry["count"] > limit] for i in range(len(groups))]
+def split_hot(df: DataFrame, group: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ordinary groups and those of hot ones, by a broadcast of the bounded table of hot groups."""
+    same = _group_hash(group) == F.col("_hot")
+    return df.join(F.broadcast(hot), same, "left_anti"), df.join(F.broadcast(hot), same, "left_semi")
 
 
 def ranked(
@@ -66,20 +41,24 @@ def ranked(
     pos: str = "pos",
     size: str | None = None,
     hot_rows: int | None = HOT_GROUP_ROWS,
-    search: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, and the group's row count when `size` is named.
 
     Ordinary groups take one window over one exchange. Hot groups are cut into range slices of near-equal size, ranked
     slice by slice, and shifted by the rows in earlier slices. `order` should be a total order within a group.
-    `hot_rows=None` skips the search for hot groups. `search` is a cheaper table to search, of which `df` is a part.
+    `hot_rows=None` skips the search for hot groups. The search is a pass of its own, so an input that takes a shuffle to
+    compute is stored first and computed once.
     """
-    hot = hot_groups(df if search is None else search, group, hot_rows) if hot_rows is not None else []
-    if not hot:
+    if hot_rows is None:
+        return _ranked_whole(df, group, order, pos, size)
+    if exchange_count(df):
+        df = cut_lineage(df)
+    hot = hot_groups(df, group, hot_rows)
+    if hot.isEmpty():
         return _ranked_whole(df, group, order, pos, size)
-    is_hot = in_groups(group, hot)
-    whole = _ranked_whole(df.filter(~is_hot), group, order, pos, size)
-    return whole.unionByName(_ranked_sliced(df.filter(is_hot), group, order, pos, size))
+    ordinary, large = split_hot(df, group, hot)
+    whole = _ranked_whole(ordinary, group, order, pos, size)
+    return whole.unionByName(_ranked_sliced(large, group, order, pos, size))
 
 
 def _ranked_whole(

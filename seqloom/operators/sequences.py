@@ -9,7 +9,7 @@ from seqloom.functions.columns import split_label
 from seqloom.operators.ranking import HOT_GROUP_ROWS, ranked
 from seqloom.schemas import ITEM, LABELLED_COLUMNS, TS, USER
 
-# Longest item array in one row of user_sequences.
+# Longest item array in one row of user_sequences, unless the caller says otherwise.
 CHUNK_ITEMS = 100_000
 
 
@@ -23,7 +23,9 @@ def loo_split(df: DataFrame, user: str = USER, item: str = ITEM, ts: str = TS, h
     placed = sessionize(df, user, item, ts, hot_rows)
     placed = placed.withColumn("rev_pos", F.col("seq_len") - F.col("pos") + 1)
     labelled = placed.withColumn("split", split_label(F.col("rev_pos")))
-    return labelled.select(*[name for name in LABELLED_COLUMNS if name in labelled.columns])
+    renamed = {USER: user, ITEM: item, TS: ts}
+    wanted = [renamed.get(name, name) for name in LABELLED_COLUMNS]
+    return labelled.select(*[name for name in wanted if name in labelled.columns])
 
 
 def loo_report(labelled: DataFrame, user: str = USER) -> DataFrame:
@@ -50,8 +52,8 @@ def user_sequences(
 ) -> DataFrame:
     """The ordered items of each user, with `n` items of which `n_train` come before validation and test.
 
-    A user has one row (`chunk` 0) up to `chunk_items` items. A longer history continues in the next chunks, so no
-    array or aggregation group grows without bound.
+    A row holds `chunk_items` items, a user's last row what is left; `chunk` numbers a user's rows from 0. Readers that
+    want whole histories join a user's rows in that order, so no array or aggregation group grows without bound.
     """
     placed = ranked(df.select(user, item, ts), [user], [ts, item], "pos", "n", hot_rows)
     chunk = F.expr(f"(pos - 1) div {chunk_items}")

@@ -34,7 +34,7 @@ def token_steps(
 ) -> DataFrame:
     """Interactions as (user, pos, n, item, tokens). Rows whose item has no ID are gone before positions are given."""
     mapped = interactions.select(user, item, ts).join(tokens, item)
-    placed = ranked(mapped, [user], [ts, item], "pos", "n", hot_rows, search=interactions)
+    placed = ranked(mapped, [user], [ts, item], "pos", "n", hot_rows)
     return placed.select(user, "pos", "n", item, "tokens")
 
 

@@ -22,17 +22,20 @@ STD_FLOOR = 1e-6
 def hashed_ngrams(dim: int = 64, n: int = 3) -> Encoder:
     """Encoder that counts byte n-grams by hash bucket. It stands in where no model weights are at hand."""
 
-    weights = 257 ** np.arange(n, dtype=np.int64)
-
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for row, text in enumerate(texts):
-            data = np.frombuffer(text.encode().ljust(n, b"\0"), dtype=np.uint8).astype(np.int64)
-            grams = np.lib.stride_tricks.sliding_window_view(data, n) @ weights
-            # Fixed value: the multiplier of Fibonacci hashing for 32 bits.
-            buckets = (((grams * 2654435769) & 0xFFFFFFFF) >> 16) % dim
-            out[row] = np.bincount(buckets, minlength=dim)
-        return out
+        pieces = [text.encode().ljust(n, b"\0") for text in texts]
+        sizes = np.array([len(piece) for piece in pieces], dtype=np.int64)
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        grams = np.zeros(max(len(data) - n + 1, 0), dtype=np.uint64)
+        for place in reversed(range(n)):
+            grams = grams * np.uint64(257) + data[place : place + len(grams)]
+        # Fixed value: the multiplier of Fibonacci hashing for 32 bits.
+        mixed = (grams ^ (grams >> np.uint64(32))) * np.uint64(2654435769) & np.uint64(0xFFFFFFFF)
+        buckets = ((mixed >> np.uint64(16)) if dim <= 1 << 16 else mixed) % np.uint64(dim)
+        inside = row[: len(grams)] == row[n - 1 :]
+        flat = row[: len(grams)][inside] * dim + buckets[inside].astype(np.int64)
+        return np.bincount(flat, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float32)
 
     return lambda: encode
 
@@ -69,9 +72,11 @@ def vector_stats(vectors: DataFrame, vector: str = "embedding") -> tuple[np.ndar
     return row["mean"].toArray(), row["std"].toArray()
 
 
-def standardize(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(x - mean) / (std + 1e-6) in every dimension, in double precision."""
-    mean, std = vector_stats(vectors, vector)
+def standardize(
+    vectors: DataFrame, vector: str = "embedding", stats: tuple[np.ndarray, np.ndarray] | None = None
+) -> DataFrame:
+    """(x - mean) / (std + 1e-6) in every dimension, in double precision; `stats` gives mean and std of an earlier fit."""
+    mean, std = vector_stats(vectors, vector) if stats is None else stats
     shift = F.lit([float(value) for value in mean])
     scale = F.lit([float(value) for value in std + STD_FLOOR])
     centred = F.zip_with(F.col(vector).cast("array<double>"), shift, lambda x, m: x - m)

@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seqloom.operators.enrich import enrich
 from seqloom.operators.kcore import kcore
@@ -22,12 +23,12 @@ def seconds_for(action: Callable[[], object]) -> float:
     return time.perf_counter() - started
 
 
-def kcore_strategies(df: DataFrame, k: int, strategies: Sequence[str], max_rounds: int = 15) -> DataFrame:
+def kcore_strategies(df: DataFrame, k: int, strategies: Sequence[str], max_rounds: int | None = None) -> DataFrame:
     """Rows and seconds of every k-core round under each strategy, all from the same stored edge table."""
     df = cut_lineage(df.select(USER, ITEM))
     rows = []
     for strategy in strategies:
-        core = kcore(df, k, max_rounds, strategy)
+        core = kcore(df, k, max_rounds, strategy, partial=True)
         rows += [(strategy, *entry) for entry in core.trace]
         core.release()
     return df.sparkSession.createDataFrame(rows, "strategy STRING, round INT, rows BIGINT, seconds DOUBLE")
@@ -41,23 +42,27 @@ def enrich_strategies(
 ) -> DataFrame:
     """Join operator and seconds of each strategy over full-width rows.
 
-    Automatic broadcast is off meanwhile, so the strategy alone decides. A failed strategy keeps its row, with the
-    start of the error.
+    Automatic broadcast is off meanwhile, so the strategy alone decides. A failed strategy keeps its row, with its
+    error. `rows` and `matched` describe the joined result, `speed_up` is the slowest strategy's time over this one's.
     """
     spark = interactions.sparkSession
     limit = {} if broadcast_limit is None else {"broadcast_limit": broadcast_limit}
     rows = []
     with conf_scope(spark, spark__sql__autoBroadcastJoinThreshold=-1):
         for strategy in strategies:
-            node, seconds, error = None, None, None
+            node, seconds, error, found = None, None, None, (None, None)
             try:
                 joined = enrich(interactions, items, strategy, **limit)
                 node = join_nodes(joined)[0]
                 seconds = seconds_for(lambda: discard(joined))
+                found = joined.agg(F.count(F.lit(1)), F.count("title")).first()
             except Exception as problem:  # a failing strategy is a finding of this report
-                error = str(problem)[:160]
-            rows.append((strategy, node, seconds, error))
-    return spark.createDataFrame(rows, "strategy STRING, join_node STRING, seconds DOUBLE, error STRING")
+                error = str(problem)
+            rows.append((strategy, node, seconds, error, *found))
+    slowest = max((row[2] for row in rows if row[2]), default=None)
+    rows = [(*row, slowest / row[2] if row[2] else None) for row in rows]
+    schema = "strategy STRING, join_node STRING, seconds DOUBLE, error STRING, rows BIGINT, matched BIGINT, speed_up DOUBLE"
+    return spark.createDataFrame(rows, schema)
 
 
 def adaptive_comparison(clean: DataFrame) -> DataFrame:
@@ -75,13 +80,13 @@ def adaptive_comparison(clean: DataFrame) -> DataFrame:
 
 
 def repeat_cost(df: DataFrame, actions: int = 2) -> DataFrame:
-    """Seconds to define a plan against seconds to run it repeatedly, without and with a cache."""
+    """Seconds to define a plan against seconds to run it repeatedly, without and with a cache, and the rows it gave."""
     spark = df.sparkSession
-    rows = [("plan", 0, seconds_for(lambda: df.select("*")))]
-    rows += [("recompute", i + 1, seconds_for(lambda: discard(df))) for i in range(actions)]
+    rows = [("plan", 0, seconds_for(lambda: df.select("*")), 0)]
+    rows += [("recompute", i + 1, seconds_for(lambda: discard(df)), df.count()) for i in range(actions)]
     cached = df.persist()
     try:
-        rows += [("cached", i + 1, seconds_for(lambda: discard(cached))) for i in range(actions)]
+        rows += [("cached", i + 1, seconds_for(lambda: discard(cached)), cached.count()) for i in range(actions)]
     finally:
         cached.unpersist()
-    return spark.createDataFrame(rows, "mode STRING, action INT, seconds DOUBLE")
+    return spark.createDataFrame(rows, "mode STRING, action INT, seconds DOUBLE, rows BIGINT")

@@ -13,6 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Where each table written by cut_lineage lies, as long as its DataFrame is in use.
 _stored_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+# Open scopes, innermost last; a stored table belongs to the innermost.
+_scopes: list[StoredTables] = []
+
+
+class StoredTables:
+    """The tables that operators store while a `with` block over this object runs; `release` deletes their files.
+
+    Results read these tables when they are computed, so release them once the results are written or collected.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, set()
+
+    def __enter__(self) -> StoredTables:
+        _scopes.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scopes.remove(self)
+
+    def release(self) -> None:
+        while self.paths:
+            hadoop_path, file_system = _hadoop(self.spark, self.paths.pop())
+            file_system.delete(hadoop_path, True)
 
 
 def build_session(
@@ -77,7 +101,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
     The result has no history to recompute when executors are lost, is scanned column by column, and carries its
-    true size, so the optimizer broadcasts it only when it is small. The files go when the driver's JVM exits.
+    true size, so the optimizer broadcasts it only when it is small. The files go with `drop_stored`, with the scope of
+    the enclosing StoredTables, or when the driver's JVM exits.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/seqloom-{uuid.uuid4().hex}"
@@ -88,6 +113,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     file_system.deleteOnExit(hadoop_path)
     stored = spark.read.schema(df.schema).parquet(path)
     _stored_paths[stored] = path
+    for scope in _scopes[-1:]:
+        scope.paths.add(path)
     return stored
 
 
@@ -97,6 +124,8 @@ def drop_stored(df: DataFrame) -> None:
     if path:
         hadoop_path, file_system = _hadoop(df.sparkSession, path)
         file_system.delete(hadoop_path, True)
+        for scope in _scopes:
+            scope.paths.discard(path)
 
 
 def _hadoop(spark: SparkSession, path: str):

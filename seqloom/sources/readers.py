@@ -57,7 +57,7 @@ def read_token_examples(spark: SparkSession, path: str, split: str, max_examples
     examples = (
         spark.read.schema(f"{TOKEN_EXAMPLE_SCHEMA}, split STRING").json(path).filter(F.col("split") == split)
     )
-    return examples.orderBy(USER, "t").limit(max_examples) if max_examples else examples
+    return examples.orderBy(USER, "t").limit(max_examples) if max_examples is not None else examples
 
 
 def read_valid_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -7,16 +7,21 @@ from pyspark.sql import DataFrame
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None, files: int | None = None) -> None:
     """Overwrite `path`. `partition_by` makes one directory per value; `files` bounds the file count."""
-    writer = (df.coalesce(files) if files else df).write.mode("overwrite")
+    writer = (df.coalesce(files) if files else _gathered(df, partition_by)).write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
 def write_json(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Overwrite `path` with one JSON object per line."""
-    writer = df.write.mode("overwrite")
+    writer = _gathered(df, partition_by).write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).json(path)
 
 
+def _gathered(df: DataFrame, partition_by: str | None) -> DataFrame:
+    """Rows of a value in few tasks, so that a directory gets files of a useful size; adaptive execution splits large ones."""
+    return df.hint("rebalance", partition_by) if partition_by else df
+
+
 def discard(df: DataFrame) -> None:
     """Compute every column of every row and keep none of them."""
     df.write.format("noop").mode("overwrite").save()

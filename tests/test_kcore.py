@@ -2,11 +2,13 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
-from seqloom.operators.kcore import STRATEGIES, kcore, kcore_report
+from seqloom.operators.kcore import STRATEGIES, NotConverged, kcore, kcore_report
 from seqloom.plans.reports import kcore_strategies
+from seqloom.session import shared_folder
 
 
 def plain_kcore(rows, k, max_rounds=15):
@@ -39,7 +41,7 @@ def as_counter(df):
 def test_strategies_match_a_plain_loop(spark, strategy):
     rows, k, rounds = random_rows(1), 3, 3
     kept, trace, converged = plain_kcore(rows, k, rounds)
-    core = kcore(frame(spark, rows), k, rounds, strategy, delta_rows=0)
+    core = kcore(frame(spark, rows), k, rounds, strategy, partial=True)
     assert [entry[1] for entry in core.trace] == trace and core.converged == converged
     assert as_counter(core.rows) == Counter(kept)
     core.release()
@@ -54,7 +56,7 @@ def test_delta_rounds_to_the_fixpoint(spark, seed):
     extra = [(rng.randrange(40), rng.randrange(40)) for _ in range(30)]
     rows = block + chain + extra
     kept, trace, converged = plain_kcore(rows, 2)
-    core = kcore(frame(spark, rows), 2, delta_rows=0)
+    core = kcore(frame(spark, rows), 2)
     assert [entry[1] for entry in core.trace] == trace and core.converged == converged
     assert len(trace) >= 4
     assert as_counter(core.rows) == Counter(kept)
@@ -64,8 +66,8 @@ def test_hot_keys_that_fall_below_k_still_go(spark):
     """User 0 and item 0 hold most rows, but only with partners that go, so both go with them."""
     rows = [(0, i) for i in range(1, 60)] + [(u, 0) for u in range(1, 60)] + [(u, i) for u in range(70, 75) for i in range(70, 75)]
     kept, trace, _ = plain_kcore(rows, 3)
-    for delta_rows in (0, 10**9):
-        core = kcore(frame(spark, rows), 3, delta_rows=delta_rows, hot_rows=20)
+    for strategy in ("delta", "table"):
+        core = kcore(frame(spark, rows), 3, strategy=strategy, hot_rows=20)
         assert [entry[1] for entry in core.trace] == trace and as_counter(core.rows) == Counter(kept)
     assert len(kept) == 25
 
@@ -74,7 +76,7 @@ def test_delta_rewrites_a_table_that_has_shrunk(spark):
     """A bare chain loses both its ends every round until nothing is left."""
     chain = [(j, 200 + j) for j in range(7)] + [(1 + j, 200 + j) for j in range(7)]
     _, trace, converged = plain_kcore(chain, 2)
-    core = kcore(frame(spark, chain), 2, delta_rows=0)
+    core = kcore(frame(spark, chain), 2)
     assert [entry[1] for entry in core.trace] == trace and core.converged == converged
     assert trace[-1] == 0 and len(trace) >= 5 and core.rows.isEmpty()
 
@@ -97,8 +99,27 @@ def test_counts_rows_not_partners_and_drops_null_keys(spark):
 
 def test_stops_at_max_rounds_and_says_so(spark):
     rows = random_rows(3)
-    core = kcore(frame(spark, rows), 4, max_rounds=1)
+    core = kcore(frame(spark, rows), 4, max_rounds=1, partial=True)
     assert len(core.trace) == 1 and not core.converged
+    with pytest.raises(NotConverged):
+        kcore(frame(spark, rows), 4, max_rounds=1)
+
+
+def test_a_long_chain_takes_as_many_rounds_as_it_needs(spark):
+    chain = [(j, 200 + j) for j in range(32)] + [(1 + j, 200 + j) for j in range(32)]
+    _, trace, _ = plain_kcore(chain, 2, 100)
+    core = kcore(frame(spark, chain), 2)
+    assert [entry[1] for entry in core.trace] == trace and len(trace) > 15
+
+
+@pytest.mark.parametrize("strategy", ["delta", "table"])
+def test_release_leaves_no_files(spark, strategy):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    core = kcore(frame(spark, random_rows(1)).groupBy("user_id", "parent_asin").count(), 3, strategy=strategy)
+    assert core.rows.count() and set(folder.iterdir()) - before
+    core.release()
+    assert not {p for p in set(folder.iterdir()) - before if p.name.startswith("seqloom-")}
 
 
 def test_empty_results(spark):

@@ -54,7 +54,7 @@ def test_hot_users_are_sliced_with_the_same_result(spark, ties):
     df, rows = history(spark, {0: 900, 1: 260, **{u: 5 for u in range(2, 60)}}, ties=ties)
     expected, _ = expected_positions(rows)
     with conf_scope(spark, spark__sql__shuffle__partitions=8):
-        assert len(hot_groups(df, ["user_id"], hot_rows=200)) == 2
+        assert hot_groups(df, ["user_id"], hot_rows=200).count() == 2
         sliced = sq.sessionize(df, hot_rows=200)
     found = {(r["user_id"], r["parent_asin"]): (r["pos"], r["seq_len"]) for r in sliced.collect()}
     assert found == expected and sliced.count() == len(rows)
@@ -78,9 +78,16 @@ def test_hot_groups_of_several_columns_with_nulls(spark):
     assert found.count() == 303
 
 
-def test_small_inputs_are_not_searched(spark):
-    df, _ = history(spark, {1: 5})
-    assert hot_groups(df, ["user_id"]) == []
+def test_no_group_is_hot_below_the_limit(spark):
+    df, _ = history(spark, {1: 5, 2: 6})
+    assert hot_groups(df, ["user_id"]).isEmpty()
+    assert hot_groups(df, ["user_id"], hot_rows=5).count() == 1
+
+
+def test_split_keeps_renamed_keys(spark):
+    df, _ = history(spark, {1: 3, 2: 2})
+    renamed = df.select(F.col("user_id").alias("u"), F.col("parent_asin").alias("i"), F.col("ts_ms").alias("t"))
+    assert sq.loo_split(renamed, "u", "i", "t").columns == ["u", "i", "t", "pos", "rev_pos", "split"]
 
 
 def test_sequences_and_chunks(spark):
