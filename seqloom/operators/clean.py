@@ -80,6 +80,19 @@ def ingest_report(raw: DataFrame) -> DataFrame:
     )
 
 
+def clean_report(clean: DataFrame, raw_rows: int) -> DataFrame:
+    """The ingest metrics from the clean table and the number of raw rows with all keys, with the time range as times."""
+    totals = clean.agg(
+        F.lit(raw_rows).cast("bigint").alias("raw_rows"), F.count(F.lit(1)).alias("rows"), F.count_distinct(USER).alias("users"),
+        F.count_distinct(ITEM).alias("items"), F.min("event_ts").alias("first_event"), F.max("event_ts").alias("last_event"),
+    )
+    removed = F.col("raw_rows") - F.col("rows")
+    return totals.select(
+        "raw_rows", "rows", removed.alias("removed"), percent(removed, F.col("raw_rows")).alias("removed_pct"), "users", "items",
+        ratio(F.col("rows"), F.col("users")).alias("rows_per_user"), "first_event", "last_event",
+    )
+
+
 def rows_by(df: DataFrame, key: str, name: str = "rows") -> DataFrame:
     """Row count per key, ordered by key."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(name)).orderBy(key)

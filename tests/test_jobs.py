@@ -29,16 +29,19 @@ def test_stages_chain_through_files(spark, folder, capsys):
     at = lambda name: str(folder / name)
     metas = [at("meta_books.jsonl"), at("meta_toys.jsonl")]
     main(["ingest", "--input", f"books={at('books.jsonl')}", "--input", f"toys={at('toys.jsonl')}", "--out", at("clean")])
-    main(["kcore", "--input", at("clean"), "--k", "5", "--out", at("core")])
+    main(["kcore", "--input", at("clean"), "--k", "5", "--out", at("core"), "--compare"])
     main(["sessionize", "--input", at("core"), "--partitions", "4", "--out", at("placed")])
     main(["enrich", "--input", at("core"), "--items", *metas, "--out", at("joined")])
-    main(["split", "--input", at("core"), "--out", at("split"), "--items", *metas, "--items-out", at("items")])
+    main(["split", "--input", at("core"), "--compare", "--out", at("split"), "--items", *metas, "--items-out", at("items")])
     main(["sequences", "--input", at("split"), "--out", at("sequences")])
     main(["text", "--input", at("items"), "--files", "2", "--out", at("text")])
     main(["embed", "--input", at("text"), "--out", at("vectors")])
-    main(["semantic-ids", "--input", at("vectors"), "--k", "4", "--iterations", "2", "--out", at("ids")])
+    main(["semantic-ids", "--input", at("vectors"), "--k", "4", "--iterations", "2", "--out", at("ids"), "--model-out", at("model")])
+    main(["semantic-ids", "--input", at("vectors"), "--model-in", at("model"), "--out", at("ids_again")])
+    assert spark.read.parquet(at("ids")).exceptAll(spark.read.parquet(at("ids_again"))).isEmpty()
     main(["tokens", "--input", at("split"), "--ids", at("ids"), "--out", at("tokens")])
     main(["popularity", "--input", at("split"), "--ks", "1,40"])
+    assert spark.read.json(at("tokens/prefixes")).filter("depth = 0").count() == 1
     users = spark.read.parquet(at("split")).select("user_id").distinct().count()
     steps = spark.read.json(at("tokens/examples"))
     assert steps.filter("split = 'test'").count() == users
