@@ -65,11 +65,11 @@ def enrich_strategies(
     return spark.createDataFrame(rows, schema)
 
 
-def adaptive_comparison(clean: DataFrame) -> DataFrame:
-    """The leave-one-out split with adaptive execution off and on: counts and seconds."""
+def adaptive_comparison(clean: DataFrame, order: Sequence[bool] = (False, True)) -> DataFrame:
+    """The leave-one-out split with adaptive execution off and on, in the given order: counts and seconds."""
     spark = clean.sparkSession
     rows = []
-    for adaptive in (False, True):
+    for adaptive in order:
         with conf_scope(spark, spark__sql__adaptive__enabled=str(adaptive).lower()):
             started = time.perf_counter()
             counts = loo_report(loo_split(clean)).first()

@@ -154,3 +154,13 @@ def test_union_matches_columns_by_name(spark):
     b = spark.createDataFrame([("y", 2)], "b STRING, a INT")
     assert sorted(map(tuple, rd.union_all([a, b]).collect())) == [(1, "x"), (2, "y")]
     assert [tuple(r) for r in schema_listing(a).orderBy("position").collect()] == [(0, "a", "int"), (1, "b", "string")]
+
+
+def test_partitioned_writes_make_few_files(spark, tmp_path):
+    """Sixty tasks hold rows of every value; each directory still gets few files."""
+    rows = spark.range(0, 6_000, 1, 60).selectExpr("id", "concat('v', id % 3) AS split")
+    for write, name in ((wr.write_parquet, "p"), (wr.write_json, "j")):
+        write(rows, str(tmp_path / name), partition_by="split")
+        for value in ("v0", "v1", "v2"):
+            files = [f for f in (tmp_path / name / f"split={value}").iterdir() if f.name.startswith("part-")]
+            assert 1 <= len(files) <= 8
