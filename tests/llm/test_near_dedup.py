@@ -68,8 +68,9 @@ def test_chain_of_links_in_one_bucket_needs_several_rounds(documents):
     """With one band of one sample almost everything shares a bucket; all pairs across classes must still be compared."""
     rows = corpus(3)
     expected, _ = brute_force(rows)
-    got = nd.near_duplicates(documents(rows), bands=40, band_rows=1).collect()
-    assert {r["doc_id"]: r["class_id"] for r in got} == expected
+    for crowded in (3, 10**6):
+        got = nd.near_duplicates(documents(rows), bands=40, band_rows=1, crowded=crowded).collect()
+        assert {r["doc_id"]: r["class_id"] for r in got} == expected
 
 
 def test_no_rows_missing_and_repeated_ids(documents):
