@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import string
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -24,9 +26,12 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 MAX_PADDING = 16
 END = 1
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 MERGED_WINDOWS = 1024
 
+_MARKS = string.punctuation.encode()
+_LATIN = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u024f]+")
+
 SCHEMA = (
     "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
 )
@@ -38,52 +43,105 @@ class WordEncoder:
 
     Only for tokenizers that drop white space and never join what it parts, as word-level BPE does: a text's ids are then
     those of its words, one after the other. Words are split at ASCII white space; others stay inside for the tokenizer.
+
+    Words of Latin letters, with ASCII punctuation after them at most, skip the tokenizer's clean-up: there it could only
+    lower their case and part the punctuation, and their ids come from its model. Probes decide whether the tokenizer works
+    that way.
     """
 
+    PROBES = ("The", "quick,", "brÜn.", "é!", "x", "ñandú;", "straße:", "Ab?", "don'", "a,&&&", "b__-'\"")
+
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached_words = Tokenizer.from_file(path), cached_words
-        ids = [self.tokenizer.encode(text, add_special_tokens=False).ids for text in ("THE QUICK fox", "the quick fox")]
-        self.lower_case = ids[0] == ids[1]
+        shown = [chr(b) for b in range(256)]
+        hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+        for number, b in enumerate(hidden):  # the byte-level alphabet: bytes that do not print move beyond 255
+            shown[b] = chr(256 + number)
+        self.alphabet = dict(enumerate(shown))
+        self.lower_case = self._tokenized("THE QUICK fox") == self._tokenized("the quick fox")
         self._forget()
+        self.direct = self.lower_case and all(self._model_ids(word.encode()) == self._tokenized(word) for word in self.PROBES)
+
+    def _tokenized(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.numbers, self.known = _Words(), 0
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.marks: dict[bytes, list[int]] = {}
+
+    def _model_ids(self, word: bytes) -> list[int] | None:
+        """Ids of Latin letters and the punctuation after them; None for any other word."""
+        letters = word.rstrip(_MARKS)
+        mark = word[len(letters) :]
+        if letters.isalpha():  # of bytes: ASCII letters, which are their own spelling
+            spelled = letters.decode().lower()
+        elif _LATIN.fullmatch(text := letters.decode("utf-8", "replace")) and text.isalpha():
+            spelled = text.lower().encode().decode("latin-1").translate(self.alphabet)
+        else:
+            return None
+        if mark and mark not in self.marks:
+            self.marks[mark] = self._tokenized(mark.decode())
+        at = self.numbers.get(letters, self.known) if mark else self.known
+        if at < self.known:  # the letters alone are known
+            ids = self.ids[self.starts[at] : self.starts[at] + self.lengths[at]].tolist()
+        else:
+            ids = [token.id for token in self.tokenizer.model.tokenize(spelled)]
+        return ids + self.marks[mark] if mark else ids
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = [word.decode("utf-8", "replace") for word in words]
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = found.ids
-            number = len(self.numbers)
-            if number == len(self.starts):
-                self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.numbers[word], self.starts[number], self.lengths[number] = number, self.used, len(ids)
-            self.used += len(ids)
+        """Store the ids of the words that got the next numbers."""
+        others = []
+        while self.known + len(words) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
+        found: list[list[int] | None] = [self._model_ids(word) if self.direct else None for word in words]
+        others = [n for n, ids in enumerate(found) if ids is None]
+        if others:
+            texts = [words[n].decode("utf-8", "replace") for n in others]
+            for n, encoded in zip(others, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                found[n] = encoded.ids
+        lengths = np.array([len(ids) for ids in found], np.int64)
+        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        part = slice(self.known, self.known + len(words))
+        self.starts[part], self.lengths[part] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used += len(flat)
+        self.known += len(words)
 
     def encode(self, text: bytes) -> np.ndarray:
         if self.lower_case and b"<|" not in text:  # special tokens keep their case
             text = text.lower()
-        words = text.split()
-        if len(self.numbers) > self.cached_words:
+        if self.known > self.cached_words:
             self._forget()
-        numbers = list(map(self.numbers.get, words))
-        if None in numbers:
-            self._learn(list(dict.fromkeys(word for word, number in zip(words, numbers) if number is None)))
-            numbers = list(map(self.numbers.__getitem__, words))
-        which = np.array(numbers, np.int64)
+        words = text.split()
+        which = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if self.numbers.new:
+            self._learn(self.numbers.new)
+            self.numbers.new = []
         lengths = self.lengths[which]
         total = int(lengths.sum())
         first = np.repeat(self.starts[which] - (np.cumsum(lengths) - lengths), lengths)
         return self.ids[first + np.arange(total)]
 
 
+class _Words(dict):
+    """Words and their numbers; an unknown word gets the next number and is listed in `new`."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class _Packer:
     """Open windows of one task. Emitted rows gather in `rows`."""
 
@@ -220,6 +278,7 @@ def pack(
 
         return merge
 
+    merged_windows = max(merged_windows, 4 * open_windows)  # a level leaves a quarter of the windows at most
     schema = SCHEMA.format(id=id_type)
     stored = cut_lineage(rows.mapInArrow(first, schema))
     result, level = stored.filter("not open"), 0
@@ -228,7 +287,8 @@ def pack(
         windows = rest.filter("offset = 0").count()
         level += 1
         groups = math.ceil(windows / merged_windows)
-        dealt = rest.repartition(max(1, groups), "sequence_id").sortWithinPartitions("sequence_id", "offset")
+        # Dealt out evenly: the pieces of a window may part. Spark sorts rows first, so that a rerun deals them alike.
+        dealt = rest.repartition(max(1, groups)).sortWithinPartitions("sequence_id", "offset")
         if groups <= 1:
             return result.unionByName(dealt.mapInArrow(merging(level, True), schema)).drop("open")
         stored = cut_lineage(dealt.mapInArrow(merging(level, False), schema))
