@@ -1,13 +1,16 @@
 """Near-duplicate classes by improved consistent weighted sampling of TF-IDF shingles.
 
 A text's shingles are its windows of five words; a shingle weighs its count in the text times the inverse document
-frequency of its hash bucket over all documents. Consistent weighted sampling (Ioffe's improved form) draws samples that
+frequency of its hash bucket over all documents. Frequency decides only a share of the weight, so that a threshold means
+about what it means for plain shingles: with the full logarithm, the copies of a common text would count as less alike than
+those of a rare one, only because they are many. Consistent weighted sampling (Ioffe's improved form) draws samples that
 two texts share with a probability equal to their weighted Jaccard similarity. Bands of samples put texts into buckets,
 and a pair from a bucket is linked only if the similarity of the whole texts reaches the threshold.
 
-Buckets are not expanded into pairs. Equal texts are one member. In each round a bucket's members are compared with pivots,
-one for each class so far; what is linked joins a class. Members of one class need no comparison with each other, so rounds
-go on only in buckets with members of several classes, with more pivots each time, until every such pair was compared.
+Buckets are not expanded into pairs. Equal texts are one member. In each round a bucket's members are compared with a few
+pivots; what is linked joins a class. Members of one class need no comparison with each other, so rounds go on only in
+buckets with members of several classes. Their next pivots are members outside the bucket's largest class, more in each
+round, until all such members were pivots: then every pair of members of different classes was compared.
 """
 
 from __future__ import annotations
@@ -24,15 +27,18 @@ from seqloom.llm.common import (
 )
 from seqloom.llm.repeats import key_again, keyed, number
 from seqloom.session import cut_lineage, drop_stored
+from seqloom.sources.readers import union_all
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 BUCKET_BITS = 18
+IDF_SHARE = 0.2
 ID_BITS = 44
 TABLE_BITS = 16
 BLOCK_BYTES = 1 << 21
 MEMBERS_PER_TASK = 2_000
+PIVOTS_FACTOR = 6
 
 
 def shingles(flat: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,9 +73,11 @@ def weights(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return counts.astype(np.float32) * idf[ids & (len(idf) - 1)]
 
 
-def inverse_frequencies(counts: np.ndarray, documents: int) -> np.ndarray:
-    """1 + ln((1 + N) / (1 + df)), at least 1: buckets of many shingles may count more than N."""
-    return (1 + np.log(np.maximum((1 + documents) / (1 + counts), 1))).astype(np.float32)
+def inverse_frequencies(counts: np.ndarray, documents: int, share: float = IDF_SHARE) -> np.ndarray:
+    """Weight of a bucket's shingles by its document frequency: 1 - share, plus share times ln((1 + N) / (1 + df)) / ln(1 + N),
+    which is 1 for the rarest shingle and 0 for one in every document, or in a bucket that counts more than N."""
+    rarity = np.log(np.maximum((1 + documents) / (1 + counts), 1)) / np.log(2 + documents)
+    return (1 - share + share * rarity).astype(np.float32)
 
 
 class Sampler:
@@ -278,19 +286,17 @@ def _members(rows: DataFrame, threshold: float, bands: int, band_rows: int, bits
     wanted = members.select(F.col("rep").alias("of")).distinct().hint("merge")
     texts = cut_lineage(rows.hint("merge").join(wanted, F.col("doc") == F.col("of")).select("doc", "text").dropDuplicates(["doc"]))
 
-    classes = links = None
-    used, pivots_each = None, 1
+    classes, links, used, pivots_each = None, [], [], 1
     while True:
         pairs, pivots = _next_pairs(members, classes, used, pivots_each)
         if pairs is None:
             break
-        found = cut_lineage(_linked(texts, pairs, idf, threshold))
+        links.append(cut_lineage(_linked(texts, pairs, idf, threshold)))
         drop_stored(pairs)
-        links = found if links is None else cut_lineage(links.unionByName(found))
-        used = pivots if used is None else cut_lineage(used.unionByName(pivots))
-        pivots_each *= 4
-        if not found.isEmpty() or classes is None:
-            classes = components(links)
+        used.append(pivots)
+        pivots_each *= PIVOTS_FACTOR
+        if classes is None or not links[-1].isEmpty():
+            classes = components(union_all(links))
     named = distinct.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep")
     result = signed.select("doc", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     if classes is None:
@@ -300,34 +306,32 @@ def _members(rows: DataFrame, threshold: float, bands: int, band_rows: int, bits
     return result.select("doc", "rep", "class")
 
 
-def _next_pairs(members: DataFrame, classes: DataFrame | None, used: DataFrame | None, pivots_each: int):
+def _next_pairs(members: DataFrame, classes: DataFrame | None, used: list[DataFrame], pivots_each: int):
     """Pairs to compare in this round and the pivots (bucket, pivot) they come from; None if nothing is left to compare.
 
-    First every bucket's smallest member is the pivot of all. Later, in buckets with several classes, each class offers up to
-    `pivots_each` members that were no pivots of the bucket yet, to the members of the others.
+    First every bucket's smallest member is its pivot. Later a bucket with several classes offers up to `pivots_each` members
+    that are not in its largest class and were no pivots of it yet, to the members of other classes.
     """
     if classes is None:
         pivots = members.groupBy("bucket").agg(F.min("rep").alias("pivot"))
         joined = members.join(pivots.withColumnRenamed("bucket", "b"), F.col("bucket") == F.col("b"))
         pairs = cut_lineage(joined.filter("rep <> pivot").select(F.col("rep").alias("doc"), "pivot").distinct())
         return (None, None) if pairs.isEmpty() else (pairs, cut_lineage(pivots))
-    labelled = members.join(classes, F.col("rep") == F.col("node"), "left").select(
+    labelled = cut_lineage(members.join(classes, F.col("rep") == F.col("node"), "left").select(
         "bucket", "rep", F.coalesce("root", "rep").alias("class")
-    )
-    mixed = labelled.groupBy(F.col("bucket").alias("b")).agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("b")
-    labelled = cut_lineage(labelled.join(mixed, F.col("bucket") == F.col("b")).select("bucket", "rep", "class"))
-    unused = labelled.join(used.select(F.col("bucket").alias("ub"), F.col("pivot").alias("up")),
-                           (F.col("bucket") == F.col("ub")) & (F.col("rep") == F.col("up")), "left_anti")
-    turn = F.pmod(F.xxhash64("rep"), F.lit(pivots_each))
-    offered = unused.groupBy("bucket", "class", turn.alias("turn")).agg(F.min("rep").alias("pivot"))
-    # A bucket is done once all classes but one have offered all their members.
-    open_ = offered.groupBy(F.col("bucket").alias("ob")).agg(F.min("class").alias("x"), F.max("class").alias("y"))
-    open_ = open_.filter("x <> y").select("ob")
-    pivots = cut_lineage(offered.join(open_, F.col("bucket") == F.col("ob")).select("bucket", "class", "pivot"))
-    named = pivots.select(F.col("bucket").alias("b"), F.col("class").alias("c"), "pivot")
-    joined = labelled.join(named, (F.col("bucket") == F.col("b")) & (F.col("class") != F.col("c")))
-    pairs = cut_lineage(joined.select(F.greatest("rep", "pivot").alias("doc"), F.least("rep", "pivot").alias("pivot")).distinct())
+    ))
+    sizes = labelled.groupBy("bucket", "class").count().groupBy(F.col("bucket").alias("b"))
+    mixed = sizes.agg(F.max(F.struct("count", "class")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    mixed = mixed.select("b", F.col("top.class").alias("largest"))
+    outside = labelled.join(mixed, F.col("bucket") == F.col("b")).filter("class <> largest").select("bucket", "rep", "class")
+    earlier = union_all(used).select(F.col("bucket").alias("ub"), F.col("pivot").alias("up"))
+    unused = outside.join(earlier, (F.col("bucket") == F.col("ub")) & (F.col("rep") == F.col("up")), "left_anti")
+    turn = F.pmod(F.xxhash64("rep"), F.lit(pivots_each)).alias("turn")
+    offered = unused.groupBy("bucket", turn).agg(F.min(F.struct("rep", "class")).alias("least"))
+    pivots = cut_lineage(offered.select(F.col("bucket").alias("b"), F.col("least.rep").alias("pivot"), F.col("least.class").alias("c")))
+    joined = labelled.join(pivots, (F.col("bucket") == F.col("b")) & (F.col("class") != F.col("c")))
+    pairs = cut_lineage(joined.select(F.col("rep").alias("doc"), "pivot").distinct())
     drop_stored(labelled)
     if pairs.isEmpty():
         return None, None
-    return pairs, cut_lineage(pivots.select("bucket", "pivot"))
+    return pairs, pivots.select(F.col("b").alias("bucket"), "pivot")
