@@ -11,6 +11,11 @@ Buckets are not expanded into pairs. Equal texts are one member. In each round a
 pivots; what is linked joins a class. Members of one class need no comparison with each other, so rounds go on only in
 buckets with members of several classes. Their next pivots are members outside the bucket's largest class, more in each
 round, until all such members were pivots: then every pair of members of different classes was compared.
+
+In a crowded bucket, the many texts with something in common that are no near-duplicates would make this long. Its members
+are dealt anew, by shared shingles among their rarest (prefix filtering), and two of them are compared only if what both hold
+from that shingle on could reach the threshold (positional filtering). No link is lost, while what is common to the crowd
+brings nobody together.
 """
 
 from __future__ import annotations
@@ -38,7 +43,8 @@ ID_BITS = 44
 TABLE_BITS = 16
 BLOCK_BYTES = 1 << 21
 MEMBERS_PER_TASK = 2_000
-PIVOTS_FACTOR = 6
+PIVOTS_FACTOR = 40
+CROWDED = 64
 
 
 def shingles(flat: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,6 +226,49 @@ def _linked(texts: DataFrame, pairs: DataFrame, idf, threshold: float) -> DataFr
     return ordered.mapInArrow(compare, "doc long, pivot long")
 
 
+def _thinned(members: DataFrame, texts: DataFrame, idf, threshold: float, crowded: int) -> DataFrame:
+    """`members` with the buckets of more than `crowded` members replaced by one bucket for each rare shingle they share.
+
+    A text's rare shingles are the first, rarest first, that together weigh more than 1 - threshold of it. If all that two
+    texts share came after the rare shingles of one of them, it would weigh less than the threshold asks for. `total` is the
+    text's weight and `rest` what it weighs from the shingle on; both are 0 in the other buckets.
+    """
+    members = members.select("bucket", "rep", F.lit(0.0).alias("total"), F.lit(0.0).alias("rest"))
+    crowds = members.groupBy(F.col("bucket").alias("b")).count().filter(F.col("count") > crowded).select("b")
+    crowds = cut_lineage(crowds)
+    if crowds.isEmpty():
+        return cut_lineage(members)
+    in_crowd = F.col("bucket") == F.col("b")
+    wanted = members.join(crowds, in_crowd, "left_semi").select(F.col("rep").alias("of")).distinct()
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column("doc").to_numpy()
+            for first, last, flat, offsets in _blocks(batch):
+                row, ids, counts = shingles(flat, offsets)
+                w = weights(ids, counts, idf.value).astype(np.float64)
+                order = np.lexsort((ids, -idf.value[ids & (len(idf.value) - 1)], row))
+                row, ids, w = row[order], ids[order], w[order]
+                sums = np.cumsum(w)
+                begins = np.searchsorted(row, np.arange(last - first))
+                ends = np.searchsorted(row, np.arange(last - first), side="right")
+                before = np.concatenate([[0.0], sums])
+                total = before[ends] - before[begins]
+                # A shingle is among the rare ones if those before it weigh no more than the share.
+                chosen = before[:-1] - before[begins][row] <= (1 - threshold) * total[row] * (1 + 1e-9)
+                whole = total[row[chosen]]
+                rest = whole - (before[:-1] - before[begins][row])[chosen]
+                columns = [-1 - ids[chosen], docs[first + row[chosen]], whole, rest]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "rep", "total", "rest"])
+
+    found = texts.join(wanted, F.col("doc") == F.col("of"), "left_semi")
+    found = found.mapInArrow(rare, "bucket long, rep long, total double, rest double")
+    found = cut_lineage(found)
+    shared = found.groupBy(F.col("bucket").alias("b")).count().filter("count > 1").select("b")
+    dealt = found.join(shared, in_crowd, "left_semi").unionByName(members.join(crowds, in_crowd, "left_anti"))
+    return cut_lineage(dealt)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Of the graph with edges (doc, pivot): each node and the smallest node it is connected to. Rounds of large and small
     stars; a node's neighbours are never gathered, only their minimum."""
@@ -247,7 +296,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS,
-    band_rows: int = ROWS, bits: int = BUCKET_BITS,
+    band_rows: int = ROWS, bits: int = BUCKET_BITS, crowded: int = CROWDED,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, class_id, copy_of, kept.
 
@@ -260,21 +309,21 @@ def near_duplicates(
     Links can be missed only where no band agrees, with probability (1 - s^band_rows)^bands at similarity s: 0.0008 at 0.8
     and less above. Statistics cover all documents; the driver holds 2^bits of them.
     """
-    result = _members(keyed(docs, key, text), threshold, bands, band_rows, bits)
+    result = _members(keyed(docs, key, text), threshold, bands, band_rows, bits, crowded)
     kept = (F.col("doc") == F.col("class")).alias("kept")
     return result.select(key_again(), key_again("class", "class_id"), key_again("rep", "copy_of"), kept)
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS,
-                    band_rows: int = ROWS, bits: int = BUCKET_BITS) -> DataFrame:
+                    band_rows: int = ROWS, bits: int = BUCKET_BITS, crowded: int = CROWDED) -> DataFrame:
     """The rows of `docs` that are their class's smallest document, with their columns; a repeated one once."""
-    classes = _members(keyed(docs, key, text), threshold, bands, band_rows, bits)
+    classes = _members(keyed(docs, key, text), threshold, bands, band_rows, bits, crowded)
     staying = classes.filter(F.col("doc") == F.col("class")).select(F.col("doc").alias("_kept")).distinct()
     rows = docs.withColumn("_doc", number(key, text))
     return rows.join(staying.hint("merge"), F.col("_doc") == F.col("_kept"), "left_semi").dropDuplicates(["_doc"]).drop("_doc")
 
 
-def _members(rows: DataFrame, threshold: float, bands: int, band_rows: int, bits: int) -> DataFrame:
+def _members(rows: DataFrame, threshold: float, bands: int, band_rows: int, bits: int, crowded: int) -> DataFrame:
     """doc, rep (the smallest doc with equal words) and class of every row."""
     spark = rows.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(document_frequencies(rows, bits), rows.count()))
@@ -286,16 +335,18 @@ def _members(rows: DataFrame, threshold: float, bands: int, band_rows: int, bits
     wanted = members.select(F.col("rep").alias("of")).distinct().hint("merge")
     texts = cut_lineage(rows.hint("merge").join(wanted, F.col("doc") == F.col("of")).select("doc", "text").dropDuplicates(["doc"]))
 
+    members = _thinned(members, texts, idf, threshold, crowded)
     classes, links, used, pivots_each = None, [], [], 1
     while True:
-        pairs, pivots = _next_pairs(members, classes, used, pivots_each)
+        pairs, pivots = _next_pairs(members, classes, used, pivots_each, threshold)
         if pairs is None:
             break
-        links.append(cut_lineage(_linked(texts, pairs, idf, threshold)))
-        drop_stored(pairs)
         used.append(pivots)
         pivots_each *= PIVOTS_FACTOR
-        if classes is None or not links[-1].isEmpty():
+        found = cut_lineage(_linked(texts, pairs, idf, threshold))
+        drop_stored(pairs)
+        if classes is None or not found.isEmpty():
+            links.append(found)
             classes = components(union_all(links))
     named = distinct.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep")
     result = signed.select("doc", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
@@ -306,32 +357,37 @@ def _members(rows: DataFrame, threshold: float, bands: int, band_rows: int, bits
     return result.select("doc", "rep", "class")
 
 
-def _next_pairs(members: DataFrame, classes: DataFrame | None, used: list[DataFrame], pivots_each: int):
+def _next_pairs(members: DataFrame, classes: DataFrame | None, used: list[DataFrame], pivots_each: int, threshold: float):
     """Pairs to compare in this round and the pivots (bucket, pivot) they come from; None if nothing is left to compare.
 
     First every bucket's smallest member is its pivot. Later a bucket with several classes offers up to `pivots_each` members
     that are not in its largest class and were no pivots of it yet, to the members of other classes.
     """
+    same = F.col("bucket") == F.col("b")
+    # Texts of weights v and w reach the threshold t only if they share t / (1 + t) of v + w.
+    possible = F.least("rest", "r") * (1 + threshold) >= (F.col("total") + F.col("t")) * threshold - 1e-6
+    place = [F.col("least.rep").alias("pivot"), F.col("least.total").alias("t"), F.col("least.rest").alias("r")]
     if classes is None:
-        pivots = members.groupBy("bucket").agg(F.min("rep").alias("pivot"))
-        joined = members.join(pivots.withColumnRenamed("bucket", "b"), F.col("bucket") == F.col("b"))
-        pairs = cut_lineage(joined.filter("rep <> pivot").select(F.col("rep").alias("doc"), "pivot").distinct())
-        return (None, None) if pairs.isEmpty() else (pairs, cut_lineage(pivots))
-    labelled = cut_lineage(members.join(classes, F.col("rep") == F.col("node"), "left").select(
-        "bucket", "rep", F.coalesce("root", "rep").alias("class")
-    ))
-    sizes = labelled.groupBy("bucket", "class").count().groupBy(F.col("bucket").alias("b"))
-    mixed = sizes.agg(F.max(F.struct("count", "class")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    mixed = mixed.select("b", F.col("top.class").alias("largest"))
-    outside = labelled.join(mixed, F.col("bucket") == F.col("b")).filter("class <> largest").select("bucket", "rep", "class")
-    earlier = union_all(used).select(F.col("bucket").alias("ub"), F.col("pivot").alias("up"))
-    unused = outside.join(earlier, (F.col("bucket") == F.col("ub")) & (F.col("rep") == F.col("up")), "left_anti")
-    turn = F.pmod(F.xxhash64("rep"), F.lit(pivots_each)).alias("turn")
-    offered = unused.groupBy("bucket", turn).agg(F.min(F.struct("rep", "class")).alias("least"))
-    pivots = cut_lineage(offered.select(F.col("bucket").alias("b"), F.col("least.rep").alias("pivot"), F.col("least.class").alias("c")))
-    joined = labelled.join(pivots, (F.col("bucket") == F.col("b")) & (F.col("class") != F.col("c")))
+        least = members.groupBy(F.col("bucket").alias("b")).agg(F.min(F.struct("rep", "total", "rest")).alias("least"))
+        pivots = cut_lineage(least.select("b", *place))
+        joined = members.join(pivots, same & (F.col("rep") != F.col("pivot")) & possible)
+    else:
+        labelled = cut_lineage(members.join(classes, F.col("rep") == F.col("node"), "left").select(
+            *members.columns, F.coalesce("root", "rep").alias("class")
+        ))
+        sizes = labelled.groupBy("bucket", "class").count().groupBy(F.col("bucket").alias("b"))
+        mixed = sizes.agg(F.max(F.struct("count", "class")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        mixed = mixed.select("b", F.col("top.class").alias("largest"))
+        outside = labelled.join(mixed, same & (F.col("class") != F.col("largest"))).select(*labelled.columns)
+        earlier = union_all(used).select(F.col("bucket").alias("ub"), F.col("pivot").alias("up"))
+        unused = outside.join(earlier, (F.col("bucket") == F.col("ub")) & (F.col("rep") == F.col("up")), "left_anti")
+        turn = F.pmod(F.xxhash64("rep"), F.lit(pivots_each))
+        least = unused.groupBy(F.col("bucket").alias("b"), turn.alias("turn")).agg(
+            F.min(F.struct("rep", "total", "rest", "class")).alias("least")
+        )
+        pivots = cut_lineage(least.select("b", *place, F.col("least.class").alias("c")))
+        if pivots.isEmpty():
+            return None, None
+        joined = labelled.join(pivots, same & (F.col("class") != F.col("c")) & possible)
     pairs = cut_lineage(joined.select(F.col("rep").alias("doc"), "pivot").distinct())
-    drop_stored(labelled)
-    if pairs.isEmpty():
-        return None, None
     return pairs, pivots.select(F.col("b").alias("bucket"), "pivot")
