@@ -272,15 +272,13 @@ def _thinned(members: DataFrame, texts: DataFrame, idf, threshold: float, crowde
 def components(links: DataFrame) -> DataFrame:
     """Of the graph with edges (doc, pivot): each node and the smallest node it is connected to. Rounds of large and small
     stars; a node's neighbours are never gathered, only their minimum."""
-    edges = cut_lineage(links.filter("doc <> pivot").select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")).distinct())
+    edges = links.filter("doc <> pivot").select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b"))
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cut_lineage(
-            both.filter("b > a").join(least, F.col("a") == F.col("u")).filter("b <> m")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(edges.join(least, F.col("a") == F.col("u")).filter("a <> m").select("a", F.col("m").alias("b"))).distinct()
+            both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         joined = large.join(least, F.col("a") == F.col("u"))
@@ -343,11 +341,14 @@ def _members(rows: DataFrame, threshold: float, bands: int, band_rows: int, bits
             break
         used.append(pivots)
         pivots_each *= PIVOTS_FACTOR
-        found = cut_lineage(_linked(texts, pairs, idf, threshold))
+        links.append(cut_lineage(_linked(texts, pairs, idf, threshold)))
+        # Few new links would spare the next round few comparisons, so classes wait for them.
+        current = classes is not None and 10 * links[-1].count() < pairs.count()
         drop_stored(pairs)
-        if classes is None or not found.isEmpty():
-            links.append(found)
+        if not current:
             classes = components(union_all(links))
+    if links and current:
+        classes = components(union_all(links))
     named = distinct.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep")
     result = signed.select("doc", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     if classes is None:
