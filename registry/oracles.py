@@ -359,6 +359,11 @@ def _oracles() -> dict[str, str]:
             "SELECT parent_asin, count(*) AS count FROM clean GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"
         ),
         "partition_skew": partition_skew_sql(),
+        "partition_layout": with_ctes(
+            f"""SELECT {pmod('h', HASH_PARTITIONS)}::INTEGER AS pid, count(*) AS rows
+                FROM clean JOIN hashed ON key = parent_asin GROUP BY 1""",
+            spark_hash("clean", "parent_asin"),
+        ),
         "partition_skew_all": with_ctes(
             partition_distribution(f"""(
                 SELECT p.pid, count(h) AS count FROM range({HASH_PARTITIONS}) p(pid)
@@ -369,6 +374,9 @@ def _oracles() -> dict[str, str]:
         "item_text": with_ctes("""
             SELECT parent_asin, title || '. ' || replace(categories, '|', ' ') || '. ' || store || '. '
                    || replace(description, '|', ' ') AS text FROM item_rows"""),
+        "model_text_limited": with_ctes("""
+            SELECT parent_asin, substr(title || '. ' || replace(categories, '|', ' ') || '. ' || store || '. '
+                   || replace(description, '|', ' '), 1, 20) AS text FROM item_rows"""),
         "embed_items": with_ctes("""
             SELECT parent_asin, CAST((((g * 2654435769) & 4294967295) >> 16) % 64 AS INTEGER) AS bucket, count(*)::DOUBLE AS ngrams
             FROM (SELECT parent_asin, ord(t[i]) + 257 * ord(t[i + 1]) + 66049 * ord(t[i + 2])::BIGINT AS g
@@ -436,6 +444,7 @@ def _oracles() -> dict[str, str]:
                          ELSE tokens[1:parent_asin % 5] END AS prefix FROM tok) a
             LEFT JOIN ({PREFIXES}) p ON a.prefix = p.prefix"""),
         "popularity_topk": with_ctes("SELECT * FROM popular"),
+        "first_targets": with_ctes("SELECT user_id, parent_asin FROM truth ORDER BY user_id LIMIT 50"),
         "popularity_eval": with_ctes(metrics("popular_ranks")),
         "ranked_eval": with_ctes(metrics("repeat_ranks")),
         "sid_to_item": with_ctes("SELECT user_id, rank, parent_asin FROM repeats"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry import tables as t
-from seqloom.functions.columns import price_number
+from seqloom.functions.columns import model_text, price_number
 from seqloom.operators import clean as cl
 from seqloom.operators import enrich as en
 from seqloom.operators import evaluate as ev
@@ -336,6 +336,13 @@ def partition_skew(spark, sf_dir):
     return rounded(union_all(reports))
 
 
+@query
+def partition_layout(spark, sf_dir):
+    """Rows per partition after a real shuffle by item."""
+    layout = sk.partition_rows(t.clean(spark, sf_dir), "parent_asin", HASH_PARTITIONS, shuffle=True)
+    return layout.select("pid", F.col("count").alias("rows"))
+
+
 @query
 def partition_skew_all(spark, sf_dir):
     regions = t.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("bigint").alias("nation"))
@@ -350,6 +357,12 @@ def item_text(spark, sf_dir):
     return text_corpus(cl.dedup_items(t.items_with_copies(spark, sf_dir)))
 
 
+@query
+def model_text_limited(spark, sf_dir):
+    """The input of an encoder that states a limit of twenty characters."""
+    return text_corpus(t.items(spark, sf_dir)).select("parent_asin", model_text("text", 20).alias("text"))
+
+
 @query
 def embed_items(spark, sf_dir):
     vectors = embed(text_corpus(t.items(spark, sf_dir)))
@@ -508,6 +521,12 @@ def popularity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.evaluate_shared(ev.test_targets(labelled), ev.popularity_topk(labelled, max(KS)), KS)
 
 
+@query
+def first_targets(spark, sf_dir):
+    """The test items of the first fifty users, as a capped evaluation takes them."""
+    return ev.test_targets(sq.loo_split(t.clean(spark, sf_dir)), 50)
+
+
 @query
 def popularity_eval(spark, sf_dir):
     return rounded(popularity_metrics(spark, sf_dir))

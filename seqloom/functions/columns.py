@@ -44,7 +44,7 @@ def item_text(
 def model_text(text: str, max_chars: int | None = None) -> Column:
     """Encoder input: NULL becomes "", and the text is cut only when the encoder states a character limit."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return F.substring(whole, 1, max_chars) if max_chars else whole
+    return F.substring(whole, 1, max_chars) if max_chars is not None else whole
 
 
 def price_number(price: str = "price") -> Column:
