@@ -26,7 +26,7 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 MAX_PADDING = 16
 END = 1
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 MERGED_WINDOWS = 1024
 
 _MARKS = string.punctuation.encode()
