@@ -86,9 +86,11 @@ def test_dead_codes_move_to_distinct_points(spark):
     """Two thirds of the rows are one vector; three distinct points cannot feed eight random starts."""
     rows = [([0.0, 0.0],)] * 200 + [([float(i), 1.0],) for i in range(20)]
     left = spark.createDataFrame(rows, "_left ARRAY<DOUBLE>")
-    centres = np.array([[0.0, 0.0], [0.0, 0.0], [500.0, 500.0]])
-    moved = rq._revived(left, centres, [1, 2], 3)
-    assert len({tuple(row) for row in moved[1:]}) == 2 and moved[2][0] < 500
+    moved = rq._revived(left, np.array([[0.0, 0.0]]), 3)
+    # The points farthest from the centre, each its own code.
+    assert {tuple(row) for row in moved} == {(0.0, 0.0), (19.0, 1.0), (18.0, 1.0)}
+    few = spark.createDataFrame([([5.0, 5.0],)] * 3 + [([6.0, 6.0],)] * 2, "_left ARRAY<DOUBLE>")
+    assert {tuple(row) for row in rq._revived(few, np.array([[5.0, 5.0]]), 4)} == {(5.0, 5.0), (6.0, 6.0)}
     assert rq._lloyd_step(left, np.array([[0.0, 0.0], [900.0, 900.0]]))[1].tolist() == [900.0, 900.0]
 
 
@@ -97,11 +99,20 @@ def test_fit_with_mostly_equal_vectors(spark):
     rows = [([0.0, 0.0],)] * 400 + [([float(i), 1.0 + i],) for i in range(1, 9)]
     df = spark.createDataFrame(rows, "embedding ARRAY<DOUBLE>").repartition(4)
     books = rq.fit_codebooks(df, levels=2, k=6, iterations=3)
-    assert [b.shape for b in books] == [(6, 2), (6, 2)]
+    assert all(1 < b.shape[0] <= 6 and b.shape[1] == 2 for b in books)
+    assert all(len({tuple(row) for row in b}) == len(b) for b in books)
     coded = rq.quantize(df, books)
     assert coded.select(F.get("codes", F.lit(0))).distinct().count() >= 4
 
 
+def test_null_vectors_get_null_codes(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [4.0, 4.0])], "id INT, embedding ARRAY<DOUBLE>")
+    rows = {r["id"]: r for r in rq.quantize(df, [np.array([[0.0, 0.0], [4.0, 4.0]])], residual="left").collect()}
+    assert rows[2]["codes"] is None and rows[2]["left"] is None and rows[2]["sq_error"] is None
+    assert (rows[1]["codes"], rows[3]["codes"]) == ([0], [1])
+    assert rq.fit_codebooks(df, levels=1, k=2, iterations=1)[0].shape[1] == 2
+
+
 @pytest.mark.parametrize("hot_rows", [None, 100])
 def test_collision_ordinals(spark, hot_rows):
     rows = [(f"i{i:04d}", [1, 2, 3 if i % 3 else i]) for i in range(600)]
