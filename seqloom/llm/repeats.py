@@ -179,6 +179,13 @@ def removed_by_document(sorted_out: DataFrame, *spans: DataFrame, length: int) -
     return whole.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("a", "b")).alias("spans")).hint("merge")
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose results take little memory."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def list_rows(column: pa.Array, fields: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Offsets of the lists and the flat fields of a list-of-structs column; null lists are empty."""
     offsets = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)

@@ -169,7 +169,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     found = repeats.sort_out(docs, byte_symbols, length, anchor, by_document=False, **options)
     per_shard = max(2, shard_bytes // (2 * length))
     undecided = found.filter("fp is not null")
-    buckets = max(1, undecided.count() // per_shard)
+    # Anchors below the limit share shards of a quarter of it on average, so that a large one among them still fits.
+    buckets = max(1, 4 * undecided.count() // per_shard)
     crowded = undecided.groupBy(F.col("fp").alias("c_fp")).count().filter(F.col("count") > per_shard)
     crowded = cut_lineage(crowded.select("c_fp", F.ceil(F.col("count") / per_shard).cast("long").alias("parts")))
 
@@ -267,7 +268,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spans = repeated_spans(rows, length, anchor, shard_bytes, **options)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in repeats.small_batches(batches):
             flat, offsets = byte_rows(batch.column("text"))
             lists, f = repeats.list_rows(batch.column("spans"), ["a", "b"])
             sizes = np.diff(offsets)

@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spans = repeated_spans(rows, length, anchor, **options)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in repeats.small_batches(batches):
             lists, f = repeats.list_rows(batch.column("spans"), ["a", "b"])
             flat, offsets = byte_rows(batch.column("text"))
             data = memoryview(flat)
