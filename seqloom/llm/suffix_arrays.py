@@ -80,8 +80,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, enough: int) -> np.ndar
     """Length of the common prefix of each suffix in `order` with the one before it; if it is at least `enough`, some
     number of at least `enough`.
 
-    Where suffix i follows p in the order and i - 1 follows p - 1, the prefix is one shorter than that of i - 1. Only the
-    other suffixes, and every `enough`-th in a run of such, are compared byte by byte, eight at a time.
+    Where suffix i follows p in the order, i - 1 follows p - 1 and these two begin with the same byte, the prefix is one
+    shorter than that of i - 1. Only the other suffixes, and every `enough`-th in a run of such, are compared byte by byte,
+    eight at a time.
     """
     n = len(text)
     if n < 2:
@@ -89,7 +90,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, enough: int) -> np.ndar
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     chained = np.zeros(n, bool)
-    chained[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)
+    chained[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (text[:-1] == text[before[:-1]])
     chained[::enough] = False
     heads = np.flatnonzero(~chained & (before >= 0))
     words = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from seqloom.llm import suffix_arrays, suffix_trees
@@ -74,3 +75,29 @@ def test_no_rows_missing_and_repeated_ids(documents, remove):
     text = " ".join(f"w{i}" for i in range(60))
     rows = remove(documents([(None, text), (None, "short"), (1, text), (1, text)])).collect()
     assert sorted(((r["doc_id"], r["n_removed"] > 0) for r in rows), key=str) == [(1, False), (1, False), (None, False), (None, True)]
+
+
+@pytest.mark.parametrize("first,second", ["yx", "xy"])
+def test_copies_behind_neighbouring_bytes(documents, rng, first, second):
+    """In the array of both texts the suffixes at the unequal first bytes are neighbours, with nothing in common."""
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(105))
+    rows = [(1, first + passage), (2, second + passage)]
+    text = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    order = suffix_arrays.suffix_array(text, 100)
+    at = dict(zip(order.tolist(), suffix_arrays.common_prefixes(text, order, 100).tolist()))
+    assert max(at[1], at[107]) >= 100
+    left = suffix_arrays.remove_repeats(documents(rows)).collect()
+    assert sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in left) == bytes_left(rows, 100)
+
+
+def test_common_prefixes_against_brute_force(rng):
+    for letters in (b"ab", b"abcd", bytes(range(97, 123))):
+        passage = bytes(rng.choice(letters) for _ in range(40))
+        body = b"".join(bytes(rng.choice(letters) for _ in range(rng.randint(1, 3))) + passage[rng.randint(0, 5):] for _ in range(20))
+        text = np.frombuffer(body, np.uint8)
+        order = suffix_arrays.suffix_array(text, 30)
+        found = suffix_arrays.common_prefixes(text, order, 30).tolist()
+        for place in range(1, len(order)):
+            x, y = body[order[place - 1]:], body[order[place]:]
+            true = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+            assert min(found[place], 30) == min(true, 30)
