@@ -115,7 +115,9 @@ class WordEncoder:
         self.known += len(words)
 
     def encode(self, text: bytes) -> np.ndarray:
-        if self.lower_case and b"<|" not in text:  # special tokens keep their case
+        # Special tokens keep their case, and some letters compose with a mark after them only in lower case, so what the
+        # tokenizer composes before it lowers cannot be lowered here.
+        if self.lower_case and text.isascii() and b"<|" not in text:
             text = text.lower()
         if self.known > self.cached_words:
             self._forget()

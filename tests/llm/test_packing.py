@@ -60,3 +60,10 @@ def test_remembered_words_give_the_tokenizers_ids():
     assert own.direct
     for text in ["", " ", "á é̂", "İstanbul ΣΑΣ", "it's IT'S 3a ½", "가 가", "x\x85y\x1dz", "ǅ ŉ ß ẞ ª º", "a.. ,a .", "<|endoftext|>A", "naïve, Ñandú; (x)", "ab*** ab,&&& ab'' ab's' Ab_ <|x|> é$$$", "'s 't a'S"] * 2:
         assert own.encode(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("letters", ["H̱", "T̈", "W̊", "Y̊", "J̌", "T̈́"])
+def test_letters_that_compose_only_in_lower_case(letters):
+    plain, own = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    for text in [letters + "a", f"The a{letters}, {letters.lower()}a THE {letters}A", letters]:
+        assert own.encode(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids
