@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import (
-    WHITE_SPACE_RUN, byte_rows, doubled_hashes, mix, slices, window_hashes, word_hashes, word_spans,
+    WHITE_SPACE_RUN, byte_rows, doubled_hashes, mix, slices, text_or_empty, window_hashes, word_hashes, word_spans,
 )
 from seqloom.llm.repeats import key_again, keyed, number
 from seqloom.session import cut_lineage, drop_stored
@@ -155,6 +155,17 @@ def document_frequencies(rows: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray
     return result
 
 
+def digest(text: Column) -> list[Column]:
+    """Two numbers from the MD5 of a text's words. Different texts may share a doc, so members are known by doc and digest."""
+    md5 = F.md5(F.trim(F.regexp_replace(text, WHITE_SPACE_RUN, " ")).cast("binary"))
+    # The zero is never taken; without nulls, joins need no filter that computes the digest again.
+    return [F.coalesce(F.conv(F.substring(md5, first, 15), 16, 10).cast("long"), F.lit(0)) for first in (1, 17)]
+
+
+def _digested(rows: DataFrame) -> DataFrame:
+    return rows.select("doc", "text", *[part.alias(name) for name, part in zip(("d1", "d2"), digest(F.col("text")))])
+
+
 def _signatures(rows: DataFrame, idf, bands: int, band_rows: int) -> DataFrame:
     """doc, digest of its words, and `bands`, an array of bucket hashes; null for texts without words."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +185,7 @@ def _signatures(rows: DataFrame, idf, bands: int, band_rows: int) -> DataFrame:
                 ["doc", "d1", "d2", "bands"],
             )
 
-    words = F.trim(F.regexp_replace("text", WHITE_SPACE_RUN, " "))
-    digest = F.md5(words.cast("binary"))
-    parts = [F.conv(F.substring(digest, first, 15), 16, 10).cast("long") for first in (1, 17)]
-    with_digest = rows.select("doc", "text", parts[0].alias("d1"), parts[1].alias("d2"))
+    with_digest = _digested(rows)
     return with_digest.mapInArrow(sign, "doc long, d1 long, d2 long, bands array<long>")
 
 
@@ -300,7 +308,7 @@ def near_duplicates(
 
     `copy_of` is the smallest doc_id with the same words, `class_id` the smallest that is linked to it through any number of
     texts whose similarity reaches the threshold. `kept` marks that document. Rows that repeat a doc_id are in the class of
-    their text, and kept if their doc_id is its class_id. Documents without doc_id come after all others; a class of such
+    their text; of different texts that share a doc_id and are linked, one is kept. Documents without doc_id come after all others; a class of such
     alone has no class_id and keeps one of its texts. Null text is empty; texts without words are copies of each other. No
     rows give no rows.
 
@@ -308,30 +316,42 @@ def near_duplicates(
     and less above. Statistics cover all documents; the driver holds 2^bits of them.
     """
     result = _members(keyed(docs, key, text), threshold, bands, band_rows, bits, crowded)
-    kept = (F.col("doc") == F.col("class")).alias("kept")
-    return result.select(key_again(), key_again("class", "class_id"), key_again("rep", "copy_of"), kept)
+    return result.select(key_again(), key_again("class", "class_id"), key_again("copy", "copy_of"), "kept")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS,
                     band_rows: int = ROWS, bits: int = BUCKET_BITS, crowded: int = CROWDED) -> DataFrame:
-    """The rows of `docs` that are their class's smallest document, with their columns; a repeated one once."""
+    """The rows of `docs` that are their class's smallest document, with their columns; of rows with its doc_id and words
+    one."""
     classes = _members(keyed(docs, key, text), threshold, bands, band_rows, bits, crowded)
-    staying = classes.filter(F.col("doc") == F.col("class")).select(F.col("doc").alias("_kept")).distinct()
-    rows = docs.withColumn("_doc", number(key, text))
-    return rows.join(staying.hint("merge"), F.col("_doc") == F.col("_kept"), "left_semi").dropDuplicates(["_doc"]).drop("_doc")
+    names = ["_doc", "_d1", "_d2"]
+    staying = classes.filter("kept").select(*[F.col(name[1:]).alias(f"{name}_kept") for name in names]).distinct()
+    rows = docs.withColumns({"_doc": number(key, text), **dict(zip(names[1:], digest(text_or_empty(text))))})
+    same = [F.col(name) == F.col(f"{name}_kept") for name in names]
+    return rows.join(staying.hint("merge"), same, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def _members(rows: DataFrame, threshold: float, bands: int, band_rows: int, bits: int, crowded: int) -> DataFrame:
-    """doc, rep (the smallest doc with equal words) and class of every row."""
+    """doc, d1, d2, copy (the smallest doc with equal words), class (the smallest doc linked to it) and kept of every row.
+
+    Inside, texts are known by numbers that count them by their smallest doc and digest.
+    """
     spark = rows.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(document_frequencies(rows, bits), rows.count()))
     signed = cut_lineage(_signatures(rows, idf, bands, band_rows))
-    distinct = cut_lineage(signed.groupBy("d1", "d2", "bands").agg(F.min("doc").alias("rep")))
+    distinct = signed.groupBy("d1", "d2", "bands").agg(F.min("doc").alias("copy"))
+    # Partitions are ranges in order, so the numbers are in the order of (copy, d1, d2).
+    ordered = distinct.repartitionByRange("copy", "d1", "d2").sortWithinPartitions("copy", "d1", "d2")
+    distinct = cut_lineage(ordered.withColumn("rep", F.monotonically_increasing_id()))
     members = distinct.filter("bands is not null").select("rep", F.explode("bands").alias("bucket"))
     shared = members.groupBy(F.col("bucket").alias("b")).count().filter("count > 1").select("b")
     members = cut_lineage(members.join(shared, F.col("bucket") == F.col("b")).select("bucket", "rep"))
-    wanted = members.select(F.col("rep").alias("of")).distinct().hint("merge")
-    texts = cut_lineage(rows.hint("merge").join(wanted, F.col("doc") == F.col("of")).select("doc", "text").dropDuplicates(["doc"]))
+    wanted = members.select(F.col("rep").alias("of")).distinct()
+    wanted = distinct.join(wanted, F.col("rep") == F.col("of"), "left_semi")
+    wanted = wanted.select("rep", "copy", F.col("d1").alias("e1"), F.col("d2").alias("e2")).hint("merge")
+    same = (F.col("doc") == F.col("copy")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
+    texts = _digested(rows).hint("merge").join(wanted, same).dropDuplicates(["doc", "d1", "d2"])
+    texts = cut_lineage(texts.select(F.col("rep").alias("doc"), "text"))
 
     members = _thinned(members, texts, idf, threshold, crowded)
     classes, links, used, pivots_each = None, [], [], 1
@@ -349,13 +369,18 @@ def _members(rows: DataFrame, threshold: float, bands: int, band_rows: int, bits
             classes = components(union_all(links))
     if links and current:
         classes = components(union_all(links))
-    named = distinct.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep")
-    result = signed.select("doc", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
+    named = distinct.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "copy", "rep")
     if classes is None:
-        result = result.withColumn("class", F.col("rep"))
+        named = named.withColumn("class", F.col("copy")).withColumn("first", F.lit(True))
     else:
-        result = result.join(classes, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("root", "rep"))
-    return result.select("doc", "rep", "class")
+        roots = distinct.select(F.col("rep").alias("r"), F.col("copy").alias("root_doc"))
+        roots = roots.join(classes.select("root").distinct(), F.col("r") == F.col("root"), "left_semi")
+        classes = classes.join(roots, F.col("root") == F.col("r"))
+        named = named.join(classes, F.col("rep") == F.col("node"), "left")
+        named = named.withColumn("class", F.coalesce("root_doc", "copy")).withColumn("first", F.coalesce("root", "rep") == F.col("rep"))
+    result = signed.select("doc", "d1", "d2").join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
+    kept = (F.col("first") & (F.col("doc") == F.col("copy"))).alias("kept")
+    return result.select("doc", "d1", "d2", "copy", "class", kept)
 
 
 def _next_pairs(members: DataFrame, classes: DataFrame | None, used: list[DataFrame], pivots_each: int, threshold: float):

@@ -37,8 +37,15 @@ def number(key: str, text: str) -> Column:
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, the document's number, and text; null text is empty."""
-    return docs.select(number(key, text).alias("doc"), text_or_empty(text).alias("text"))
+    """doc, the document's number, version, a hash of its text that does not depend on it, and text; null text is empty.
+    Rows are one document only if they share number and version."""
+    version = F.xxhash64(F.lit(1), text_or_empty(text)).alias("version")
+    return docs.select(number(key, text).alias("doc"), version, text_or_empty(text).alias("text"))
+
+
+def same_document() -> Column:
+    """Joins documents with what is listed by document."""
+    return (F.col("doc") == F.col("of")) & (F.col("version") == F.col("of_version"))
 
 
 def key_again(doc: str = "doc", name: str = "doc_id") -> Column:
@@ -91,12 +98,13 @@ def _blocks(offsets: np.ndarray, length: int, size: int) -> Iterator[list[tuple[
 
 
 def find_occurrences(docs: DataFrame, symbols_of: Symbols, length: int, anchor: int, block: int = BLOCK) -> DataFrame:
-    """Every occurrence in every document: doc, fp (anchor hash), region (hash), start, n (windows), at (anchor's place)."""
-    names = ["doc", "fp", "region", "start", "n", "at"]
+    """Every occurrence in every document: doc, version, fp (anchor hash), region (hash), start, n (windows), at (anchor's
+    place)."""
+    names = ["doc", "version", "fp", "region", "start", "n", "at"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_numpy()
+            ids, versions = (batch.column(name).to_numpy() for name in ("doc", "version"))
             symbols, offsets = symbols_of(batch.column("text"))
             for pieces in _blocks(offsets, length, block):
                 rows, firsts, counts = (np.array(values, np.int64) for values in zip(*pieces))
@@ -108,21 +116,21 @@ def find_occurrences(docs: DataFrame, symbols_of: Symbols, length: int, anchor:
                 fp, region, start, n, at = occurrences(joined, length, anchor)
                 piece = np.searchsorted(begins, start, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows[piece]]), pa.array(fp.view(np.int64)), pa.array(region.view(np.int64)),
+                    [pa.array(ids[rows[piece]]), pa.array(versions[rows[piece]]), pa.array(fp.view(np.int64)), pa.array(region.view(np.int64)),
                      pa.array((start - begins[piece] + firsts[piece]).astype(np.int32)),
                      pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names,
                 )
 
-    return docs.mapInArrow(find, "doc long, fp long, region long, start int, n int, at int")
+    return docs.mapInArrow(find, "doc long, version long, fp long, region long, start int, n int, at int")
 
 
 def sort_out(docs: DataFrame, symbols_of: Symbols, length: int, anchor: int, by_document: bool, block: int = BLOCK,
              sample_rows: int = SAMPLE_ROWS, hot_in_sample: int = HOT_IN_SAMPLE) -> DataFrame:
-    """A stored table of occurrences whose anchor is repeated: doc, start, n, at, fp.
+    """A stored table of occurrences whose anchor is repeated: doc, version, start, n, at, fp.
 
     Where `fp` is null, an earlier occurrence has the same region, so every window is repeated. Where it is not, the
     occurrence is the first of its region, but other regions share its anchor. Occurrences that no other row could repeat
-    are left out. First means the smallest document and start; with `by_document` all occurrences of a region in its
+    are left out. First means the smallest doc, version and start; with `by_document` all occurrences of a region in its
     smallest document are first.
 
     Anchors go through one shuffle, by hash. Anchors that a sample of at most about `sample_rows` occurrences shows
@@ -135,29 +143,30 @@ def sort_out(docs: DataFrame, symbols_of: Symbols, length: int, anchor: int, by_
     hot = cut_lineage(sample.groupBy("fp").count().filter(F.col("count") >= hot_in_sample).select("fp"))
 
     cold = found.join(F.broadcast(hot), "fp", "left_anti")
-    by_fp, by_region = Window.partitionBy("fp"), Window.partitionBy("fp", "region").orderBy("doc", "start")
+    by_fp, by_region = Window.partitionBy("fp"), Window.partitionBy("fp", "region").orderBy("doc", "version", "start")
     cold = cold.withColumn("rows", F.count(F.lit(1)).over(by_fp)).filter("rows > 1")
     cold = cold.withColumn("differ", F.min("region").over(by_fp) != F.max("region").over(by_fp))
-    cold = cold.withColumn("first_doc", F.first("doc").over(by_region)).withColumn("first_start", F.first("start").over(by_region))
+    for name in ("doc", "version", "start"):
+        cold = cold.withColumn(f"first_{name}", F.first(name).over(by_region))
 
     warm = found.join(F.broadcast(hot), "fp", "left_semi")
     regions = cut_lineage(
         warm.groupBy(F.col("fp").alias("r_fp"), F.col("region").alias("r_region"))
-        .agg(F.min(F.struct("doc", "start")).alias("first"))
+        .agg(F.min(F.struct("doc", "version", "start")).alias("first"))
     )
     several = regions.groupBy(F.col("r_fp").alias("m_fp")).count().select("m_fp", (F.col("count") > 1).alias("differ"))
     warm = warm.join(regions, (F.col("fp") == F.col("r_fp")) & (F.col("region") == F.col("r_region")))
     warm = warm.join(F.broadcast(several), F.col("fp") == F.col("m_fp")).select(
         *found.columns, F.lit(2).alias("rows"), "differ", F.col("first.doc").alias("first_doc"),
-        F.col("first.start").alias("first_start"),
+        F.col("first.version").alias("first_version"), F.col("first.start").alias("first_start"),
     )
 
-    first = F.col("doc") == F.col("first_doc")
+    first = (F.col("doc") == F.col("first_doc")) & (F.col("version") == F.col("first_version"))
     if not by_document:
         first &= F.col("start") == F.col("first_start")
-    columns = [*found.columns, "differ", "first_doc", "first_start"]
+    columns = [*found.columns, "differ", "first_doc", "first_version", "first_start"]
     rows = cold.select(*columns).unionByName(warm.select(*columns)).filter(~first | F.col("differ"))
-    result = cut_lineage(rows.select("doc", "start", "n", "at", F.when(first, F.col("fp")).alias("fp")))
+    result = cut_lineage(rows.select("doc", "version", "start", "n", "at", F.when(first, F.col("fp")).alias("fp")))
     for table in (found, hot, regions):
         drop_stored(table)
     return result
@@ -165,18 +174,19 @@ def sort_out(docs: DataFrame, symbols_of: Symbols, length: int, anchor: int, by_
 
 def undecided_by_document(sorted_out: DataFrame) -> DataFrame:
     """Per document its undecided occurrences, as a list: at most as long as the document."""
-    rows = sorted_out.filter("fp is not null").groupBy(F.col("doc").alias("of"))
+    rows = sorted_out.filter("fp is not null").groupBy(F.col("doc").alias("of"), F.col("version").alias("of_version"))
     return rows.agg(F.collect_list(F.struct("start", "n", "at", "fp")).alias("regions")).hint("merge")
 
 
 def removed_by_document(sorted_out: DataFrame, *spans: DataFrame, length: int) -> DataFrame:
     """Per document the spans (a, b) of symbols to remove."""
     whole = sorted_out.filter("fp is null").select(
-        "doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).alias("b")
+        "doc", "version", F.col("start").alias("a"), (F.col("start") + F.col("n") + (length - 1)).alias("b")
     )
     for more in spans:
-        whole = whole.unionByName(more.select("doc", "a", "b"))
-    return whole.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("a", "b")).alias("spans")).hint("merge")
+        whole = whole.unionByName(more.select("doc", "version", "a", "b"))
+    whole = whole.groupBy(F.col("doc").alias("of"), F.col("version").alias("of_version"))
+    return whole.agg(F.collect_list(F.struct("a", "b")).alias("spans")).hint("merge")
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:

@@ -136,7 +136,7 @@ def repeated_windows(
     return group, key == np.repeat(least, sizes), order
 
 
-def _shard(docs, starts, ns, texts: list[bytes], hot: bool, length: int) -> pa.RecordBatch:
+def _shard(docs, versions, starts, ns, texts: list[bytes], hot: bool, length: int) -> pa.RecordBatch:
     text = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -144,7 +144,9 @@ def _shard(docs, starts, ns, texts: list[bytes], hot: bool, length: int) -> pa.R
     inside = np.arange(len(text)) - begins[row]
     window = inside < ns[row]
     place = starts[row] + inside
-    _, doc_rank = np.unique(docs, return_inverse=True)
+    by = np.lexsort((versions, docs))
+    doc_rank = np.empty(len(docs), np.int64)
+    doc_rank[by] = np.cumsum(np.concatenate([[False], (docs[by][1:] != docs[by][:-1]) | (versions[by][1:] != versions[by][:-1])]))
     _, first, order = repeated_windows(text, window, doc_rank[row] << 32 | place, length)
     # A window at the same place of a document as its group's earliest is the earliest itself.
     gone = np.zeros(len(text), bool)
@@ -152,7 +154,7 @@ def _shard(docs, starts, ns, texts: list[bytes], hot: bool, length: int) -> pa.R
     edges = gone & ~np.concatenate([[False], gone[:-1] & (row[1:] == row[:-1])])
     ends = gone & ~np.concatenate([gone[1:] & (row[1:] == row[:-1]), [False]])
     a, b = np.flatnonzero(edges), np.flatnonzero(ends)
-    columns = [docs[row[a]], place[a], place[b] + length, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.zeros(len(a), bool)]
+    columns = [docs[row[a]], versions[row[a]], place[a], place[b] + length, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.zeros(len(a), bool)]
     if hot:
         own = np.sort(order[first])
         levels = doubled_hashes(text.astype(np.uint64) + np.uint64(1), length)
@@ -160,13 +162,14 @@ def _shard(docs, starts, ns, texts: list[bytes], hot: bool, length: int) -> pa.R
         width = 1 << (length.bit_length() - 2)
         d2 = mix(levels[width][own], levels[width][own + length // 2 - 1])
         d2 = mix(d2, levels[width][own + length - width])
-        extra = [docs[row[own]], place[own], place[own] + length, d1.view(np.int64), d2.view(np.int64), np.ones(len(own), bool)]
+        extra = [docs[row[own]], versions[row[own]], place[own], place[own] + length, d1.view(np.int64), d2.view(np.int64), np.ones(len(own), bool)]
         columns = [np.concatenate(pair) for pair in zip(columns, extra)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "a", "b", "d1", "d2", "open"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "version", "a", "b", "d1", "d2", "open"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, **options) -> DataFrame:
-    """Per document (`of`) the byte spans covered by windows that also start earlier. `docs` has doc and text."""
+    """Per document (`of`, `of_version`) the byte spans covered by windows that also start earlier. `docs` has doc, version
+    and text."""
     found = repeats.sort_out(docs, byte_symbols, length, anchor, by_document=False, **options)
     per_shard = max(2, shard_bytes // (2 * length))
     undecided = found.filter("fp is not null")
@@ -181,24 +184,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             data = memoryview(flat)
             lists, f = repeats.list_rows(batch.column("regions"), ["start", "n", "fp"])
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists))
-            ids = batch.column("doc").to_numpy()
+            ids, versions = (batch.column(name).to_numpy() for name in ("doc", "version"))
             for first in range(0, len(row), 8192):
                 part = slice(first, first + 8192)
                 begins = offsets[row[part]] + f["start"][part]
                 ends = np.minimum(begins + f["n"][part] + (length - 1), offsets[row[part] + 1])
                 texts = [bytes(data[x:y]) for x, y in zip(begins, ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row[part]]), pa.array(f["start"][part]), pa.array(f["n"][part]), pa.array(f["fp"][part]),
-                     pa.array(texts, pa.binary())], ["doc", "start", "n", "fp", "bytes"],
+                    [pa.array(ids[row[part]]), pa.array(versions[row[part]]), pa.array(f["start"][part]), pa.array(f["n"][part]), pa.array(f["fp"][part]),
+                     pa.array(texts, pa.binary())], ["doc", "version", "start", "n", "fp", "bytes"],
                 )
 
-    with_lists = docs.hint("merge").join(repeats.undecided_by_document(found), F.col("doc") == F.col("of"))
-    regions = with_lists.select("doc", "text", "regions").mapInArrow(cut, "doc long, start int, n int, fp long, bytes binary")
+    with_lists = docs.hint("merge").join(repeats.undecided_by_document(found), repeats.same_document())
+    regions = with_lists.select("doc", "version", "text", "regions")
+    regions = regions.mapInArrow(cut, "doc long, version long, start int, n int, fp long, bytes binary")
     regions = regions.join(crowded, F.col("fp") == F.col("c_fp"), "left")
-    part = F.pmod(F.xxhash64("doc", "start"), F.col("parts"))
+    part = F.pmod(F.xxhash64("doc", "version", "start"), F.col("parts"))
     shard = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("fp"), F.lit(buckets))).otherwise(F.xxhash64("fp", part))
     regions = regions.select(F.struct(F.col("parts").isNotNull().alias("hot"), shard.alias("number")).alias("shard"),
-                             "doc", "start", "n", "bytes")
+                             "doc", "version", "start", "n", "bytes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
@@ -220,12 +224,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
     def finish(name, parts) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts)
-        d, s, n = (rows.column(c).to_numpy() for c in ("doc", "start", "n"))
-        return _shard(d, s.astype(np.int64), n, rows.column("bytes").to_pylist(), name[0], length)
+        d, v, s, n = (rows.column(c).to_numpy() for c in ("doc", "version", "start", "n"))
+        return _shard(d, v, s.astype(np.int64), n, rows.column("bytes").to_pylist(), name[0], length)
 
     ordered = regions.repartition("shard").sortWithinPartitions("shard")
-    resolved = cut_lineage(ordered.mapInArrow(work, "doc long, a long, b long, d1 long, d2 long, open boolean"))
-    across = _merged_shards(resolved.filter("open").select("d1", "d2", "doc", "a", "b"))
+    resolved = cut_lineage(ordered.mapInArrow(work, "doc long, version long, a long, b long, d1 long, d2 long, open boolean"))
+    across = _merged_shards(resolved.filter("open").select("d1", "d2", "doc", "version", "a", "b"))
     spans = cut_lineage(repeats.removed_by_document(found, resolved.filter("not open"), across, length=length))
     for table in (found, crowded, resolved):
         drop_stored(table)
@@ -246,11 +250,11 @@ def _merged_shards(rows: DataFrame) -> DataFrame:
             own = np.ascontiguousarray(np.stack(halves, axis=1), ">u8").view("S16").ravel()
             digests = np.concatenate([last, own])
             first = np.searchsorted(digests, own, side="left")
-            yield batch.filter(pa.array(first < np.arange(len(own)) + len(last))).select(["doc", "a", "b"])
+            yield batch.filter(pa.array(first < np.arange(len(own)) + len(last))).select(["doc", "version", "a", "b"])
             last = digests[-1:]
 
-    dealt = rows.repartition("d1", "d2").sortWithinPartitions("d1", "d2", "doc", "a")
-    return dealt.mapInArrow(later, "doc long, a long, b long")
+    dealt = rows.repartition("d1", "d2").sortWithinPartitions("d1", "d2", "doc", "version", "a")
+    return dealt.mapInArrow(later, "doc long, version long, a long, b long")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR,
@@ -261,9 +265,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     with a smaller doc_id, or earlier in the same one. Matches stay inside documents and are judged on the input. Texts
     shorter than `length`, empty ones and nulls stay whole. Of texts of any length all is read, in blocks.
 
-    Rows that share a doc_id count as versions of one document: what is removed at a place of one is removed there in all.
-    Documents without doc_id come last, in an order
-    that depends on their texts. No rows give no rows.
+    Rows that share doc_id and text count as one document. Different texts that share a doc_id, and documents without one,
+    which come last, are in an order that depends on their texts. No rows give no rows.
     """
     rows = repeats.keyed(docs, key, text)
     spans = repeated_spans(rows, length, anchor, shard_bytes, **options)
@@ -287,6 +290,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                  pa.array(kept, pa.binary())], ["doc", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    joined = rows.hint("merge").join(spans.hint("merge"), F.col("doc") == F.col("of"), "left").select("doc", "text", "spans")
+    joined = rows.hint("merge").join(spans.hint("merge"), repeats.same_document(), "left").select("doc", "text", "spans")
     result = joined.mapInArrow(apply, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return result.select(repeats.key_again(), "n_bytes", "n_removed", "n_spans", "kept")

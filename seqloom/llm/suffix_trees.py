@@ -87,7 +87,7 @@ def _matrix(column: pa.Array, length: int) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_rows: int = GROUP_ROWS,
                    prefix_sample: int = SAMPLE_ROWS, **options) -> DataFrame:
-    """Per document (`of`) the spans of words covered by windows that a smaller document holds, too."""
+    """Per document (`of`, `of_version`) the spans of words covered by windows that a smaller document holds, too."""
     found = repeats.sort_out(docs, word_symbols, length, anchor, by_document=True, **options)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists))
             fits = f["start"] + f["n"] + length - 1 <= np.diff(offsets)[row]
             row, start, n = row[fits], f["start"][fits].astype(np.int64), f["n"][fits].astype(np.int64)
-            ids = batch.column("doc").to_numpy()
+            ids, versions = (batch.column(name).to_numpy() for name in ("doc", "version"))
             which = np.repeat(np.arange(len(row)), n)
             place = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             for first in range(0, len(which), 16384):
@@ -106,12 +106,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 data = pa.py_buffer(np.ascontiguousarray(words, "<u8").tobytes())
                 sizes = pa.py_buffer((np.arange(len(w) + 1) * 8 * length).astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row[w]]), pa.array(p), pa.Array.from_buffers(pa.binary(), len(w), [None, sizes, data])],
-                    ["doc", "a", "words"],
+                    [pa.array(ids[row[w]]), pa.array(versions[row[w]]), pa.array(p), pa.Array.from_buffers(pa.binary(), len(w), [None, sizes, data])],
+                    ["doc", "version", "a", "words"],
                 )
 
-    with_lists = docs.hint("merge").join(repeats.undecided_by_document(found), F.col("doc") == F.col("of"))
-    suffixes = cut_lineage(with_lists.select("doc", "text", "regions").mapInArrow(cut, "doc long, a long, words binary"))
+    with_lists = docs.hint("merge").join(repeats.undecided_by_document(found), repeats.same_document())
+    suffixes = with_lists.select("doc", "version", "text", "regions")
+    suffixes = cut_lineage(suffixes.mapInArrow(cut, "doc long, version long, a long, words binary"))
     total = suffixes.count()
     share = min(1.0, prefix_sample / max(total, 1))
     # The driver sees a sample of bounded size; it only decides how suffixes are grouped, not what is found.
@@ -124,23 +125,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             yield batch.append_column("prefix", pa.array(group.view(np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_least = None, 0
+        last, last_least = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, docs_ = _matrix(batch.column("words"), length), batch.column("doc").to_numpy()
+            words = _matrix(batch.column("words"), length)
+            docs_ = np.stack([batch.column(name).to_numpy() for name in ("doc", "version")], axis=1)
             firsts, sizes = deep_nodes(common_prefixes(words), length)
             least = docs_[firsts].copy()  # rows of a node are sorted by document
             if last is not None and (words[0] == last).all():
                 least[0] = last_least
-            gone = docs_ > np.repeat(least, sizes)
-            last, last_least = words[-1].copy(), least[-1]
+            gone = (docs_ != np.repeat(least, sizes, axis=0)).any(axis=1)
+            last, last_least = words[-1].copy(), least[-1].copy()
             a = batch.column("a").to_numpy()[gone]
-            yield pa.RecordBatch.from_arrays([pa.array(docs_[gone]), pa.array(a), pa.array(a + length)], ["doc", "a", "b"])
+            d, v = docs_[gone].T
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(v), pa.array(a), pa.array(a + length)], ["doc", "version", "a", "b"])
 
-    grouped = suffixes.mapInArrow(assign, "doc long, a long, words binary, prefix long")
-    ordered = grouped.repartition("prefix").sortWithinPartitions("prefix", "words", "doc")
-    gone = ordered.mapInArrow(work, "doc long, a long, b long")
+    grouped = suffixes.mapInArrow(assign, "doc long, version long, a long, words binary, prefix long")
+    ordered = grouped.repartition("prefix").sortWithinPartitions("prefix", "words", "doc", "version")
+    gone = ordered.mapInArrow(work, "doc long, version long, a long, b long")
     spans = cut_lineage(repeats.removed_by_document(found, gone, length=length))
     for table in (found, suffixes):
         drop_stored(table)
@@ -153,9 +156,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     Words are parted by ASCII white space. Every word goes that is covered by a window of `length` words which also starts
     in a document with a smaller doc_id; windows are judged on the input. Repeats inside a document alone stay. Texts of
-    fewer than `length` words, empty ones and nulls lose nothing. Rows that share a doc_id count as versions of one
-    document: what is removed at a place of one is removed there in all. Documents without doc_id come last, in an
-    order that depends on their texts. No rows give no rows.
+    fewer than `length` words, empty ones and nulls lose nothing. Rows that share doc_id and text count as one document.
+    Different texts that share a doc_id are documents of their own; these, and documents without doc_id, which come last,
+    are in an order that depends on their texts. No rows give no rows.
     """
     rows = repeats.keyed(docs, key, text)
     spans = repeated_spans(rows, length, anchor, **options)
@@ -181,6 +184,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 ["doc", "n_words", "n_removed", "kept"],
             )
 
-    joined = rows.hint("merge").join(spans.hint("merge"), F.col("doc") == F.col("of"), "left").select("doc", "text", "spans")
+    joined = rows.hint("merge").join(spans.hint("merge"), repeats.same_document(), "left").select("doc", "text", "spans")
     result = joined.mapInArrow(apply, "doc long, n_words long, n_removed long, kept binary")
     return result.select(repeats.key_again(), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))

@@ -88,3 +88,17 @@ def test_samples_agree_as_often_as_the_similarity():
     starts = np.array([0])
     agree = (s.sample(ids, w1, starts) == s.sample(ids, w2, starts)).mean()
     assert abs(agree - np.minimum(w1, w2).sum() / np.maximum(w1, w2).sum()) < 0.03
+
+
+def test_different_texts_under_one_id(documents):
+    """Texts are known by id and words: only near copies go, whatever ids they share."""
+    one, two, three = (" ".join(f"{letter}{i}" for i in range(80)) for letter in "abc")
+    rows = [(5, one), (5, two), (7, f"{two} end"), (7, three), (3, f"{three} end"), (9, f"{one} end"), (5, two), (8, one), (8, f"{three} more")]
+    rows += [(6, " ".join(f"d{i}" for i in range(80))), (6, " ".join(f"d{i}" for i in range(81)))]
+    got = nd.near_duplicates(documents(rows)).collect()
+    expected = [(5, 5, 5, True)] * 3 + [(7, 5, 7, False), (7, 3, 7, False), (3, 3, 3, True), (9, 5, 9, False), (8, 5, 5, False), (8, 3, 8, False)]
+    found = Counter(map(tuple, got))
+    assert sum(n for row, n in found.items() if row[:3] == (6, 6, 6)) == 2 and found[6, 6, 6, True] == 1
+    assert found - Counter({row: n for row, n in found.items() if row[0] == 6}) == Counter(expected)
+    staying = Counter((r["doc_id"], r["text"][0]) for r in nd.representatives(documents(rows)).collect())
+    assert staying == Counter({(5, "a"): 1, (5, "b"): 1, (3, "c"): 1, (6, "d"): 1})

@@ -101,3 +101,23 @@ def test_common_prefixes_against_brute_force(rng):
             x, y = body[order[place - 1]:], body[order[place]:]
             true = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
             assert min(found[place], 30) == min(true, 30)
+
+
+@pytest.mark.parametrize("options", [{}, {"sample_rows": 10**6, "hot_in_sample": 2}])
+def test_different_texts_under_one_id(documents, options):
+    """Each loses what is repeated in it, and nothing at the places of the other's repeats."""
+    word = lambda k: "".join(random.Random(k).choices("abcdefghijklmnop", k=7))
+    words = [word(k) for k in range(300)]
+    shared, other, own = " ".join(words[:40]), " ".join(words[100:140]), " ".join(words[200:260])
+    rows = [(1, shared), (2, other), (5, f"{shared} {own[:50]}"), (5, own), (5, f"{other} x"), (None, f"y {other}")]
+    left = [tuple(r) for r in suffix_arrays.remove_repeats(documents(rows), **options).collect()]
+    body = {(r[0], r[1]): (r[2], bytes(r[4]).decode()) for r in left}
+    # The own passage of two texts with id 5 is not long enough to count.
+    assert body[5, len(own)] == (0, own)
+    assert body[5, len(shared) + 51] == (len(shared), f" {own[:50]}")
+    assert body[5, len(other) + 2] == (len(other), " x")
+    assert body[None, len(other) + 2] == (len(other), "y ") or body[None, len(other) + 2] == (len(other) + 1, "y")
+    left = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in suffix_trees.remove_repeats(documents(rows), **options).collect()}
+    tail = own[:50].split()
+    assert left == {(1, 40, 0, shared), (2, 40, 0, other), (5, 40 + len(tail), 40, " ".join(tail)), (5, 60, 0, own),
+                    (5, 41, 40, "x"), (None, 41, 40, "y")}
