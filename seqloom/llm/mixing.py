@@ -28,6 +28,11 @@ def unit_interval(seed: str, *keys: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def drawn_by(key: str, text: str) -> Column:
+    """What decides for a document: its key, or without one the digest of its text."""
+    return F.coalesce(F.col(key).cast("string"), F.md5(text_or_empty(text).cast("binary")))
+
+
 def source_targets(
     sizes: DataFrame, source: str = "source", size: str = "size", weights: Sequence[int] = WEIGHTS,
     share: tuple[int, int] = SHARE, max_rate: int = MAX_RATE,
@@ -79,11 +84,11 @@ def with_copies(rows: DataFrame, targets: DataFrame, key: str = "doc_id", source
 def mixed_sizes(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **targets) -> DataFrame:
     """Per row of `docs`: key, source, size in words, its source's size and target, and how many copies the mix takes.
 
-    Rows with the same key take the same decision; a null key hashes like an empty one. Null text has size 0, a source
+    Rows with the same key take the same decision; without a key, rows with the same text do. Null text has size 0, a source
     of size 0 has target 0 and its rows no copies. No rows give no rows. Texts are read once; the sizes are stored.
     """
-    sizes = cut_lineage(docs.select(F.col(key), F.col(source), n_words(text).alias("size")))
-    return with_copies(sizes, source_targets(sizes, source, **targets), key, source)
+    sizes = cut_lineage(docs.select(F.col(key), F.col(source), n_words(text).alias("size"), drawn_by(key, text).alias("_drawn")))
+    return with_copies(sizes, source_targets(sizes, source, **targets), "_drawn", source).drop("_drawn")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **targets) -> DataFrame:
@@ -91,5 +96,5 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source"
     sizes = cut_lineage(docs.select(F.col(source).alias("source"), n_words(text).alias("size")))
     goals = cut_lineage(source_targets(sizes, **targets))
     taken = with_copies(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                                    F.col(key).alias("_key"), F.col(source).alias("_from")), goals, "_key", "_from")
+                                    drawn_by(key, text).alias("_key"), F.col(source).alias("_from")), goals, "_key", "_from")
     return taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

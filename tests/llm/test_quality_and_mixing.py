@@ -93,3 +93,10 @@ def test_copies_follow_rates_and_agree_between_runs(documents):
         counts[r["doc_id"], r["text"]] += 1
     assert sum(counts.values()) == sum(r["copies"] for r in sizes if r["size"]) + sum(r["copies"] for r in sizes if not r["size"])
     assert mixing.mixed_sizes(documents([])).count() == 0
+
+
+def test_rows_without_a_key_are_drawn_one_by_one(documents):
+    rows = documents([(None, f"w{i:03d} x") for i in range(400)])  # one source at rate 1.5
+    copies = [r["copies"] for r in mixing.mixed_sizes(rows).collect()]
+    assert set(copies) == {1, 2} and 540 < sum(copies) < 660
+    assert 540 < mixing.mixed_documents(rows).count() < 660
