@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,11 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def open_folder(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a local path or of any URI that Arrow knows, such as hdfs, s3 and gs."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+
+
 def byte_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the offset at which each row starts, without a copy per row."""
     if isinstance(column, pa.ChunkedArray):

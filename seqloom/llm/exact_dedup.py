@@ -118,7 +118,7 @@ def fingerprints(
     copies = F.sum(F.when(F.col("number") == 0, 1).otherwise(0))
     sums = hashed.groupBy(*kept).agg(copies.alias("m"), *[F.sum(name).alias(name) for name in names])
     combined = sums.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).select(
-        *kept, *[F.pmod(F.floor(F.col(name) / F.col("m")), F.lit(prime)).cast("long").alias(name)
+        *kept, *[F.pmod(F.expr(f"{name} div m"), F.lit(prime)).cast("long").alias(name)
                  for name, prime in zip(names, primes)]
     )
     return short.unionByName(combined)
@@ -132,8 +132,8 @@ def exact_dedup(
     Texts are equal when identical after replacing runs of ASCII white space by a space; null counts as empty. Of equal
     texts the smallest doc_id stays. Rows with equal fingerprints and lengths are a group only after a comparison: the
     chunks of each text are joined to those of the group's first text. Texts that differ from it form the next round.
-    Groups are counted map-side first, and the joins on a group's key carry narrow rows or one chunk each, so adaptive
-    execution can split a group of any size.
+    Groups are counted map-side first and stored, and the joins on a group's key carry narrow rows or one chunk each. What
+    it reads from a table, not from an aggregate, adaptive execution can split, so a group may have any size.
 
     Rows that repeat a doc_id each count in `group_size`; all that equal the staying one in doc_id are kept. A null doc_id
     stays only where a group has no other, and its text is compared by fingerprint, length and SHA-256 alone.
@@ -147,9 +147,9 @@ def exact_dedup(
     ).select(*[prints[c] for c in prints.columns], F.coalesce(F.col("c_class"), F.lit(0)).alias("class"))
     if classes is not None:
         same = [*same, "class"]
-    sizes = groups.groupBy(*[F.col(c).alias("g_" + c) for c in same]).agg(
+    sizes = cut_lineage(groups.groupBy(*[F.col(c).alias("g_" + c) for c in same]).agg(
         F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-    ).filter("group_size > 1")
+    ).filter("group_size > 1"))
     joined = groups.join(sizes, [F.col(c) == F.col("g_" + c) for c in same], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
@@ -171,9 +171,9 @@ def _classes(docs, prints, same, key, text, chunk_bytes) -> DataFrame | None:
     """None if all texts with equal fingerprints are equal. Else, for fingerprints shared by different texts, the class
     of every such text but those of class 0."""
     members = prints.filter(F.col("doc_id").isNotNull())
-    firsts = members.groupBy(*[F.col(c).alias("g_" + c) for c in same]).agg(
+    firsts = cut_lineage(members.groupBy(*[F.col(c).alias("g_" + c) for c in same]).agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")
-    ).filter("rows > 1")
+    ).filter("rows > 1"))
     pending = cut_lineage(
         members.join(firsts, [F.col(c) == F.col("g_" + c) for c in same])
         .select("doc_id", "first_id", "text_sha256", *same)

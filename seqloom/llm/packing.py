@@ -11,6 +11,7 @@ import math
 import os
 import re
 import string
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,7 +27,9 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 MAX_PADDING = 16
 END = 1
-CACHED_WORDS = 500_000
+# Of a worker's memory, for words and their ids; WORD_OVERHEAD is what Python takes besides the bytes of both.
+CACHED_BYTES = 48 << 20
+WORD_OVERHEAD = 160
 MERGED_WINDOWS = 1024
 
 _MARKS = string.punctuation.encode()
@@ -39,7 +42,7 @@ _NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offs
 
 
 class WordEncoder:
-    """Token ids of texts, with the ids of words remembered.
+    """Token ids of texts, with the ids of words remembered in at most about `cached_bytes`.
 
     Only for tokenizers that drop white space and never join what it parts, as word-level BPE does: a text's ids are then
     those of its words, one after the other. Words are split at ASCII white space; others stay inside for the tokenizer.
@@ -51,97 +54,75 @@ class WordEncoder:
 
     PROBES = ("The", "quick,", "brÜn.", "é!", "x", "ñandú;", "straße:", "Ab?", "don'", "a,&&&", "b__-'\"")
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+    def __init__(self, path: str, cached_bytes: int = CACHED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached_words = Tokenizer.from_file(path), cached_words
+        self.tokenizer = Tokenizer.from_file(path)
         shown = [chr(b) for b in range(256)]
         hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
         for number, b in enumerate(hidden):  # the byte-level alphabet: bytes that do not print move beyond 255
             shown[b] = chr(256 + number)
         self.alphabet = dict(enumerate(shown))
         self.lower_case = self._tokenized("THE QUICK fox") == self._tokenized("the quick fox")
-        self._forget()
-        self.direct = self.lower_case and all(self._model_ids(word.encode()) == self._tokenized(word) for word in self.PROBES)
+        # Ids of words as bytes. Once half of the allowed bytes are taken, the newer words become the older ones, which stay
+        # until the newer take as much again; an older word that comes back is a newer one again.
+        self.words, self.older, self.held, self.cached_bytes = {}, {}, 0, cached_bytes
+        self.marks: dict[bytes, bytes] = {}
+        self.direct = self.lower_case and all(self._model_ids(word.encode()) == _packed(self._tokenized(word)) for word in self.PROBES)
 
     def _tokenized(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _forget(self) -> None:
-        self.numbers, self.known = _Words(), 0
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.marks: dict[bytes, list[int]] = {}
-
-    def _model_ids(self, word: bytes) -> list[int] | None:
+    def _model_ids(self, word: bytes) -> bytes | None:
         """Ids of Latin letters and the punctuation after them; None for any other word."""
         letters = word.rstrip(_MARKS)
-        mark = word[len(letters) :]
         if letters.isalpha():  # of bytes: ASCII letters, which are their own spelling
             spelled = letters.decode().lower()
         elif _LATIN.fullmatch(text := letters.decode("utf-8", "replace")) and text.isalpha():
             spelled = text.lower().encode().decode("latin-1").translate(self.alphabet)
         else:
             return None
-        if mark and mark not in self.marks:
-            self.marks[mark] = self._tokenized(mark.decode())
-        at = self.numbers.get(letters, self.known) if mark else self.known
-        if at < self.known:  # the letters alone are known
-            ids = self.ids[self.starts[at] : self.starts[at] + self.lengths[at]].tolist()
-        else:
-            ids = [token.id for token in self.tokenizer.model.tokenize(spelled)]
-        return ids + self.marks[mark] if mark else ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Store the ids of the words that got the next numbers."""
-        others = []
-        while self.known + len(words) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
-        found: list[list[int] | None] = [self._model_ids(word) if self.direct else None for word in words]
-        others = [n for n, ids in enumerate(found) if ids is None]
-        if others:
-            texts = [words[n].decode("utf-8", "replace") for n in others]
-            for n, encoded in zip(others, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                found[n] = encoded.ids
-        lengths = np.array([len(ids) for ids in found], np.int64)
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        part = slice(self.known, self.known + len(words))
-        self.starts[part], self.lengths[part] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.used += len(flat)
-        self.known += len(words)
+        mark = word[len(letters) :]
+        ids = self.words.get(letters) if mark else None
+        if ids is None:
+            ids = _packed([token.id for token in self.tokenizer.model.tokenize(spelled)])
+        if not mark:
+            return ids
+        if mark not in self.marks:
+            self.marks[mark] = _packed(self._tokenized(mark.decode()))
+        return ids + self.marks[mark]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Take up words that are not among the newer ones."""
+        if 2 * self.held > self.cached_bytes:
+            self.words, self.older, self.held, self.marks = {}, self.words, 0, {}
+        found, others = {}, []
+        for word in words:
+            ids = self.older.get(word) or (self._model_ids(word) if self.direct else None)
+            if ids is None:
+                others.append(word)
+            else:
+                found[word] = ids
+        texts = [word.decode("utf-8", "replace") for word in others]
+        for word, encoded in zip(others, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []):
+            found[word] = _packed(encoded.ids)
+        self.words |= found
+        self.held += WORD_OVERHEAD * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
 
     def encode(self, text: bytes) -> np.ndarray:
         # Special tokens keep their case, and some letters compose with a mark after them only in lower case, so what the
         # tokenizer composes before it lowers cannot be lowered here.
         if self.lower_case and text.isascii() and b"<|" not in text:
             text = text.lower()
-        if self.known > self.cached_words:
-            self._forget()
         words = text.split()
-        which = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if self.numbers.new:
-            self._learn(self.numbers.new)
-            self.numbers.new = []
-        lengths = self.lengths[which]
-        total = int(lengths.sum())
-        first = np.repeat(self.starts[which] - (np.cumsum(lengths) - lengths), lengths)
-        return self.ids[first + np.arange(total)]
-
-
-class _Words(dict):
-    """Words and their numbers; an unknown word gets the next number and is listed in `new`."""
+        if new := set(words).difference(self.words):
+            self._learn(new.union(words) if 2 * self.held > self.cached_bytes else new)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
 
-    def __init__(self):
-        self.new: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 class _Packer:
@@ -304,5 +285,5 @@ def _encoder(path: str) -> WordEncoder:
 
 def word_encoder(path: str) -> Callable[[], Callable[[bytes], np.ndarray]]:
     """A factory of encoders for the tokenizer file at `path`, which every node must have. A Python worker keeps its
-    encoder, and the words it has learnt, from task to task."""
+    encoder from task to task, with words of CACHED_BYTES at most."""
     return lambda: _encoder(path).encode

@@ -22,6 +22,8 @@ from seqloom.session import cut_lineage
 ORDERS = (4, 5, 6)
 BITS = 20
 SAMPLE_PER_CLASS = 6_000
+# Of one training text at most so many features take part in the fit, those with the largest ratios.
+FEATURES_PER_TEXT = 4_096
 LEAST_TEXTS = 4
 LEAST_RATIO = 1.5
 BLOCK_CHARS = 1 << 19
@@ -99,6 +101,13 @@ def log_count_ratios(counts: pd.DataFrame, n_toxic: int, n_other: int, size: int
     return ratios
 
 
+def _strongest(features: np.ndarray, ratios: np.ndarray, most: int = FEATURES_PER_TEXT) -> np.ndarray:
+    """The `most` features with the largest ratios, of equal ones the smallest, in ascending order."""
+    if len(features) <= most:
+        return features
+    return np.sort(features[np.argsort(-np.abs(ratios[features]), kind="stable")[:most]])
+
+
 def fit_logistic(
     rows: np.ndarray, values: np.ndarray, features: np.ndarray, labels: np.ndarray, size: int, penalty: float = 0.01,
     steps: int = 300,
@@ -133,8 +142,9 @@ def train(
     """Fit on at most `sample_per_class` labelled documents of each class, chosen by a hash of their key.
 
     `usable` (a condition on the label rows' key) keeps documents out of training. Labels that are null are ignored; of
-    several labels of a document the largest counts, and of several rows with its key each is an example. With no toxic or
-    no other example every score is 0.5 or less, or 0.5 or more: the model is then a constant.
+    several labels of a document the largest counts, and of several rows with its key the smallest text is the example. With
+    no toxic or no other example every score is 0.5 or less, or 0.5 or more: the model is then a constant. The driver fits on
+    2 x `sample_per_class` x FEATURES_PER_TEXT numbers at most.
     """
     spark, size = docs.sparkSession, 1 << bits
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
@@ -144,10 +154,11 @@ def train(
     def chosen(value: int) -> DataFrame:
         return known.filter((F.col("_label") == 1) == F.lit(value == 1)).orderBy(F.xxhash64("_key"), "_key").limit(sample_per_class)
 
-    # The sample's size is bounded by its parameter, whatever the tables hold.
+    # One row for each sampled key, so the size is bounded by the parameter, whatever the tables hold.
     sample = chosen(1).unionByName(chosen(0))
     examples = cut_lineage(
         docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("text")).join(F.broadcast(sample), "_key")
+        .groupBy("_key", "_label").agg(F.min("text").alias("text"))
         .select("text", (F.col("_label") == 1).cast("int").alias("toxic"))
     )
 
@@ -183,7 +194,7 @@ def train(
             for _, block in _blocks(texts):
                 rows, features = _features(block, orders, bits, wanted)
                 cuts = np.searchsorted(rows, np.arange(1, len(block)))
-                parts += [part.astype(np.int32).tobytes() for part in np.split(features, cuts)]
+                parts += [_strongest(part, shared.value).astype(np.int32).tobytes() for part in np.split(features, cuts)]
             yield pd.DataFrame({"features": parts, "toxic": batch["toxic"].to_numpy()})
 
     found = examples.mapInPandas(held, "features binary, toxic int").toPandas()

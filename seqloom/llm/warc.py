@@ -15,22 +15,21 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import open_folder
+from seqloom.session import cut_lineage
+
 GZIP_MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 1 << 30
 SPLIT_BYTES = 8 << 20
+# Reading tasks in one job; further splits share them.
+MOST_TASKS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 
-def _open_folder(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a local path or of any URI that Arrow knows, such as hdfs, s3 and gs."""
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
-
-
 def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """A response record, or without its payload a revisit record. The HTTP header states the full payload's length."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -50,13 +49,13 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, r
 
 def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload and `refers_to`: of equal payloads of at least `least_bytes` bytes all rows but that with the
-    largest key refer to it. Groups are counted map-side first; a group of any size joins one row, so adaptive execution
-    can split its rows."""
+    largest key refer to it. Groups are counted map-side first and stored: what adaptive execution reads from a table, not
+    from an aggregate, it can split, so a group of any size joins its one row in several tasks."""
     rows = pages.select(
         F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("same", F.sha2("payload", 256))
-    groups = (
+    groups = cut_lineage(
         rows.filter(F.length("payload") >= least_bytes).groupBy(F.col("same").alias("g_same"))
         .agg(F.max("page_id").alias("last_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     )
@@ -77,7 +76,7 @@ def write_archives(
     manifest before reading, as a second run writes new files. No rows give no files.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _open_folder(folder)
+        store, root = open_folder(folder)
         store.create_dir(root, recursive=True)
         out, written, records, name, done = None, 0, 0, None, []
         for batch in batches:
@@ -158,83 +157,119 @@ def _headers(block: bytes) -> dict[str, str]:
 
 
 def _named(uri: str | None) -> str | None:
-    return unquote(uri.removeprefix("<urn:page:").removesuffix(">")) if uri else None
+    """A page's key, or any other record's whole identifier."""
+    return unquote(uri.removeprefix("<").removesuffix(">").removeprefix("urn:page:")) if uri else None
+
+
+class DamagedArchive(ValueError):
+    """An archive that does not hold what its manifest or its record headers say."""
 
 
-def _record(source: _Range, at: int, with_payload: bool) -> tuple[tuple, int] | None:
-    """The record at `at` and the position after it; None if there is no record."""
+def _starts_record(source: _Range, at: int) -> bool:
+    """Whether a gzip member that begins like a WARC record starts at `at`."""
+    head = b""
+    try:
+        for part, _ in source.member(at, 1 << 10):
+            head += part
+            if len(head) >= 5:
+                break
+    except zlib.error:
+        return False
+    return head.startswith(b"WARC/")
+
+
+def _record(source: _Range, at: int, with_payload: bool) -> tuple[tuple, int]:
+    """The record whose first bytes were found at `at`, and the position after it."""
     head, payload, end, warc, length = b"", [], -1, None, 0
     http, sha, n = None, hashlib.sha1(), 0
     try:
         for part, end in source.member(at):
             if http is None:
                 head += part
-                if not b"WARC/1.0".startswith(head[:8]) and not head.startswith(b"WARC/"):
-                    return None
                 if warc is None and (cut := head.find(b"\r\n\r\n")) >= 0:
                     warc = _headers(head[:cut])
                     length, head = int(warc["content-length"]), head[cut + 4 :]
-                if warc is None or (cut := head.find(b"\r\n\r\n")) < 0:
+                if warc is None:
+                    continue
+                if "application/http" not in warc.get("content-type", ""):
+                    http, part, head = {}, head, b""
+                elif (cut := head.find(b"\r\n\r\n")) >= 0:
+                    http, part, head = _headers(head[:cut]), head[cut + 4 :], b""
+                    length -= cut + 4
+                else:
                     continue
-                http, part, head = _headers(head[:cut]), head[cut + 4 :], b""
-                length -= cut + 4
             part = part[: max(0, length - n)]
             n += len(part)
             sha.update(part)
             if with_payload:
                 payload.append(part)
-    except (zlib.error, KeyError, ValueError):
-        return None
+    except (zlib.error, KeyError, ValueError) as error:
+        raise DamagedArchive(f"the record at byte {at} is damaged: {error}") from error
     if http is None or n != length:
-        return None
+        raise DamagedArchive(f"the record at byte {at} ends before its block does")
     kind = warc.get("warc-type")
     digest = warc.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response":
+    if kind != "revisit":
         found = base64.b32encode(sha.digest()).decode()
         if digest and digest != found:
-            raise ValueError(f"payload of {warc.get('warc-record-id')} has digest {found}, its header says {digest}")
+            raise DamagedArchive(f"payload of {warc.get('warc-record-id')} has digest {found}, its header says {digest}")
         digest = found
     else:
         n = int(http.get("content-length", 0))
     row = (
         _named(warc.get("warc-record-id")), kind, unquote(warc["warc-target-uri"]) if "warc-target-uri" in warc else None,
-        _named(warc.get("warc-refers-to")), n, digest, b"".join(payload) if with_payload and kind == "response" else None,
+        _named(warc.get("warc-refers-to")), n, digest, b"".join(payload) if with_payload and kind != "revisit" else None,
     )
     return row, end
 
 
 def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """Records of the files listed in `files` (path, n_bytes): page_id (text), record_type, url, refers_to (text),
-    payload_bytes, payload_digest and payload, which is null for revisits.
+    payload_bytes, payload_digest and payload, which is null for revisits. A record without an HTTP block, such as warcinfo,
+    has its whole block as payload and its record id as page_id.
 
-    A response's digest is computed from what was read and must equal its header's, else the job stops. Bytes between
-    members that hold no record are skipped. Tasks read at most about `split_bytes` and the record that crosses their end.
+    A digest is computed from what was read and must equal its header's. Records follow each other without a gap from a
+    file's first byte to its last: a file of another size than stated, a member that breaks off, and bytes between records
+    that are none raise DamagedArchive. A task reads about `split_bytes` and the record that crosses their end. Splits are
+    dealt evenly over as many tasks, a number that adaptive execution leaves as it is.
     """
-    splits = files.filter("n_bytes > 0").select(
-        "path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split_bytes).cast("long"))).alias("at")
+    n_splits = F.expr(f"n_bytes div {split_bytes} + 1")
+    tasks = files.agg(F.coalesce(F.sum(n_splits), F.lit(1))).first()[0]
+    last = F.greatest(F.col("n_bytes") - 1, F.lit(0).cast("long"))
+    splits = files.select(
+        "path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(split_bytes).cast("long"))).alias("at")
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, size, at in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                store, name = _open_folder(path)
+                store, name = open_folder(path)
+                found = store.get_file_info(name).size
+                if found != size:
+                    raise DamagedArchive(f"{path} has {found} bytes, not {size}")
                 with store.open_input_file(name) as stream:
-                    yield from _blocks(_owned(_Range(stream, at), at, min(size, at + split_bytes), with_payload))
+                    yield from _blocks(_owned(_Range(stream, at), at, min(size, at + split_bytes), size, with_payload))
 
-    return splits.repartition(F.xxhash64("path", "at")).mapInArrow(
+    return splits.repartition(min(max(1, tasks), MOST_TASKS)).mapInArrow(
         read, "page_id string, record_type string, url string, refers_to string, payload_bytes long, "
         "payload_digest string, payload binary",
     )
 
 
-def _owned(source: _Range, at: int, end: int, with_payload: bool) -> Iterator[tuple]:
-    """Records that start in at..end."""
-    while (at := source.find(GZIP_MAGIC, at, end)) >= 0:
-        found = _record(source, at, with_payload)
-        if found is None:
+def _owned(source: _Range, at: int, end: int, size: int, with_payload: bool) -> Iterator[tuple]:
+    """Records that start in at..end. Where the range before ends its last record is not known here, so bytes before the
+    first record are passed over: that range sees to it that a record starts where its own last one ends."""
+    joined = at == 0
+    while at < size if joined else (at := source.find(GZIP_MAGIC, at, end)) >= 0:
+        if not _starts_record(source, at):
+            if joined:
+                raise DamagedArchive(f"no record starts at byte {at}, where the one before ends")
             at += 1
             continue
-        row, at = found
+        if at >= end:
+            return
+        row, at = _record(source, at, with_payload)
+        joined = True
         yield row
         source.forget(at)
 

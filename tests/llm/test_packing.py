@@ -56,7 +56,7 @@ def test_no_rows(documents):
 
 
 def test_remembered_words_give_the_tokenizers_ids():
-    plain, own = Tokenizer.from_file(PATH), packing.WordEncoder(PATH, cached_words=5)
+    plain, own = Tokenizer.from_file(PATH), packing.WordEncoder(PATH, cached_bytes=1000)
     assert own.direct
     for text in ["", " ", "á é̂", "İstanbul ΣΑΣ", "it's IT'S 3a ½", "가 가", "x\x85y\x1dz", "ǅ ŉ ß ẞ ª º", "a.. ,a .", "<|endoftext|>A", "naïve, Ñandú; (x)", "ab*** ab,&&& ab'' ab's' Ab_ <|x|> é$$$", "'s 't a'S"] * 2:
         assert own.encode(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids, text

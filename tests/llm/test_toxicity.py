@@ -51,3 +51,20 @@ def test_ratios_are_log_counts():
     counts = pd.DataFrame({"feature": [1, 2, 3], "toxic": [9, 0, 2], "other": [0, 30, 1]})
     r = tx.log_count_ratios(counts, 10, 40, 5)
     assert r[1] == np.log(10 / 12) - np.log(1 / 42) and r[2] == np.log(1 / 12) - np.log(31 / 42) and r[3] == 0
+
+
+def test_the_sample_holds_one_row_for_each_key_however_many_the_table_has(spark, documents, monkeypatch):
+    rows, labels = corpus(200)
+    seen = []
+    fit = tx.fit_logistic
+    monkeypatch.setattr(tx, "fit_logistic", lambda r, v, f, y, n: seen.append((len(y), np.bincount(r).max())) or fit(r, v, f, y, n))
+    many = [(key, rows[key][1] + f" zorkel {n}") for key in (0, 1, 4, 5) for n in range(500)]
+    long = [(8, " ".join(w + str(i % 50) for i, (_, t) in enumerate(rows * 40) for w in t.split()[:6]))]
+    tx.train(documents(rows + many + long), spark.createDataFrame(labels, "doc_id long, toxic int"), sample_per_class=10)
+    assert seen[0][0] == 20 and seen[0][1] <= tx.FEATURES_PER_TEXT
+
+
+def test_strongest_features_stay():
+    ratios = np.array([0.0, 3, -5, 2, 5, 1])
+    assert tx._strongest(np.array([1, 2, 3, 4, 5]), ratios, 3).tolist() == [1, 2, 4]
+    assert tx._strongest(np.array([1, 2]), ratios, 3).tolist() == [1, 2]

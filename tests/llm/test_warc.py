@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import warc
 from seqloom.session import cut_lineage
@@ -57,3 +58,43 @@ def test_files_are_plain_gzip_members(spark, tmp_path):
 
 def test_no_rows(spark, tmp_path):
     assert warc.read_archives(cut_lineage(warc.write_archives(pages(spark, []), str(tmp_path)))).count() == 0
+
+
+def damaged(spark, tmp_path, change):
+    """Files of 40 records, the first of them rewritten by `change`, under the manifest of what was written or rewritten."""
+    rows = [(n, f"http://h/{n}", "".join(chr(33 + (n + i * i) % 90) for i in range(400))) for n in range(40)]
+    files = cut_lineage(warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path)))
+    (row,) = files.collect()
+    data = open(row["path"], "rb").read()
+    new, stated = change(data)
+    open(row["path"], "wb").write(new)
+    return spark.createDataFrame([(row["path"], stated, 40)], files.schema)
+
+
+@pytest.mark.parametrize("split_bytes", [300, warc.SPLIT_BYTES])
+@pytest.mark.parametrize("change", [
+    lambda data: (data[: len(data) // 2], len(data)), lambda data: (data[: len(data) // 2], len(data) // 2),
+    lambda data: (data[: data.index(warc.GZIP_MAGIC, 2000)] + b"XXX" + data[data.index(warc.GZIP_MAGIC, 2000) + 3 :], len(data)),
+    lambda data: (data[:3000] + bytes([data[3000] ^ 255]) + data[3001:], len(data)), lambda data: (b"junk" + data, len(data) + 4),
+    lambda data: (data + b"\0\0\0\0", len(data) + 4),
+])
+def test_damage_stops_the_job(spark, tmp_path, change, split_bytes):
+    with pytest.raises(Exception, match="DamagedArchive"):
+        warc.read_archives(damaged(spark, tmp_path, change), split_bytes).collect()
+
+
+def test_other_record_types_come_back(spark, tmp_path):
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/warc-fields\r\nContent-Length: 9\r\n\r\nsoftware:\r\n\r\n"
+    first = gzip.compress(info)
+    files = damaged(spark, tmp_path, lambda data: (first + data, len(data) + len(first)))
+    got = {r["page_id"]: r for r in warc.read_archives(files, 500).collect()}
+    assert len(got) == 41 and (got["urn:uuid:1"]["record_type"], bytes(got["urn:uuid:1"]["payload"])) == ("warcinfo", b"software:")
+
+
+def test_each_split_has_a_task(spark, tmp_path):
+    rows = [(n, "u", "".join(chr(33 + (n * 7 + i * i) % 90) for i in range(900))) for n in range(300)]
+    files = cut_lineage(warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path)))
+    size = files.first()["n_bytes"]
+    records = warc.read_archives(files, size // 99)
+    stored = cut_lineage(records.withColumn("task", F.spark_partition_id()))
+    assert stored.count() == 300 and records.rdd.getNumPartitions() in (100, 101) and stored.select("task").distinct().count() > 60
