@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, exact_dedup, mixing, near_dedup, packing, quality_rules, suffix_arrays, suffix_trees, toxicity, warc
+from seqloom.llm import (
+    alignment, chat, exact_dedup, mixing, near_dedup, packing, quality_rules, search, suffix_arrays, suffix_trees, token_files,
+    toxicity, warc,
+)
 from seqloom.session import cut_lineage, default_shared_folder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,11 +66,11 @@ def op3_toxicity(spark, sf_dir):
     )
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file that the packed ids are defined by; the package is on every node."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file by which ids are defined; the package is on every node."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -158,3 +161,43 @@ def op10_warc_archives(spark, sf_dir):
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query
+def op11_ranked_search(spark, sf_dir):
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLES["op11_ranked_search"] = f"""
+WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+s AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, n_docs),
+q AS (SELECT item_id, unnest({TERMS}) AS term FROM benchmark),
+c AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+r AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // n_terms)))))::BIGINT AS score
+      FROM c JOIN w USING (term) JOIN f USING (term) JOIN d USING (doc_id), s GROUP BY item_id, doc_id),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+      FROM r WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10
+"""
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    pair = alignment.token_pair(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return alignment.align(table(spark, sf_dir, "documents"), pair)
+
+
+@query
+def op13_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    files = token_files.write_token_files(docs, packing.word_encoder(tokenizer_path()), folder)
+    read = token_files.read_token_files(files, folder, with_ids=False)
+    return read.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -36,7 +36,7 @@ def test_query_matches_sql(name, spark):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(ORACLES) <= set(oracle_sql()) and corpus_pipeline.ORACLE_SQL is None
 
 
@@ -87,3 +87,29 @@ def test_archives_hold_every_page(spark):
 
 def test_pipeline_gives_pieces(spark):
     assert queries()["pipeline"](spark, SF_DIR).count() > 0
+
+
+def test_alignment_over_the_whole_table(spark):
+    from tests.llm.test_alignment import brute
+
+    rows = [row for row in read("documents")[["doc_id", "text"]].itertuples(index=False, name=None) if len(row[1]) < 400]
+    whole = queries()["op12_token_alignment"](spark, SF_DIR).toPandas().set_index("doc_id")
+    assert len(whole) == len(read("documents"))
+    for key, n_a, n_b, n_groups, n_links, _, _, digest in brute(rows[:60]):
+        row = whole.loc[key]
+        assert (row.n_a, row.n_b, row.n_groups, row.n_links, row.groups_sha256) == (n_a, n_b, n_groups, n_links, digest)
+    assert (whole.n_links == whole.n_a + whole.n_b - whole.n_groups).all() and (whole.count_sum >= whole.n_links).all()
+
+
+def test_token_files_over_the_whole_table(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = queries()["op13_token_files"](spark, SF_DIR).toPandas().sort_values("doc_id")
+    rows = read("documents").sort_values("doc_id")
+    ids = [encoded.ids + [1] for encoded in plain.encode_batch(rows.text.tolist(), add_special_tokens=False)]
+    lengths = np.array([len(part) for part in ids])
+    assert got.doc_id.tolist() == rows.doc_id.tolist() and got.n_tokens.tolist() == lengths.tolist()
+    assert got.start.tolist() == (np.cumsum(lengths) - lengths).tolist()
+    assert got.ids_crc32.tolist() == [zlib.crc32(np.array(part, "<u4").tobytes()) for part in ids]
