@@ -243,6 +243,18 @@ DEPTHS = " UNION ALL ".join(
 PREFIXES = f"SELECT depth, prefix, list_sort(list(DISTINCT token)) AS next FROM ({DEPTHS}) GROUP BY depth, prefix"
 
 
+USED_ITEMS = """
+            SELECT *, CAST(price AS DOUBLE) AS price_number FROM item_rows
+            WHERE parent_asin IN (SELECT parent_asin FROM event_rows)"""
+ALLOWED = f"""
+            SELECT parent_asin, {text('a.prefix')} AS prefix,
+                   coalesce({text('p.next')}, '{EOS}') AS next
+            FROM (SELECT parent_asin, CASE WHEN parent_asin % 7 = 0 THEN [tokens[2], tokens[1]]
+                         ELSE tokens[1:parent_asin % 5] END AS prefix FROM tok) a
+            LEFT JOIN ({PREFIXES}) p ON a.prefix = p.prefix"""
+LABELLED = "SELECT user_id, parent_asin, rating, ts_ms, category, pos, rev_pos, split FROM loo"
+
+
 def _oracles() -> dict[str, str]:
     return {
         "ingest_clean": with_ctes("SELECT * FROM clean"),
@@ -274,6 +286,27 @@ def _oracles() -> dict[str, str]:
                 WHERE {pmod('h', 100)} < 20""",
             spark_hash("clean", "user_id"),
         ),
+        "row_hash_sample": """
+            SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+            WHERE ('0x' || substr(md5('sample:' || l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT / 4294967296.0 < 0.1""",
+        "json_checked_rows": with_ctes("SELECT * EXCLUDE l_linenumber FROM raw WHERE l_linenumber NOT IN (6, 7)"),
+        "json_quarantine_report": with_ctes("""
+            SELECT *, round(100.0 * malformed / greatest(rows + malformed, 1), 6) AS malformed_pct FROM (
+                SELECT category, count(*) FILTER (l_linenumber NOT IN (6, 7)) AS rows,
+                       count(*) FILTER (l_linenumber IN (6, 7)) AS malformed FROM raw GROUP BY category)"""),
+        "partition_pruned_read": with_ctes("SELECT * EXCLUDE event_ts FROM clean WHERE category = 'N'"),
+        "partition_pruned_join": with_ctes("""
+            SELECT c.* EXCLUDE event_ts, verified FROM clean c JOIN (
+                SELECT category, count(*) FILTER (verified_purchase) AS verified FROM clean GROUP BY category) k
+            ON c.category = k.category WHERE verified = 0"""),
+        "loo_split_bucketed": with_ctes(LABELLED),
+        "loo_split_bucketed_hot": with_ctes(LABELLED),
+        "user_totals_bucketed": with_ctes("""
+            SELECT user_id, parent_asin, ts_ms, count(*) OVER u AS user_rows, max(ts_ms) OVER u AS last_ts_ms
+            FROM clean WINDOW u AS (PARTITION BY user_id)"""),
+        "kcore_losses_by_round": with_ctes(CORE, core_rounds("clean", 23)),
+        "kcore_peel_hot_keys": with_ctes(CORE, core_rounds("clean", 23)),
+        "kcore_dissolves_by_round": with_ctes(CORE, core_rounds("clean", 24)),
         "kcore_dense_k20": with_ctes(CORE, core_rounds("clean", 20)),
         "kcore_losses": with_ctes(CORE, core_rounds("clean", 23)),
         "kcore_hot_keys": with_ctes(CORE, core_rounds("clean", 23)),
@@ -314,9 +347,7 @@ def _oracles() -> dict[str, str]:
         "user_sequences": with_ctes("""
             SELECT user_id, 0::BIGINT AS chunk, string_agg(parent_asin, ' ' ORDER BY ts_ms, parent_asin) AS items,
                    count(*) AS n, count(*) - 2 AS n_train FROM clean GROUP BY user_id"""),
-        "loo_split": with_ctes(
-            "SELECT user_id, parent_asin, rating, ts_ms, category, pos, rev_pos, split FROM loo"
-        ),
+        "loo_split": with_ctes(LABELLED),
         "loo_report": with_ctes("""
             SELECT *, valid = users AS valid_is_users, test = users AS test_is_users FROM (
                 SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'valid') AS valid,
@@ -331,9 +362,8 @@ def _oracles() -> dict[str, str]:
         "enrich_over_limit": with_ctes("""
             SELECT user_id, parent_asin, ts_ms, title, store FROM clean LEFT JOIN item_rows USING (parent_asin)"""),
         "interactions_from_json": with_ctes("SELECT * FROM clean"),
-        "used_items": with_ctes("""
-            SELECT *, CAST(price AS DOUBLE) AS price_number FROM item_rows
-            WHERE parent_asin IN (SELECT parent_asin FROM event_rows)"""),
+        "used_items": with_ctes(USED_ITEMS),
+        "used_items_reduced": with_ctes(USED_ITEMS),
         "join_plan_report": with_ctes("""
             SELECT strategy, join_node, rows, matched FROM (VALUES ('merge', 'SortMergeJoin'),
                 ('broadcast', 'BroadcastHashJoin'), ('reduced_broadcast', 'BroadcastHashJoin')) s(strategy, join_node),
@@ -437,12 +467,8 @@ def _oracles() -> dict[str, str]:
                    {EOS}::INTEGER AS "EOS", '{' '.join(map(str, LEVEL_OFFSETS))}' AS layer_offsets,
                    {HISTORY_ITEMS}::INTEGER AS max_hist_items, count(*) AS n_items FROM part""",
         "prefix_table": with_ctes(f"SELECT depth, {text('prefix')} AS prefix, {text('next')} AS next FROM ({PREFIXES})"),
-        "allowed_next": with_ctes(f"""
-            SELECT parent_asin, {text('a.prefix')} AS prefix,
-                   coalesce({text('p.next')}, '{EOS}') AS next
-            FROM (SELECT parent_asin, CASE WHEN parent_asin % 7 = 0 THEN [tokens[2], tokens[1]]
-                         ELSE tokens[1:parent_asin % 5] END AS prefix FROM tok) a
-            LEFT JOIN ({PREFIXES}) p ON a.prefix = p.prefix"""),
+        "allowed_next": with_ctes(ALLOWED),
+        "allowed_next_trie": with_ctes(ALLOWED),
         "popularity_topk": with_ctes("SELECT * FROM popular"),
         "first_targets": with_ctes("SELECT user_id, parent_asin FROM truth ORDER BY user_id LIMIT 50"),
         "popularity_eval": with_ctes(metrics("popular_ranks")),

@@ -20,14 +20,18 @@ from seqloom.operators import skew as sk
 from seqloom.operators import tokens as tk
 from seqloom.operators.itemtext import text_corpus
 from seqloom.operators.prefixes import allowed_next as next_tokens
+from seqloom.operators.prefixes import allowed_next_by_trie
 from seqloom.operators.prefixes import prefix_table as build_prefix_table
 from seqloom.operators.ranking import ranked
 from seqloom.operators.vectors import embed, vector_stats, standardize as standardize_vectors
-from seqloom.plans.inspect import join_nodes, schema_listing
+from seqloom.plans.inspect import exchange_count, join_nodes, partition_filters, schema_listing
 from seqloom.plans.reports import adaptive_comparison, enrich_strategies, kcore_strategies, repeat_cost
 from seqloom.schemas import EOS, PAD
-from seqloom.session import cut_lineage
-from seqloom.sources.readers import union_all, user_sample
+from seqloom.session import cut_lineage, scratch_path
+from seqloom.sources.keyed import KeyedTable, join_by_key, store_by_key
+from seqloom.sources.readers import quarantine_report, read_interactions_checked, read_parquet, union_all, user_sample
+from seqloom.sources.readers import row_hash_sample as sample_by_hash
+from seqloom.sources.writers import write_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,6 +116,101 @@ def user_hash_sample(spark, sf_dir):
     return user_sample(t.clean(spark, sf_dir), kept=20, buckets=100).select("user_id", "parent_asin", "ts_ms")
 
 
+@query
+def row_hash_sample(spark, sf_dir):
+    lines = t.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return sample_by_hash(lines, 0.1, ["l_orderkey", "l_linenumber"])
+
+
+def checked_interactions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Order lines as JSON files, one folder per category. The sixth line of an order has a rating in words, and the seventh
+    breaks off, so readers put both in quarantine."""
+    raw = t.raw_interactions(spark, sf_dir)
+    line = F.to_json(F.struct(*[name for name in raw.columns if name != "category"]))
+    line = F.when(F.col("helpful_vote") == 6, F.regexp_replace(line, '"rating":[0-9.]+', '"rating":"high"')).otherwise(
+        F.when(F.col("helpful_vote") == 7, F.substring(line, 1, 40)).otherwise(line)
+    )
+    folder = scratch_path(spark, "lines")
+    for flag in ("A", "N", "R"):
+        raw.filter(F.col("category") == flag).select(line).write.text(f"{folder}/{flag}")
+    schema = "rating DOUBLE, asin BIGINT, parent_asin BIGINT, user_id BIGINT, timestamp BIGINT, helpful_vote BIGINT, verified_purchase BOOLEAN"
+    return read_interactions_checked(spark, {flag: f"{folder}/{flag}" for flag in ("A", "N", "R")}, schema)
+
+
+@query
+def json_checked_rows(spark, sf_dir):
+    return checked_interactions(spark, sf_dir)[0]
+
+
+@query
+def json_quarantine_report(spark, sf_dir):
+    return rounded(quarantine_report(*checked_interactions(spark, sf_dir)))
+
+
+# Layouts
+
+
+def partitioned(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of the clean rows with one directory per category."""
+    path = scratch_path(spark, "by-category")
+    write_parquet(t.clean(spark, sf_dir).drop("event_ts"), path, partition_by="category")
+    return path
+
+
+@query
+def partition_pruned_read(spark, sf_dir):
+    """Reads one of the directories."""
+    rows = read_parquet(spark, partitioned(spark, sf_dir), "category = 'N'")
+    if "category" not in partition_filters(rows):
+        raise AssertionError("directories are not skipped")
+    return rows
+
+
+@query
+def partition_pruned_join(spark, sf_dir):
+    """Reads the directories that a filter on the other side of a join leaves."""
+    path = partitioned(spark, sf_dir)
+    kinds = cut_lineage(
+        read_parquet(spark, path).groupBy(F.col("category").alias("kind")).agg(F.count_if("verified_purchase").alias("verified"))
+    )
+    rows = read_parquet(spark, path).join(kinds.filter("verified = 0"), F.col("category") == F.col("kind")).drop("kind")
+    if "dynamicpruning" not in partition_filters(rows):
+        raise AssertionError("directories are not skipped")
+    return rows
+
+
+def by_user(spark: SparkSession, sf_dir: str, **options: int) -> KeyedTable:
+    return store_by_key(t.clean(spark, sf_dir), "user_id", HASH_PARTITIONS, **options)
+
+
+def without_exchange(df: DataFrame) -> DataFrame:
+    if exchange_count(df):
+        raise AssertionError("rows laid out by user are exchanged")
+    return df
+
+
+@query
+def loo_split_bucketed(spark, sf_dir):
+    """The split of rows that already lie by user."""
+    placed = by_user(spark, sf_dir).ranked(["ts_ms", "parent_asin"], "pos", "seq_len")
+    return without_exchange(sq.loo_labels(placed)).drop("event_ts")
+
+
+@query
+def loo_split_bucketed_hot(spark, sf_dir):
+    """Users with more than 40 rows lie outside the buckets and are ranked in slices."""
+    placed = by_user(spark, sf_dir, hot_rows=40).ranked(["ts_ms", "parent_asin"], "pos", "seq_len")
+    return sq.loo_labels(placed).drop("event_ts")
+
+
+@query
+def user_totals_bucketed(spark, sf_dir):
+    """An aggregate by user and its join with the rows."""
+    table = by_user(spark, sf_dir)
+    totals = table.totals(F.count(F.lit(1)).alias("user_rows"), F.max("ts_ms").alias("last_ts_ms"))
+    return without_exchange(join_by_key(table, totals)).select("user_id", "parent_asin", "ts_ms", "user_rows", "last_ts_ms")
+
+
 # k-core
 
 CORE_COLUMNS = ("user_id", "parent_asin", "ts_ms", "rating", "category")
@@ -124,10 +223,22 @@ def kcore_dense_k20(spark, sf_dir):
 
 @query
 def kcore_losses(spark, sf_dir):
+    """Losses are followed inside parts, and exchanged when no part can lose more by itself."""
+    return kc.kcore(t.clean(spark, sf_dir).select(*CORE_COLUMNS), 23, strategy="peel").rows
+
+
+@query
+def kcore_losses_by_round(spark, sf_dir):
     """Losses are followed through several rounds."""
     return kc.kcore(t.clean(spark, sf_dir).select(*CORE_COLUMNS), 23, strategy="delta").rows
 
 
+@query
+def kcore_peel_hot_keys(spark, sf_dir):
+    """Most users are dealt out over several parts."""
+    return kc.kcore(t.clean(spark, sf_dir).select(*CORE_COLUMNS), 23, strategy="peel", hot_rows=25).rows
+
+
 @query
 def kcore_hot_keys(spark, sf_dir):
     """Most keys are hot, so they stay where they are."""
@@ -136,13 +247,19 @@ def kcore_hot_keys(spark, sf_dir):
 
 @query
 def kcore_dissolves_k24(spark, sf_dir):
+    """Nothing is left, or little."""
+    return kc.kcore(t.clean(spark, sf_dir).select(*CORE_COLUMNS), 24, strategy="peel").rows
+
+
+@query
+def kcore_dissolves_by_round(spark, sf_dir):
     """Rounds until nothing is left, or little; the edge table is rewritten on the way."""
     return kc.kcore(t.clean(spark, sf_dir).select(*CORE_COLUMNS), 24).rows
 
 
 @query
 def kcore_own_columns(spark, sf_dir):
-    """Orders under their own column names: customers and clerks."""
+    """Orders under their own column names: customers and the five order priorities."""
     orders = t.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     return kc.kcore(orders, 10, user="o_custkey", item="o_orderpriority").rows
 
@@ -283,6 +400,15 @@ def used_items(spark, sf_dir):
     return used.withColumn("price_number", price_number())
 
 
+@query
+def used_items_reduced(spark, sf_dir):
+    """Most unused items are left out before the exchange."""
+    items = cl.dedup_items(t.items_with_copies(spark, sf_dir))
+    used = en.reduced_items(items, t.event_interactions(spark, sf_dir))
+    used = used.withColumn("description", joined("description", "|")).withColumn("categories", joined("categories", "|"))
+    return used.withColumn("price_number", price_number())
+
+
 @query
 def join_plan_report(spark, sf_dir):
     items = cl.dedup_items(t.items_with_copies(spark, sf_dir))
@@ -499,13 +625,24 @@ def prefix_table(spark, sf_dir):
     return table.select("depth", joined("prefix"), joined("next"))
 
 
+def asked_prefixes(tokens: DataFrame) -> DataFrame:
+    """Prefixes of all lengths, and some that no item has."""
+    known = F.slice("tokens", 1, (F.col("parent_asin") % 5).cast("int"))
+    swapped = F.reverse(F.slice("tokens", 1, 2))
+    return tokens.select("parent_asin", F.when(F.col("parent_asin") % 7 == 0, swapped).otherwise(known).alias("prefix"))
+
+
 @query
 def allowed_next(spark, sf_dir):
     tokens = t.tokens_by_item(spark, sf_dir)
-    known = F.slice("tokens", 1, (F.col("parent_asin") % 5).cast("int"))
-    swapped = F.reverse(F.slice("tokens", 1, 2))
-    asked = tokens.select("parent_asin", F.when(F.col("parent_asin") % 7 == 0, swapped).otherwise(known).alias("prefix"))
-    return next_tokens(asked, build_prefix_table(tokens)).select("parent_asin", joined("prefix"), joined("next"))
+    found = next_tokens(asked_prefixes(tokens), build_prefix_table(tokens))
+    return found.select("parent_asin", joined("prefix"), joined("next"))
+
+
+@query
+def allowed_next_trie(spark, sf_dir):
+    tokens = cut_lineage(t.tokens_by_item(spark, sf_dir))
+    return allowed_next_by_trie(asked_prefixes(tokens), tokens).select("parent_asin", joined("prefix"), joined("next"))
 
 
 # Evaluation

@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.columns import percent, ratio
 from seqloom.operators.clean import require_keys
-from seqloom.operators.ranking import HOT_GROUP_ROWS, hot_groups, split_hot
+from seqloom.operators.peel import peeled
+from seqloom.operators.ranking import HOT_GROUP_ROWS, find_hot, split_hot, store_with_hot
 from seqloom.plans.inspect import exchange_count
 from seqloom.schemas import ITEM, USER
 from seqloom.session import StoredTables, cut_lineage, drop_stored
 from seqloom.sources.readers import union_all
 
+# Strategies that go round by round; `peel` is the other one.
 STRATEGIES = ("delta", "table", "persist", "recompute")
+# Strategies whose intermediate results are tables in the shared folder.
+STORING = ("delta", "table", "peel")
 # While losses are followed, the edge table is rewritten once fewer than this share of its rows is left.
 REWRITE_SHARE = 0.5
 
 
 @dataclass
 class KCore:
-    """Surviving rows, the per-round trace (round, rows, seconds) and whether the fixpoint was reached."""
+    """Surviving rows, the trace (round, or exchange when peeling, rows, seconds) and whether the fixpoint was reached."""
 
     rows: DataFrame
     trace: list[tuple[int, int, float]]
@@ -67,10 +71,13 @@ def kcore(
     `recompute` runs every earlier round again; `persist` caches each round and frees the one before; `table` writes
     each round to the shared folder; `delta` does that in the first round, then leaves the edge table as it is and
     follows only the keys that the previous removals touched, so that a round with few removals is two scans without a
-    shuffle of edges.
+    shuffle of edges; `peel` runs many rounds in one, see `operators.peel`: its trace lists exchanges instead of rounds,
+    always to the fixpoint, so it takes no round limit.
     """
-    if strategy not in STRATEGIES:
-        raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
+    if strategy not in (*STRATEGIES, "peel"):
+        raise ValueError(f"strategy must be peel or one of {STRATEGIES}, not {strategy!r}")
+    if strategy == "peel" and max_rounds is not None:
+        raise ValueError("peel has no rounds to limit")
     with StoredTables(df.sparkSession) as tables:
         core = _kcore(df, k, max_rounds, strategy, user, item, hot_rows)
     core.tables = tables
@@ -83,12 +90,16 @@ def kcore(
 def _kcore(
     df: DataFrame, k: int, max_rounds: int | None, strategy: str, user: str, item: str, hot_rows: int
 ) -> KCore:
-    if strategy in ("delta", "table") and exchange_count(df):
+    if strategy in STORING and exchange_count(df):
         # The edges and the final join both read the rows; what needs shuffles to compute is computed once.
-        df = cut_lineage(df)
+        df, found = store_with_hot(df, [[user], [item]], hot_rows)
+    else:
+        found = [find_hot(df, [key], hot_rows) for key in (user, item)]
+    hot = dict(zip((user, item), found))
     edges = require_keys(df.select(user, item), [user, item])
-    hot = {key: hot_groups(edges, [key], hot_rows) for key in (user, item)}
-    hot = {key: None if found.isEmpty() else found for key, found in hot.items()}
+    if strategy == "peel":
+        users, items, trace = peeled(edges, k, user, item, hot[user])
+        return KCore(_between(df, users, items, user, item, hot), trace, True)
     trace: list[tuple[int, int, float]] = []
     cached: list[DataFrame] = []
     stored: DataFrame | None = None
@@ -125,11 +136,13 @@ def _kcore(
         users, items = losses.survivors()
     else:
         users, items = (edges.select(key).distinct() for key in (user, item))
-    # Rows go only when one of their ends goes, so the core is every row between surviving users and items.
-    kept = df
-    for key, keys in ((user, cut_lineage(users)), (item, cut_lineage(items))):
-        kept = _among(kept, keys, key, hot[key])
-    return KCore(kept.select(*df.columns), trace, converged, cached)
+    return KCore(_between(df, cut_lineage(users), cut_lineage(items), user, item, hot), trace, converged, cached)
+
+
+def _between(df: DataFrame, users: DataFrame, items: DataFrame, user: str, item: str, hot: dict) -> DataFrame:
+    """The rows between surviving users and items: all of the core, as rows go only when one of their ends goes."""
+    kept = _among(_among(df, users, user, hot[user]), items, item, hot[item])
+    return kept.select(*df.columns)
 
 
 def _full_round(edges: DataFrame, k: int, hot: dict[str, DataFrame | None]) -> DataFrame:

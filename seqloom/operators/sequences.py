@@ -20,7 +20,11 @@ def sessionize(df: DataFrame, user: str = USER, item: str = ITEM, ts: str = TS,
 
 def loo_split(df: DataFrame, user: str = USER, item: str = ITEM, ts: str = TS, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Leave-one-out labels. The reverse position follows from position and length, so one sort serves both."""
-    placed = sessionize(df, user, item, ts, hot_rows)
+    return loo_labels(sessionize(df, user, item, ts, hot_rows), user, item, ts)
+
+
+def loo_labels(placed: DataFrame, user: str = USER, item: str = ITEM, ts: str = TS) -> DataFrame:
+    """Leave-one-out labels of rows that have their position `pos` and their history's length `seq_len`."""
     placed = placed.withColumn("rev_pos", F.col("seq_len") - F.col("pos") + 1)
     labelled = placed.withColumn("split", split_label(F.col("rev_pos")))
     renamed = {USER: user, ITEM: item, TS: ts}

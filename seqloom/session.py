@@ -97,6 +97,16 @@ def default_shared_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
 
 
+def scratch_path(spark: SparkSession, name: str = "seqloom") -> str:
+    """A new path in the shared folder, for files that go with the enclosing StoredTables or when the driver's JVM exits."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop_path, file_system = _hadoop(spark, path)
+    file_system.deleteOnExit(hadoop_path)
+    for scope in _scopes[-1:]:
+        scope.paths.add(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 

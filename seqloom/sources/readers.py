@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions.columns import percent
 from seqloom.schemas import (
     INTERACTION_SCHEMA,
     ITEM_SCHEMA,
@@ -16,6 +17,7 @@ from seqloom.schemas import (
     USER,
     VALID_ID_SCHEMA,
 )
+from seqloom.session import cut_lineage
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -72,3 +74,50 @@ def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFram
 def user_sample(df: DataFrame, kept: int, buckets: int = 100, user: str = USER) -> DataFrame:
     """Every row of the users whose hash falls in the first `kept` of `buckets`: repeatable, whole sequences."""
     return df.filter(F.pmod(F.hash(user), F.lit(buckets)) < kept)
+
+
+def row_hash_sample(df: DataFrame, fraction: float, keys: list[str], seed: str = "sample") -> DataFrame:
+    """The rows whose keys' digest falls below `fraction`, whatever the partition layout; a null key counts as empty."""
+    named = F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(key).cast("string"), F.lit("")) for key in keys])
+    unit = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return df.filter(unit < fraction)
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_json_checked(spark: SparkSession, paths: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of well-formed lines, and a quarantine of the others: file, record.
+
+    A line is malformed if it is no JSON object, or if a field does not fit its type. It is in the quarantine alone, whole, and
+    never among the rows. The lines are parsed once and stored, as both results read them.
+    """
+    parsed = spark.read.schema(f"{schema}, {CORRUPT} STRING").option("columnNameOfCorruptRecord", CORRUPT).json(paths)
+    stored = cut_lineage(parsed.withColumn("_file", F.col("_metadata.file_path")))
+    rows = stored.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")
+    return rows, stored.filter(F.col(CORRUPT).isNotNull()).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("record"))
+
+
+def read_interactions_checked(
+    spark: SparkSession, paths_by_category: Mapping[str, str | list[str]], schema: str = INTERACTION_SCHEMA
+) -> tuple[DataFrame, DataFrame]:
+    """`read_interactions` with malformed lines in a quarantine of their own (category, file, record)."""
+    rows, bad = [], []
+    for category, paths in paths_by_category.items():
+        good, malformed = read_json_checked(spark, paths, schema)
+        rows.append(good.withColumn("category", F.lit(category)))
+        bad.append(malformed.select(F.lit(category).alias("category"), "file", "record"))
+    return union_all(rows), union_all(bad)
+
+
+def quarantine_report(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """category, rows, malformed and their share in percent, also of categories that have only one kind."""
+    kinds = [
+        df.groupBy("category").agg(F.count(F.lit(1)).alias("n")).withColumn("malformed", F.lit(flag))
+        for df, flag in ((rows, False), (bad, True))
+    ]
+    counts = union_all(kinds).groupBy("category").agg(
+        F.coalesce(F.sum(F.when(~F.col("malformed"), F.col("n"))), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("malformed"), F.col("n"))), F.lit(0)).alias("malformed"),
+    )
+    return counts.withColumn("malformed_pct", percent(F.col("malformed"), F.col("rows") + F.col("malformed")))

@@ -6,6 +6,8 @@ from pathlib import Path
 
 import pytest
 
+from seqloom.operators import kcore as kcore_module
+from seqloom.operators import peel
 from seqloom.operators.kcore import STRATEGIES, NotConverged, kcore, kcore_report
 from seqloom.plans.reports import kcore_strategies
 from seqloom.session import shared_folder
@@ -138,6 +140,39 @@ def test_strategy_report(spark):
     assert all(rows["table", r] == rows["persist", r] for (s, r) in rows if s == "table")
 
 
+@pytest.mark.parametrize("part_pairs", [1 << 18, 60])
+@pytest.mark.parametrize("hot_rows", [1_000_000, 12])
+def test_peeling_gives_the_core(spark, monkeypatch, part_pairs, hot_rows):
+    """Cascades inside parts and across them, users that several parts hold, repeated edges and a chain."""
+    monkeypatch.setattr(kcore_module, "peeled", lambda *args: peel.peeled(*args, part_pairs=part_pairs))
+    block = [(u, i) for u in range(15) for i in range(15)]
+    chain = [(100 + j, 200 + j) for j in range(12)] + [(101 + j, 200 + j) for j in range(12)] + [(112, 0)]
+    rows = random_rows(4, 500) + random_rows(4, 80) + block + chain
+    for k in (2, 4, 7):
+        kept, _, _ = plain_kcore(rows, k, 200)
+        core = kcore(frame(spark, rows), k, strategy="peel", hot_rows=hot_rows)
+        assert as_counter(core.rows) == Counter(kept) and core.converged
+        assert core.trace[-1][1] == len(kept)
+        core.release()
+
+
+def test_peeling_follows_a_chain_inside_a_part_without_exchanges(spark):
+    chain = [(j, 200 + j) for j in range(40)] + [(1 + j, 200 + j) for j in range(40)]
+    core = kcore(frame(spark, chain), 2, strategy="peel")
+    assert core.rows.isEmpty() and len(core.trace) <= 3
+
+
+def test_peeling_keeps_texts_nulls_and_other_columns(spark):
+    rows = [("ä", "x", 1.5)] * 3 + [("b", "x", None)] * 3 + [(None, "x", 0.0)] * 9 + [("b", None, 0.0)] * 9 + [("c", "y", 2.0)]
+    df = spark.createDataFrame(rows, "user_id STRING, parent_asin STRING, part DOUBLE")
+    core = kcore(df, 3, strategy="peel")
+    assert as_counter(core.rows) == Counter({("ä", "x", 1.5): 3, ("b", "x", None): 3}) and core.rows.columns == df.columns
+    with pytest.raises(ValueError, match="rounds"):
+        kcore(df, 3, max_rounds=2, strategy="peel")
+    none = kcore(df.limit(0), 2, strategy="peel")
+    assert none.rows.isEmpty() and none.converged
+
+
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
         kcore(frame(spark, []), 2, strategy="magic")
