@@ -32,8 +32,8 @@ def reduced_items(items: DataFrame, interactions: DataFrame, item: str = ITEM, b
 
     Map tasks of the interactions set a bit for the hash of each item they see. The OR of these bitmaps has `bits` bits, in rows
     of 4 KB, so it is broadcast whatever the tables hold, and an item whose bit is not set never reaches the exchange. Items
-    that share a bit with a used one are left to the semi-join. With many more items than bits nothing is saved, and the
-    result is the same.
+    that share a bit with a used one are left to the semi-join. A task of the interactions sends `bits` bits at most, so this
+    pays where items are wide or many; with many more used items than bits nothing is saved, and the result is the same.
     """
     place = F.pmod(F.xxhash64(item), F.lit(bits))
     seen = interactions.filter(F.col(item).isNotNull()).select(place.alias("_place"))
@@ -43,7 +43,9 @@ def reduced_items(items: DataFrame, interactions: DataFrame, item: str = ITEM, b
     at = F.bitmap_bit_position(place)
     placed = items.withColumns({"_at": at.cast("int"), "_own": F.bitmap_bucket_number(place)})
     byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
-    possible = placed.join(F.broadcast(bitmap), F.col("_own") == F.col("_bucket")).filter(F.getbit(byte, F.col("_at") % 8) == 1)
+    # A semi-join, as the optimizer would move the exact one below an inner join.
+    held = (F.col("_own") == F.col("_bucket")) & (F.getbit(byte, F.col("_at") % 8) == 1)
+    possible = placed.join(F.broadcast(bitmap), held, "left_semi")
     return used_items(possible.select(*items.columns), interactions, item)
 
 

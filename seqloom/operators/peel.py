@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from seqloom.session import cut_lineage, drop_stored
 
 # Pairs of a user and an item in one part, which a task holds in some 30 bytes each.
-PART_PAIRS = 1 << 18
+PART_PAIRS = 1 << 19
 UNKNOWN = 1 << 62
 
 
