@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from registry.queries import FIT_K, FIT_LEVELS, HASH_PARTITIONS, KS
+from registry.queries import COPIED, FIT_K, FIT_LEVELS, HASH_PARTITIONS, KS
 from registry.tables import K
 from seqloom.schemas import BOS, EOS, HISTORY_ITEMS, INPUT_LENGTH, LEVEL_OFFSETS, PAD, VOCAB_SIZE
 
@@ -119,6 +119,29 @@ def fitted(vectors: str, name: str, iterations: int = 2) -> dict[str, str]:
     return ctes
 
 
+def revived_fit(name: str, iterations: int) -> dict[str, str]:
+    """As `fitted`, from starting rows of which the last eight are copies; codes without rows move to the next spare rows."""
+    ctes = {f"{name}_left_0": f"""SELECT vec_id, r, CASE WHEN vec_id < {FIT_K - 8} THEN vec_id END AS start,
+            CASE WHEN vec_id BETWEEN 100 AND 139 THEN vec_id - 100 END AS spare FROM left_0
+        UNION ALL SELECT vec_id + {COPIED}, r, vec_id + 8, NULL FROM left_0 WHERE vec_id BETWEEN {FIT_K - 16} AND {FIT_K - 9}"""}
+    for level in range(FIT_LEVELS):
+        left = f"{name}_left_{level}"
+        ctes[f"{name}_{level}_0"] = f"SELECT start AS code, r, 0::BIGINT AS taken FROM {left} WHERE start IS NOT NULL"
+        for step in range(iterations):
+            before = f"{name}_{level}_{step}"
+            ctes[f"{before}_near"] = nearest(left, before)
+            ctes[f"{before}_unused"] = f"""SELECT code, taken + row_number() OVER (ORDER BY code) - 1 AS n FROM {before}
+                WHERE code NOT IN (SELECT code FROM {before}_near)"""
+            ctes[f"{name}_{level}_{step + 1}"] = f"""SELECT b.code, coalesce(m.r, s.r, b.r) AS r,
+                    b.taken + (SELECT count(*) FROM {before}_unused) AS taken FROM {before} b
+                LEFT JOIN ({means(f'SELECT code, r FROM {before}_near')}) m ON m.code = b.code
+                LEFT JOIN {before}_unused u ON u.code = b.code LEFT JOIN {left} s ON s.spare = u.n"""
+        ctes[f"{name}_near_{level}"] = nearest(left, f"{name}_{level}_{iterations}")
+        ctes[f"{name}_left_{level + 1}"] = f"""SELECT vec_id, list_transform(list_zip(n.r, centre), lambda p: p[1] - p[2]) AS r,
+            start, spare FROM {name}_near_{level} n JOIN {left} l USING (vec_id)"""
+    return ctes
+
+
 CTES: dict[str, str] = {
     "raw": """
         SELECT CAST(ceil(l_quantity / 10) AS DOUBLE) AS rating, l_suppkey AS asin, l_partkey AS parent_asin,
@@ -243,6 +266,12 @@ DEPTHS = " UNION ALL ".join(
 PREFIXES = f"SELECT depth, prefix, list_sort(list(DISTINCT token)) AS next FROM ({DEPTHS}) GROUP BY depth, prefix"
 
 
+EMBEDDED = """
+            SELECT parent_asin, CAST((((g * 2654435769) & 4294967295) >> 16) % 64 AS INTEGER) AS bucket, count(*)::DOUBLE AS ngrams
+            FROM (SELECT parent_asin, ord(t[i]) + 257 * ord(t[i + 1]) + 66049 * ord(t[i + 2])::BIGINT AS g
+                  FROM (SELECT parent_asin, t, unnest(range(1, length(t) - 1)) AS i
+                        FROM (SELECT parent_asin, title || '. ' || replace(categories, '|', ' ') || '. ' || store || '. '
+                                     || replace(description, '|', ' ') AS t FROM item_rows))) GROUP BY 1, 2"""
 USED_ITEMS = """
             SELECT *, CAST(price AS DOUBLE) AS price_number FROM item_rows
             WHERE parent_asin IN (SELECT parent_asin FROM event_rows)"""
@@ -407,12 +436,14 @@ def _oracles() -> dict[str, str]:
         "model_text_limited": with_ctes("""
             SELECT parent_asin, substr(title || '. ' || replace(categories, '|', ' ') || '. ' || store || '. '
                    || replace(description, '|', ' '), 1, 20) AS text FROM item_rows"""),
-        "embed_items": with_ctes("""
-            SELECT parent_asin, CAST((((g * 2654435769) & 4294967295) >> 16) % 64 AS INTEGER) AS bucket, count(*)::DOUBLE AS ngrams
-            FROM (SELECT parent_asin, ord(t[i]) + 257 * ord(t[i + 1]) + 66049 * ord(t[i + 2])::BIGINT AS g
-                  FROM (SELECT parent_asin, t, unnest(range(1, length(t) - 1)) AS i
-                        FROM (SELECT parent_asin, title || '. ' || replace(categories, '|', ' ') || '. ' || store || '. '
-                                     || replace(description, '|', ' ') AS t FROM item_rows))) GROUP BY 1, 2"""),
+        "embed_items": with_ctes(EMBEDDED),
+        "embed_items_by_worker": with_ctes(EMBEDDED),
+        "rq_revive": with_ctes(
+            "SELECT vec_id, a.code || ' ' || b.code AS codes, "
+            + ", ".join(f"round(list_inner_product({x}.r, {x}.r), 6) AS e{n}" for n, x in ((1, "c"), (2, "d")))
+            + " FROM rev_near_0 a JOIN rev_near_1 b USING (vec_id) JOIN rev_left_1 c USING (vec_id) JOIN rev_left_2 d USING (vec_id)",
+            revived_fit("rev", 3),
+        ),
         "standardize": """
             WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS dim,
                               CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),

@@ -23,7 +23,7 @@ from seqloom.operators.prefixes import allowed_next as next_tokens
 from seqloom.operators.prefixes import allowed_next_by_trie
 from seqloom.operators.prefixes import prefix_table as build_prefix_table
 from seqloom.operators.ranking import ranked
-from seqloom.operators.vectors import embed, vector_stats, standardize as standardize_vectors
+from seqloom.operators.vectors import embed, embed_by_worker, hashed_ngrams, vector_stats, standardize as standardize_vectors
 from seqloom.plans.inspect import exchange_count, join_nodes, partition_filters, schema_listing
 from seqloom.plans.reports import adaptive_comparison, enrich_strategies, kcore_strategies, repeat_cost
 from seqloom.schemas import EOS, PAD
@@ -37,6 +37,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 HASH_PARTITIONS = 16
 FIT_K, FIT_LEVELS = 32, 2
+COPIED = 1_000_000
 KS = (5, 10)
 
 
@@ -516,6 +517,28 @@ def rq_fit(spark, sf_dir):
     return rounded(rq.reconstruction_error(rq.quantize(vectors, books), dim=books[0].shape[1]))
 
 
+@query
+def rq_revive(spark, sf_dir):
+    """A fit whose last eight starting rows are copies of others, so that their codes have no rows and move to spare ones."""
+    vectors = t.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    twice = F.col("vec_id").between(FIT_K - 16, FIT_K - 9)
+    copies = vectors.filter(twice).withColumn("vec_id", F.col("vec_id") + COPIED).withColumn("start", (F.col("vec_id") - COPIED + 8).cast("int"))
+    rows = vectors.withColumn("start", F.when(F.col("vec_id") < FIT_K - 8, F.col("vec_id").cast("int"))).unionByName(copies)
+    spare = F.when(F.col("vec_id").between(100, 139), (F.col("vec_id") - 100).cast("int"))
+    books = rq.fit_codebooks(rows.withColumn("spare", spare), FIT_LEVELS, FIT_K, iterations=3, start="start", spare="spare")
+    coded = rq.quantize(rows, books)
+    errors = [F.get("sq_error", F.lit(level)).alias(f"e{level + 1}") for level in range(FIT_LEVELS)]
+    return rounded(coded.select("vec_id", joined("codes"), *errors))
+
+
+@query
+def embed_items_by_worker(spark, sf_dir):
+    vectors = embed_by_worker(text_corpus(t.items(spark, sf_dir)), hashed_ngrams())
+    return vectors.select("parent_asin", F.posexplode("embedding").alias("bucket", "ngrams")).filter("ngrams > 0").select(
+        "parent_asin", "bucket", F.col("ngrams").cast("double").alias("ngrams")
+    )
+
+
 @query
 def assign_with_stored_fit(spark, sf_dir):
     """A fit and its statistics go to a table and come back before items get their codes."""

@@ -97,36 +97,50 @@ def fit_codebooks(
     seed: int = 42,
     vector: str = "embedding",
     start: str | None = None,
+    spare: str | None = None,
 ) -> list[np.ndarray]:
     """One codebook per level: k-means from k random rows, then unused codes are revived and one more step is taken.
 
     `start` names a column that numbers the starting rows of every level from 0 to k-1 and is NULL elsewhere; the level is
-    then fitted by exactly `iterations` plain steps from them, in which a centre without rows stays. Without it, a level
+    then fitted by exactly `iterations` plain steps from them, in which a centre without rows stays. `spare` names a column
+    that numbers rows from 0 in the same way: every step counts the rows of each code, and codes without any move, in their
+    order, to the next spare rows that the level has not taken yet, as long as there are some. Without `start`, a level
     has fewer than k centres if there are fewer distinct vectors. NULL vectors take no part. The residuals of each level
     are stored, since every k-means iteration reads them.
     """
     codebooks: list[np.ndarray] = []
-    number = (F.col(start) if start else F.lit(None)).cast("int").alias("_start")
+    numbers = [(F.col(name) if name else F.lit(None)).cast("int").alias(alias) for name, alias in ((start, "_start"), (spare, "_spare"))]
     left = vectors.filter(F.col(vector).isNotNull())
-    left = cut_lineage(left.select(F.col(vector).cast("array<double>").alias("_left"), number))
+    left = cut_lineage(left.select(F.col(vector).cast("array<double>").alias("_left"), *numbers))
     for level in range(levels):
-        codebooks.append(_from_rows(left, iterations) if start else _fit_level(left, k, iterations, seed))
+        codebooks.append(_from_rows(left, iterations, bool(spare)) if start else _fit_level(left, k, iterations, seed))
         if level + 1 < levels:
             deeper = quantize(left, codebooks[-1:], "_left", residual="_next")
-            previous, left = left, cut_lineage(deeper.select(F.col("_next").alias("_left"), "_start"))
+            previous, left = left, cut_lineage(deeper.select(F.col("_next").alias("_left"), "_start", "_spare"))
             drop_stored(previous)
     drop_stored(left)
     return codebooks
 
 
-def _from_rows(left: DataFrame, iterations: int) -> np.ndarray:
-    rows = left.filter("_start is not null").orderBy("_start").collect()
-    centres = np.array([row["_left"] for row in rows])
+def _from_rows(left: DataFrame, iterations: int, revive: bool) -> np.ndarray:
+    centres = _numbered(left, "_start", None)
+    taken = 0
     for _ in range(iterations):
-        centres = _lloyd_step(left, centres)
+        centres, unused = _lloyd_step(left, centres)
+        if revive and len(unused):
+            fresh = _numbered(left.filter(F.col("_spare") >= taken), "_spare", len(unused))
+            centres[unused[: len(fresh)]] = fresh[: len(unused)]
+            taken += len(unused)
     return centres
 
 
+def _numbered(left: DataFrame, number: str, most: int | None) -> np.ndarray:
+    """The vectors of numbered rows in their order, the first `most` of them; never more than a codebook has codes."""
+    rows = left.filter(F.col(number).isNotNull()).orderBy(number)
+    rows = rows if most is None else rows.limit(most)
+    return np.array([row["_left"] for row in rows.select("_left", number).collect()])
+
+
 def _fit_level(left: DataFrame, k: int, iterations: int, seed: int) -> np.ndarray:
     # The block solver fails when equal vectors among the starting rows leave fewer than k centres; the row solver does
     # not, and the missing codes are revived below.
@@ -137,7 +151,7 @@ def _fit_level(left: DataFrame, k: int, iterations: int, seed: int) -> np.ndarra
     used = sorted(row["code"] for row in coded.distinct().collect())
     if len(used) == k:
         return centres
-    return _lloyd_step(left, _revived(left, centres[used], k))
+    return _lloyd_step(left, _revived(left, centres[used], k))[0]
 
 
 def _revived(left: DataFrame, centres: np.ndarray, k: int) -> np.ndarray:
@@ -152,15 +166,16 @@ def _revived(left: DataFrame, centres: np.ndarray, k: int) -> np.ndarray:
     return np.vstack([centres, *[np.array([row["_left"]]) for row in sorted(points, key=lambda row: row["_hash"])]])
 
 
-def _lloyd_step(left: DataFrame, centres: np.ndarray) -> np.ndarray:
-    """Move each centre to the mean of its rows; a centre without rows stays. At most k means reach the driver."""
+def _lloyd_step(left: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each centre moved to the mean of its rows, and the codes without rows, whose centres stay. At most k means reach the
+    driver."""
     coded = quantize(left, [centres], "_left").select(
         F.get("codes", F.lit(0)).alias("code"), array_to_vector("_left").alias("v")
     )
-    moved = centres.copy()
+    moved, used = centres.copy(), np.zeros(len(centres), bool)
     for row in coded.groupBy("code").agg(Summarizer.mean(F.col("v")).alias("mean")).collect():
-        moved[row["code"]] = row["mean"].toArray()
-    return moved
+        moved[row["code"]], used[row["code"]] = row["mean"].toArray(), True
+    return moved, np.flatnonzero(~used)
 
 
 def reconstruction_error(coded: DataFrame, dim: int) -> DataFrame:

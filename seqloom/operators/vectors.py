@@ -6,15 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from seqloom.functions.columns import model_text
 from seqloom.schemas import ITEM
 
 Encoder = Callable[[list[str]], np.ndarray]
+# Characters that an encoder gets at once.
+BATCH_CHARS = 1 << 20
 # Keeps a constant dimension from dividing by zero.
 STD_FLOOR = 1e-6
 
@@ -63,6 +66,36 @@ def embed(
     return keyed.mapInPandas(run, f"{item} {item_type}, embedding array<float>")
 
 
+def embed_by_worker(
+    texts: DataFrame, encoder_factory: Callable[[], Encoder], item: str = ITEM, text: str = "text", batch: int = 256,
+    batch_chars: int = BATCH_CHARS, max_chars: int | None = None,
+) -> DataFrame:
+    """`embed` for models that are slow to load: a Python worker loads its own once and keeps it from task to task.
+
+    At most `batch` texts, and `batch_chars` characters unless a single text has more, are encoded at once, so a worker holds
+    the model and the activations of one such batch.
+    """
+
+    def load():
+        encode = encoder_factory()
+
+        def predict(values: np.ndarray) -> np.ndarray:
+            words = ["" if value is None else str(value) for value in values.reshape(-1)]
+            ends = np.cumsum([max(len(word), 1) for word in words])
+            vectors, first = [], 0
+            while first < len(words):
+                spent = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, spent + batch_chars, side="right")))
+                vectors.append(np.asarray(encode(words[first:last]), dtype=np.float32))
+                first = last
+            return np.concatenate(vectors)
+
+        return predict
+
+    encode_batch = predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch)
+    return texts.select(item, encode_batch(model_text(text, max_chars)).alias("embedding"))
+
+
 def vector_stats(vectors: DataFrame, vector: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
     """Mean and sample standard deviation per dimension: one pass, merged in the JVM, two vectors on the driver."""
     summary = vectors.select(array_to_vector(F.col(vector)).alias("v")).select(

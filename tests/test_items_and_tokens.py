@@ -257,3 +257,41 @@ def test_decoded_candidates_and_reverse_lookup(spark):
     assert {r["rank"]: r["tokens"] for r in candidates.collect()} == {0: [1, 2, 3, 4], 1: [9, 9]}
     ids = spark.createDataFrame([("a", [1, 2, 3, 4])], "parent_asin STRING, tokens ARRAY<INT>")
     assert {r["rank"]: r["parent_asin"] for r in ev.tokens_to_items(candidates, ids).collect()} == {0: "a", 1: None}
+
+
+def test_a_worker_loads_its_model_once(spark, tmp_path):
+    import os
+
+    from seqloom.operators.vectors import embed, embed_by_worker, hashed_ngrams
+
+    folder, plain = str(tmp_path), hashed_ngrams()
+
+    def factory():
+        name = f"{folder}/{os.getpid()}"
+        with open(name, "a") as file:
+            file.write("x")
+        encode = plain()
+
+        def counted(texts):
+            assert len(texts) == 1 or sum(map(len, texts)) <= 60
+            return encode(texts)
+
+        return counted
+
+    texts = spark.createDataFrame([(n, "some text " * (n % 30)) for n in range(200)] + [(200, None)], "parent_asin INT, text STRING")
+    found = embed_by_worker(texts.repartition(40), factory, batch=16, batch_chars=60)
+    left, right = ({r[0]: r[1] for r in df.collect()} for df in (found, embed(texts.fillna(""), plain)))
+    assert left == right
+    loads = [os.path.getsize(path) for path in tmp_path.iterdir()]
+    assert len(loads) <= 8 and set(loads) == {1}
+
+
+def test_codes_without_rows_move_to_spare_rows(spark):
+    from seqloom.operators.quantize import fit_codebooks
+
+    points = [0.0, 0.0, 0.0, 10.0, 10.2, 20.0, 30.0]
+    rows = [([x], n if n < 3 else None, {5: 0, 6: 1}.get(n)) for n, x in enumerate(points)]
+    df = spark.createDataFrame(rows, "embedding ARRAY<DOUBLE>, start INT, spare INT")
+    (book,) = fit_codebooks(df, levels=1, k=3, iterations=3, start="start", spare="spare")
+    (stuck,) = fit_codebooks(df, levels=1, k=3, iterations=3, start="start")
+    assert len({round(x[0], 6) for x in book}) == 3 and len({round(x[0], 6) for x in stuck}) < 3
