@@ -266,6 +266,12 @@ DEPTHS = " UNION ALL ".join(
 PREFIXES = f"SELECT depth, prefix, list_sort(list(DISTINCT token)) AS next FROM ({DEPTHS}) GROUP BY depth, prefix"
 
 
+ITEM_TEXT = """
+            SELECT parent_asin, title || '. ' || replace(categories, '|', ' ') || '. ' || store || '. '
+                   || replace(description, '|', ' ') AS text FROM item_rows"""
+SEQUENCES = """
+            SELECT user_id, 0::BIGINT AS chunk, string_agg(parent_asin, ' ' ORDER BY ts_ms, parent_asin) AS items,
+                   count(*) AS n, count(*) - 2 AS n_train FROM clean GROUP BY user_id"""
 EMBEDDED = """
             SELECT parent_asin, CAST((((g * 2654435769) & 4294967295) >> 16) % 64 AS INTEGER) AS bucket, count(*)::DOUBLE AS ngrams
             FROM (SELECT parent_asin, ord(t[i]) + 257 * ord(t[i + 1]) + 66049 * ord(t[i + 2])::BIGINT AS g
@@ -373,9 +379,8 @@ def _oracles() -> dict[str, str]:
             {"order_loo": labelled("(SELECT o_custkey AS user_id, o_orderkey AS parent_asin, o_orderdate AS ts_ms FROM orders)")},
         ),
         "dedup_items_own_column": with_ctes("SELECT parent_asin AS sku, title, store FROM item_rows"),
-        "user_sequences": with_ctes("""
-            SELECT user_id, 0::BIGINT AS chunk, string_agg(parent_asin, ' ' ORDER BY ts_ms, parent_asin) AS items,
-                   count(*) AS n, count(*) - 2 AS n_train FROM clean GROUP BY user_id"""),
+        "user_sequences": with_ctes(SEQUENCES),
+        "sequences_read_back": with_ctes(SEQUENCES),
         "loo_split": with_ctes(LABELLED),
         "loo_report": with_ctes("""
             SELECT *, valid = users AS valid_is_users, test = users AS test_is_users FROM (
@@ -430,9 +435,7 @@ def _oracles() -> dict[str, str]:
                     USING (pid) GROUP BY 1)"""),
             spark_hash("(SELECT c_nationkey::BIGINT AS nation FROM customer)", "nation"),
         ),
-        "item_text": with_ctes("""
-            SELECT parent_asin, title || '. ' || replace(categories, '|', ' ') || '. ' || store || '. '
-                   || replace(description, '|', ' ') AS text FROM item_rows"""),
+        "item_text": with_ctes(ITEM_TEXT),
         "model_text_limited": with_ctes("""
             SELECT parent_asin, substr(title || '. ' || replace(categories, '|', ' ') || '. ' || store || '. '
                    || replace(description, '|', ' '), 1, 20) AS text FROM item_rows"""),
@@ -477,6 +480,11 @@ def _oracles() -> dict[str, str]:
             f"SELECT {i}::INTEGER AS level, round(count(DISTINCT c{i + 1}) / {K}.0::DOUBLE, 6) AS used_share FROM sids"
             for i in range(3))),
         "item_tokens": with_ctes(f"SELECT parent_asin, {text('tokens')} AS tokens FROM tok"),
+        "valid_ids_read_back": with_ctes(f"SELECT parent_asin, {text('tokens')} AS tokens FROM tok"),
+        "examples_read_back": with_ctes(example_text("seqs", "valid")),
+        "layout_read_back": with_ctes(f"""
+            SELECT user_id, parent_asin, pos, split, text FROM ({LABELLED}) JOIN ({ITEM_TEXT}) USING (parent_asin)
+            WHERE split = 'test'"""),
         "token_train": with_ctes(example_text("seqs", "train")),
         "token_blocks": with_ctes(example_text("seqs", "train")),
         "token_valid": with_ctes(example_text("seqs", "valid")),

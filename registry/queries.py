@@ -29,9 +29,12 @@ from seqloom.plans.reports import adaptive_comparison, enrich_strategies, kcore_
 from seqloom.schemas import EOS, PAD
 from seqloom.session import cut_lineage, scratch_path
 from seqloom.sources.keyed import KeyedTable, join_by_key, store_by_key
-from seqloom.sources.readers import quarantine_report, read_interactions_checked, read_parquet, union_all, user_sample
+from seqloom.sources.readers import (
+    quarantine_report, read_interactions_checked, read_parquet, read_sequences, read_token_examples, read_valid_ids, union_all,
+    user_sample,
+)
 from seqloom.sources.readers import row_hash_sample as sample_by_hash
-from seqloom.sources.writers import write_parquet
+from seqloom.sources.writers import write_json, write_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -476,6 +479,45 @@ def partition_skew_all(spark, sf_dir):
     return rounded(sk.partition_skew(regions, "nation", HASH_PARTITIONS, include_empty=True))
 
 
+# Files between stages
+
+
+@query
+def sequences_read_back(spark, sf_dir):
+    """Sequences written as JSON lines by the sequence stage and read by those after it."""
+    path = scratch_path(spark, "sequences")
+    write_json(sq.user_sequences(t.clean(spark, sf_dir)), path)
+    read = read_sequences(spark, path).select(F.col("user_id").cast("bigint").alias("user_id"), "chunk", "items", "n", "n_train")
+    return read.withColumn("items", joined("items"))
+
+
+@query
+def examples_read_back(spark, sf_dir):
+    """Token examples written with one directory per split; one split is read."""
+    path = scratch_path(spark, "examples")
+    steps = tk.token_steps(t.clean(spark, sf_dir), t.tokens_by_item(spark, sf_dir))
+    write_json(tk.examples(steps), path, partition_by="split")
+    read = read_token_examples(spark, path, "valid")
+    return as_text(read.withColumn("user_id", F.col("user_id").cast("bigint")))
+
+
+@query
+def valid_ids_read_back(spark, sf_dir):
+    path = scratch_path(spark, "ids")
+    write_json(t.tokens_by_item(spark, sf_dir), path)
+    return read_valid_ids(spark, path).select(F.col("parent_asin").cast("bigint").alias("parent_asin"), joined("tokens"))
+
+
+@query
+def layout_read_back(spark, sf_dir):
+    """Labelled rows written with one directory per split, and item texts in a stated number of files."""
+    rows, texts = scratch_path(spark, "split"), scratch_path(spark, "texts")
+    write_parquet(sq.loo_split(t.clean(spark, sf_dir)).drop("event_ts"), rows, partition_by="split")
+    write_parquet(text_corpus(t.items(spark, sf_dir)), texts, files=3)
+    labelled = read_parquet(spark, rows, "split = 'test'").select("user_id", "parent_asin", "pos", "split")
+    return labelled.join(read_parquet(spark, texts), "parent_asin")
+
+
 # Item text, vectors and semantic IDs
 
 

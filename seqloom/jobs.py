@@ -38,7 +38,13 @@ def show(title: str, report: DataFrame) -> None:
 
 def run_ingest(spark: SparkSession, args: argparse.Namespace) -> None:
     paths = dict(entry.split("=", 1) for entry in args.input)
-    raw = rd.bernoulli_sample(rd.read_interactions(spark, paths), args.fraction)
+    if args.quarantine:
+        raw, malformed = rd.read_interactions_checked(spark, paths)
+        wr.write_json(malformed, args.quarantine)
+        show("malformed lines", rd.quarantine_report(raw, malformed))
+    else:
+        raw = rd.read_interactions(spark, paths)
+    raw = rd.row_hash_sample(raw, args.fraction, [USER, ITEM, "timestamp"]) if args.fraction < 1.0 else raw
     # The raw rows are counted while they are parsed, once; everything else comes from the written table.
     counted = Observation("raw")
     cleaned = cl.ingest(cl.require_keys(raw).observe(counted, F.count(F.lit(1)).alias("rows")))
@@ -184,14 +190,15 @@ def parser() -> argparse.ArgumentParser:
 
     sub = stage("ingest", run_ingest)
     sub.add_argument("--input", action="append", required=True, metavar="CATEGORY=PATH")
-    sub.add_argument("--fraction", type=float, default=1.0)
+    sub.add_argument("--fraction", type=float, default=1.0, help="share of rows kept, by a hash of their key")
+    sub.add_argument("--quarantine", help="folder for malformed lines, which are else read as far as they go")
     sub.add_argument("--preview", type=int, default=5)
     sub = stage("kcore", run_kcore)
     sub.add_argument("--input", required=True)
     sub.add_argument("--k", type=int, default=5)
     sub.add_argument("--max-rounds", type=int, help="fail if the core takes more rounds")
     sub.add_argument("--compare", action="store_true", help="time every strategy first")
-    sub.add_argument("--strategy", choices=CORE_STRATEGIES, default="delta")
+    sub.add_argument("--strategy", choices=(*CORE_STRATEGIES, "peel"), default="delta")
     sub = stage("sessionize", run_sessionize)
     sub.add_argument("--input", required=True)
     sub.add_argument("--partitions", type=int, default=256)

@@ -57,6 +57,16 @@ def test_stages_chain_through_files(spark, folder, capsys):
     assert joined.filter("title is null").isEmpty() and joined.count() == spark.read.parquet(at("core")).count()
 
 
+def test_ingest_puts_malformed_lines_aside(spark, folder, capsys):
+    path = folder / "mixed.jsonl"
+    good = [{"user_id": f"u{n}", "parent_asin": "i", "timestamp": n, "rating": 1.0} for n in range(60)]
+    path.write_text("\n".join([*map(json.dumps, good), "broken {", '{"user_id": "u", "rating": "high"}']) + "\n")
+    at = lambda name: str(folder / name)
+    main(["ingest", "--input", f"x={path}", "--out", at("kept"), "--quarantine", at("aside"), "--fraction", "0.5"])
+    assert spark.read.json(at("aside")).count() == 2 and "|x       |60  |2        |" in capsys.readouterr().out
+    assert 15 < spark.read.parquet(at("kept")).count() < 45
+
+
 def test_stage_is_required():
     with pytest.raises(SystemExit):
         parser().parse_args([])
