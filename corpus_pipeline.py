@@ -15,26 +15,36 @@ from seqloom.session import cut_lineage, default_shared_folder
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that every quality rule passes, with their columns; null text counts as empty and goes. Rows with equal or
+    null ids keep their own verdicts. No rows give no rows."""
     default_shared_folder(spark)
     return quality_rules.kept_documents(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space that with the smallest id, once if the row is repeated. A null id stays only
+    where a group has no other; null and empty texts are equal to each other. Different texts under one id all stay."""
     default_shared_folder(spark)
     return exact_dedup.distinct_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a weighted Jaccard similarity of 0.8 or more: that with the smallest id. Texts without
+    shingles are linked to equal ones alone. Rows that share an id are known by id and text."""
     default_shared_folder(spark)
     return near_dedup.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate says, by a hash of the id, or of the text where it is null. A null source is a
+    source; empty texts follow the rate of their source."""
     default_shared_folder(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; null or empty text is the end token alone. Rows with equal or null
+    ids are documents of their own. No rows give no pieces."""
     default_shared_folder(spark)
     return packing.pack(docs, packing.word_encoder(tokenizer_path()))
 
