@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -329,32 +330,46 @@ def align(
     documents link has one short row for each shard, in tasks of its own count; no task holds more than a shard.
     """
     stored = cut_lineage(pair_postings(docs, pair, key, text, **options))
-    postings = stored.filter("a is not null").select("shard", *_POSTING_NAMES)
-    counts = cut_lineage(pair_counts(postings))
+    postings = stored.filter("a is not null").select("shard", "a", "b", "n_docs")
+    # Merged at any size, as the counts grow with the corpus. Only keys go through the join; bitmaps stay with their shard.
+    counts = cut_lineage(pair_counts(postings)).hint("merge")
     scored = postings.join(counts, (F.col("a") == F.col("c_a")) & (F.col("b") == F.col("c_b"))).select(
-        F.col("shard").alias("of_shard"), "n_docs", "summary", "words", "planes", "count", "best"
+        F.col("shard").alias("of_shard"), "c_a", "c_b", "count", "best"
     )
-    rows = stored.filter("a is null").select(*_DOC_NAMES)
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
     def returned(left: pa.Table, right: pa.Table) -> pa.Table:
-        size = left.num_rows
-        best, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for part in right.combine_chunks().to_batches(max_chunksize=1 << 14):
-            n_docs, summary, count = (part.column(name).to_numpy(zero_copy_only=False) for name in ("n_docs", "summary", "count"))
+        is_doc = pc.is_null(left.column("a"))
+        rows, lists = left.filter(is_doc), left.filter(pc.invert(is_doc))
+        best, total = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows, np.int64)
+        known = _pair_keys(right, "c_a", "c_b")
+        order = np.argsort(known)
+        known, count, is_best = (column[order] for column in (known, _numbers(right, "count"), _numbers(right, "best")))
+        for part in lists.to_batches(max_chunksize=1 << 14):
+            at = np.searchsorted(known, _pair_keys(part, "a", "b"))
             words, _ = byte_rows(part.column("words"))
             planes, plane_starts = byte_rows(part.column("planes"))
-            row, member, times = decode_postings(n_docs.astype(np.int64), np.ascontiguousarray(summary), words, planes, plane_starts)
-            np.add.at(total, member, times * count[row])
-            np.add.at(best, member, times * part.column("best").to_numpy(zero_copy_only=False)[row])
-        local = left.column("local").to_numpy()
+            row, member, times = decode_postings(
+                _numbers(part, "n_docs").astype(np.int64), np.ascontiguousarray(_numbers(part, "summary")), words, planes, plane_starts
+            )
+            np.add.at(total, member, times * count[at][row])
+            np.add.at(best, member, times * is_best[at][row])
+        local = _numbers(rows, "local")
         found = {"n_best": pa.array(best[local]), "count_sum": pa.array(total[local])}
-        return pa.table([found.get(name, left.column(name) if name in left.column_names else None) for name in names], names)
+        return pa.table([found.get(name, rows.column(name) if name in rows.column_names else None) for name in names], names)
 
     schema = f"doc_id {docs.schema[key].dataType.simpleString()}, " + ", ".join(
         f"{name} {'string' if name == 'groups_sha256' else 'long'}" for name in names[1:]
     )
-    return rows.groupBy("shard").cogroup(scored.groupBy("of_shard")).applyInArrow(returned, schema)
+    return stored.groupBy("shard").cogroup(scored.groupBy("of_shard")).applyInArrow(returned, schema)
+
+
+def _numbers(rows: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(name).to_numpy()
+
+
+def _pair_keys(rows: pa.Table | pa.RecordBatch, a: str, b: str) -> np.ndarray:
+    return _numbers(rows, a).astype(np.int64) << 16 | _numbers(rows, b).astype(np.int64)
 
 
 @lru_cache(maxsize=1)
