@@ -11,10 +11,10 @@ of segments. An id is stored as its rank, so the 256 most frequent ids take one
     data          the ranks' bytes, lowest first
 
 `open` is 1 if the last document goes on in the next segment, which is in the same file. Four ids share a control byte, and a
-table of 256 entries says where in the data each of the four lies, so a reader decodes a segment without a loop.
+table of 256 entries gives the lengths of the four, so a reader decodes a segment without a loop over ids.
 
-Documents are dealt out by ranges of their key and encoded in order, first with the ids themselves as ranks; a pass over
-these files counts the ids, and another writes them anew by frequency.
+Documents are dealt out by ranges of their key and encoded in order, first with the ids themselves as ranks. The tasks that
+write these files count the ids, and a pass over them writes the files anew by frequency.
 """
 
 from __future__ import annotations
@@ -42,12 +42,10 @@ MOST_TASKS = 100_000
 
 _HEADER = struct.Struct("<6I")
 _NULL, _GOES_ON = -1, -2
-_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
-_TOTALS = _LENGTHS.sum(axis=1)
-_PLACES = ((np.cumsum(_LENGTHS, axis=1) - _LENGTHS)[:, :, None] + np.arange(4)).reshape(256, 16).astype(np.int32)
-_MASKS = np.where(np.arange(4) < _LENGTHS[:, :, None], 255, 0).reshape(256, 16).astype(np.uint8)
+_LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 MANIFEST = "path string, part int, number int, n_bytes long, n_docs long, n_ids long"
+COUNTS = "id long, count long"
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -65,12 +63,16 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The `count` ranks that `encode_ranks` turned into these bytes."""
-    quads = np.frombuffer(control, np.uint8)
-    lengths = _TOTALS[quads]
-    padded = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(16, np.uint8)])
-    found = padded[(np.cumsum(lengths) - lengths)[:, None] + _PLACES[quads]]
-    found &= _MASKS[quads]
-    return found.reshape(-1).view("<u4")[:count]
+    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
+    at = np.cumsum(lengths, dtype=np.int64) - lengths
+    padded = np.frombuffer(data, np.uint8)
+    ranks = padded[at].astype("<u4")
+    for byte in (1, 2, 3):
+        longer = np.flatnonzero(lengths > byte)
+        if not len(longer):
+            break
+        ranks[longer] |= padded[at[longer] + byte].astype("<u4") << (8 * byte)
+    return ranks
 
 
 class _Writer:
@@ -80,7 +82,7 @@ class _Writer:
         self.store, self.root = open_folder(folder)
         self.store.create_dir(self.root, recursive=True)
         self.folder, self.file_bytes, self.segment_ids, self.rank_of = folder.rstrip("/"), file_bytes, segment_ids, rank_of
-        self.out, self.done = None, []
+        self.out, self.done, self.counts = None, [], np.zeros(0, np.int64)
         self._empty()
 
     def _empty(self) -> None:
@@ -124,6 +126,10 @@ class _Writer:
 
     def _segment(self, goes_on: bool) -> None:
         ids = np.concatenate(self.ids) if self.ids else np.empty(0, np.uint32)
+        if self.rank_of is None:
+            found = np.bincount(ids, minlength=len(self.counts))
+            found[: len(self.counts)] += self.counts
+            self.counts = found
         control, data = encode_ranks(ids if self.rank_of is None else self.rank_of[ids])
         keys = b"".join(self.keys)
         parts = (
@@ -197,7 +203,8 @@ def write_plain(
     docs: DataFrame, encoder: Callable[[], Callable[[bytes], np.ndarray]], folder: str, key: str = "doc_id",
     text: str = "text", end: int = END, file_bytes: int = FILE_BYTES, segment_ids: int = SEGMENT_IDS,
 ) -> DataFrame:
-    """Encode `docs` in ascending order of `key` into files whose ranks are the ids themselves; the manifest, see MANIFEST.
+    """Encode `docs` in ascending order of `key` into files whose ranks are the ids themselves; the manifest, see MANIFEST,
+    and with a null path the tasks' counts of ids, see COUNTS.
 
     Ranges are cut by key, then by a hash of the text and a number of the row, so rows that share a key may lie in several
     files. Part numbers are in the order of the ranges.
@@ -216,34 +223,28 @@ def write_plain(
             data = flat.tobytes()
             for n, doc_id in enumerate(batch.column(0).to_pylist()):
                 writer.document(doc_id, np.append(encode(data[offsets[n] : offsets[n + 1]]), np.uint32(end)))
-        yield writer.manifest(TaskContext.get().partitionId())
-
-    return placed.mapInArrow(write, MANIFEST)
-
-
-def count_ids(files: DataFrame) -> DataFrame:
-    """id and how often it occurs in files written by `write_plain`. A task sends one row for each id it saw."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for path, n_bytes in zip(*[batch.column(name).to_pylist() for name in ("path", "n_bytes")]):
-                for _, ids in _segments(path, n_bytes, None):
-                    found = np.bincount(ids, minlength=len(total))
-                    found[: len(total)] += total
-                    total = found
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "count"])
+        manifest = writer.manifest(TaskContext.get().partitionId())
+        seen = np.flatnonzero(writer.counts)
+        kinds = [(name, manifest.schema.field(name).type) for name in manifest.schema.names]
+        yield manifest.append_column("id", pa.nulls(manifest.num_rows, pa.int64())).append_column("count", pa.nulls(manifest.num_rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.nulls(len(seen), kind) for _, kind in kinds], pa.array(seen), pa.array(writer.counts[seen])],
+            [*[name for name, _ in kinds], "id", "count"],
+        )
 
-    return _dealt(files).mapInArrow(count, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    return placed.mapInArrow(write, f"{MANIFEST}, {COUNTS}")
 
 
-def write_ranked(files: DataFrame, folder: str, file_bytes: int = FILE_BYTES, segment_ids: int = SEGMENT_IDS) -> DataFrame:
-    """Write the files of `write_plain` anew in `folder`, by frequency; the manifest, whose order is that of `files`.
+def write_ranked(plain: DataFrame, folder: str, file_bytes: int = FILE_BYTES, segment_ids: int = SEGMENT_IDS) -> DataFrame:
+    """Write the files that `plain`, the stored result of `write_plain`, lists anew in `folder`, by frequency; the manifest,
+    whose order is the same.
 
     `ranks.bin` goes through the driver: a number for each id that occurs, so at most the tokenizer's vocabulary. Equally
     frequent ids go by the id.
     """
-    counts = count_ids(files).orderBy(F.desc("count"), "id").select("id").toPandas()["id"].to_numpy(np.int64)
+    files = plain.filter("path is not null").drop("id", "count")
+    counts = plain.filter("path is null").groupBy("id").agg(F.sum("count").alias("count"))
+    counts = counts.orderBy(F.desc("count"), "id").select("id").toPandas()["id"].to_numpy(np.int64)
     store, root = open_folder(folder)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/{RANKS}", compression=None) as stream:
@@ -291,7 +292,7 @@ def write_token_files(
     plain = cut_lineage(write_plain(docs, encoder, f"{folder}/plain", key, text, end, file_bytes, segment_ids))
     ranked = cut_lineage(write_ranked(plain, folder, file_bytes, segment_ids))
     store, root = open_folder(folder)
-    if not plain.isEmpty():
+    if not ranked.isEmpty():
         store.delete_dir(f"{root}/plain")
     return ranked
 
