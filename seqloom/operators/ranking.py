@@ -53,15 +53,18 @@ def hot_groups(df: DataFrame, group: Sequence[str], hot_rows: int = HOT_GROUP_RO
 def find_hot(df: DataFrame, group: Sequence[str], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame | None:
     """Table `_hot`: hashes of the groups with more than `hot_rows` rows; None if there are none.
 
-    One pass makes a summary map-side. Only groups that it names are counted, unless the table has so many rows that the
-    summary could miss one; then all groups are. There are fewer than rows / `hot_rows` hot groups, which is what makes this
+    A table of `hot_rows` rows or less has none. Else one pass makes a summary map-side, and only groups that it names are
+    counted, unless the table has so many rows that the summary could miss one; then all groups are. There are fewer than rows / `hot_rows` hot groups, which is what makes this
     table safe to broadcast: 10^12 rows have at most a million, 8 MB.
     """
-    seen = df.agg(F.count(F.lit(1)).alias("rows"), _frequent(group).alias("g")).first()
-    return _exact(df, group, seen["g"], seen["rows"], hot_rows)
+    rows = df.count()
+    named = df.agg(_frequent(group).alias("g")).first()["g"] if rows > hot_rows else None
+    return _exact(df, group, named, rows, hot_rows)
 
 
 def _exact(df: DataFrame, group: Sequence[str], named: list | None, rows: int, hot_rows: int) -> DataFrame | None:
+    if rows <= hot_rows:
+        return None
     keyed = df.select(_group_hash(group).alias("_hot"))
     if _summarised(rows, hot_rows):
         # A summary's counts are never too low.

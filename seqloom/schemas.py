@@ -29,7 +29,4 @@ CLEAN_COLUMNS = (
 LABELLED_COLUMNS = (
     "user_id", "parent_asin", "rating", "ts_ms", "event_ts", "category", "pos", "rev_pos", "split",
 )
-ITEM_COLUMNS = (
-    "parent_asin", "title", "description", "categories", "store", "main_category", "price", "average_rating",
-    "rating_number",
-)
+ITEM_COLUMNS = tuple(field.split()[0] for field in ITEM_SCHEMA.split(", "))

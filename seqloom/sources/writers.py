@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None, files: int | None = None) -> None:
-    """Overwrite `path`. `partition_by` makes one directory per value; `files` bounds the file count."""
-    writer = (df.coalesce(files) if files else _gathered(df, partition_by)).write.mode("overwrite")
+    """Overwrite `path`. `partition_by` makes one directory per value; `files` bounds the file count, or with both the number
+    of tasks, over which the rows of all values are spread evenly."""
+    if files and partition_by:
+        gathered = df.repartition(files)
+    else:
+        gathered = df.coalesce(files) if files else _gathered(df, partition_by)
+    writer = gathered.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 

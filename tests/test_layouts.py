@@ -133,3 +133,9 @@ def test_scratch_files_go_with_their_scope(spark):
     table.release()
     tables.release()
     assert not tables.paths
+
+
+def test_partitioned_writes_in_a_stated_number_of_tasks(spark, tmp_path):
+    path = tmp_path / "t"
+    write_parquet(rows(spark).withColumn("kind", F.col("item") % 3), str(path), partition_by="kind", files=2)
+    assert all(len(list(folder.glob("*.parquet"))) <= 2 for folder in path.glob("kind=*")) and spark.read.parquet(str(path)).count() == 600
