@@ -39,6 +39,29 @@ def op1_chat_prefix_targets(spark, sf_dir):
     return chat.read_back(cut_lineage(chat.prefix_examples(turns)))
 
 
+# A turn is `<s>ROLE\\nTEXT</s>`: eight characters around role and text, and one more for every character that is escaped.
+ORACLES["op1_chat_prefix_targets"] = r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM c),
+l AS (SELECT *, 8 + length(role) + length(text) + len(regexp_extract_all(role || text, '\\'))
+             + len(regexp_extract_all(role, chr(10)))
+             + 2 * len(regexp_extract_all(role, '</?s>|\[/?INST\]|<</?SYS>>'))
+             + 2 * len(regexp_extract_all(text, '</?s>|\[/?INST\]|<</?SYS>>')) AS chars FROM t),
+s AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY n) AS so_far,
+             count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY n DESC) AS replies_from_here FROM l)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (coalesce(sum(so_far) FILTER (role = 'assistant'), 0)
+        + coalesce(sum(chars) FILTER (replies_from_here = 0), 0))::BIGINT AS formatted_chars,
+       count(*) FILTER (role = 'assistant') AS n_examples
+FROM s GROUP BY conv_id
+"""
+
+
 @query
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -85,12 +108,50 @@ def op5_suffix_arrays(spark, sf_dir):
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# Two hexadecimal digits are a byte; strings of 2, 4, ... bytes are made of two of half the length.
+ORACLES["op5_suffix_arrays"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+b1 AS (SELECT doc_id, unnest(bytes) AS s1, generate_subscripts(bytes, 1) AS i FROM d),
+b2 AS (SELECT doc_id, i, s1, s1 || lead(s1, 1) OVER w AS s2 FROM b1 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b4 AS (SELECT doc_id, i, s1, s2 || lead(s2, 2) OVER w AS s4 FROM b2 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b8 AS (SELECT doc_id, i, s1, s4, s4 || lead(s4, 4) OVER w AS s8 FROM b4 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b16 AS (SELECT doc_id, i, s1, s4, s8 || lead(s8, 8) OVER w AS s16 FROM b8 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b32 AS (SELECT doc_id, i, s1, s4, s16 || lead(s16, 16) OVER w AS s32 FROM b16 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b100 AS (SELECT doc_id, i, s1, s32 || lead(s32, 32) OVER w || lead(s32, 64) OVER w || lead(s4, 96) OVER w AS s100
+         FROM b32 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, s1, s100 IS NOT NULL AND row_number() OVER (PARTITION BY s100 ORDER BY doc_id, i) > 1 AS again FROM b100),
+c AS (SELECT doc_id, i, s1, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS 99 PRECEDING) AS gone FROM r),
+e AS (SELECT *, gone AND NOT lag(gone, 1, FALSE) OVER (PARTITION BY doc_id ORDER BY i) AS begins FROM c),
+l AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+             string_agg(s1, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, len(bytes) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""
+
+
 @query
 def op6_suffix_trees(spark, sf_dir):
     left = suffix_trees.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+ORACLES["op6_suffix_trees"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w1 AS (SELECT doc_id, unnest(words) AS s1, generate_subscripts(words, 1) AS i FROM d),
+w2 AS (SELECT doc_id, i, s1, s1 || ' ' || lead(s1, 1) OVER w AS s2 FROM w1 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+w4 AS (SELECT doc_id, i, s1, s2 || ' ' || lead(s2, 2) OVER w AS s4 FROM w2 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+w13 AS (SELECT doc_id, i, s1, s4 || ' ' || lead(s4, 4) OVER w || ' ' || lead(s4, 8) OVER w || ' ' || lead(s1, 12) OVER w AS s13
+        FROM w4 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, s1, s13 IS NOT NULL AND min(doc_id) OVER (PARTITION BY s13) < doc_id AS again FROM w13),
+c AS (SELECT doc_id, i, s1, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS 12 PRECEDING) AS gone FROM r),
+l AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(s1, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+      FROM c GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     judged = quality_rules.cascade(table(spark, sf_dir, "documents"), statistics=list(quality_rules.STATISTICS))
@@ -163,6 +224,19 @@ def op10_warc_archives(spark, sf_dir):
     )
 
 
+# Five hexadecimal digits are four of base 32.
+ORACLES["op10_warc_archives"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+       translate(array_to_string(list_transform(generate_series(0, 7), lambda i: to_base(('0x' || substr(hex, 5 * i + 1, 5))::BIGINT, 32, 4)), ''),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
+
 @query
 def op11_ranked_search(spark, sf_dir):
     return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
