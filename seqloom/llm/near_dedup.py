@@ -1,11 +1,12 @@
 """Near-duplicate classes by improved consistent weighted sampling of TF-IDF shingles.
 
-A text's shingles are its windows of five words; a shingle weighs its count in the text times the inverse document
-frequency of its hash bucket over all documents. Frequency decides only a share of the weight, so that a threshold means
-about what it means for plain shingles: with the full logarithm, the copies of a common text would count as less alike than
-those of a rare one, only because they are many. Consistent weighted sampling (Ioffe's improved form) draws samples that
-two texts share with a probability equal to their weighted Jaccard similarity. Bands of samples put texts into buckets,
-and a pair from a bucket is linked only if the similarity of the whole texts reaches the threshold.
+A text's shingles are its windows of five words; a shingle weighs its count in the text times its inverse document
+frequency over all documents, 1 + ln(N / df). A shingle in less than one of RARE documents weighs as one in just that many:
+so the similarity of two texts depends on the shares of documents that hold their shingles, not on the number of documents,
+and the frequencies can be counted by hash buckets, which add less than such a share. Consistent weighted sampling (Ioffe's
+improved form) draws samples that two texts share with a probability equal to their weighted Jaccard similarity. Bands of
+samples put texts into buckets, and a pair from a bucket is linked only if the similarity of the whole texts reaches the
+threshold.
 
 Buckets are not expanded into pairs. Equal texts are one member. In each round a bucket's members are compared with a few
 pivots; what is linked joins a class. Members of one class need no comparison with each other, so rounds go on only in
@@ -38,7 +39,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 BUCKET_BITS = 18
-IDF_SHARE = 0.2
+RARE = 100
 ID_BITS = 44
 TABLE_BITS = 16
 BLOCK_BYTES = 1 << 21
@@ -79,11 +80,10 @@ def weights(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return counts.astype(np.float32) * idf[ids & (len(idf) - 1)]
 
 
-def inverse_frequencies(counts: np.ndarray, documents: int, share: float = IDF_SHARE) -> np.ndarray:
-    """Weight of a bucket's shingles by its document frequency: 1 - share, plus share times ln((1 + N) / (1 + df)) / ln(1 + N),
-    which is 1 for the rarest shingle and 0 for one in every document, or in a bucket that counts more than N."""
-    rarity = np.log(np.maximum((1 + documents) / (1 + counts), 1)) / np.log(2 + documents)
-    return (1 - share + share * rarity).astype(np.float32)
+def inverse_frequencies(counts: np.ndarray, documents: int, rare: float = RARE) -> np.ndarray:
+    """Weight of a bucket's shingles by its document frequency: 1 + ln((1 + N) / (1 + df)), from 1 for a shingle in every
+    document, or a bucket that counts more than N, to 1 + ln(rare)."""
+    return (1 + np.log(np.clip((1 + documents) / (1 + counts), 1, rare))).astype(np.float32)
 
 
 class Sampler:

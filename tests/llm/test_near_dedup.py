@@ -1,7 +1,9 @@
+import os
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from seqloom.llm import near_dedup as nd
@@ -102,3 +104,46 @@ def test_different_texts_under_one_id(documents):
     assert found - Counter({row: n for row, n in found.items() if row[0] == 6}) == Counter(expected)
     staying = Counter((r["doc_id"], r["text"][0]) for r in nd.representatives(documents(rows)).collect())
     assert staying == Counter({(5, "a"): 1, (5, "b"): 1, (3, "c"): 1, (6, "d"): 1})
+
+
+def test_weights_follow_shares_of_documents_not_their_number():
+    """A corpus of 100 times the documents, with buckets as full as one hash collision in a thousand documents makes them."""
+    df = np.array([0, 1, 5, 20, 300, 999])
+    small = nd.inverse_frequencies(df, 999)
+    large = nd.inverse_frequencies(100 * (df + 1) - 1 + np.where(df < 9, 100, 0), 99_999)
+    assert np.allclose(small, large) and np.isclose(small[0], 1 + np.log(nd.RARE)) and small[-1] == 1
+    assert (nd.inverse_frequencies(np.array([0, 50]), 0) == 1).all()
+
+
+def test_links_of_the_whole_table_at_default_bands(spark):
+    """Every pair of texts whose similarity reaches the threshold, by brute force over `documents`, against the classes."""
+    table = f"{os.environ.get('ORACLE_SF_DIR', '/root/testdata/sf0.01')}/documents.parquet"
+    docs = pd.read_parquet(table)[["doc_id", "text"]].sort_values("doc_id")
+    flat, offsets = byte_rows(pa.array(docs.text.fillna("")))
+    row, ids, counts = nd.shingles(flat, offsets)
+    df = np.bincount(ids & ((1 << nd.BUCKET_BITS) - 1), minlength=1 << nd.BUCKET_BITS)
+    w = nd.weights(ids, counts, nd.inverse_frequencies(df, len(docs))).astype(float)
+    total = np.bincount(row, w, len(docs))
+    held, shared = defaultdict(list), Counter()
+    for doc, shingle, weight in zip(row.tolist(), ids.tolist(), w.tolist()):
+        for other, less in held[shingle]:
+            shared[other, doc] += min(less, weight)
+        held[shingle].append((doc, weight))
+    linked = [(x, y) for (x, y), low in shared.items() if low >= nd.THRESHOLD * (total[x] + total[y] - low)]
+    parent = list(range(len(docs)))
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for x, y in linked:
+        parent[max(root(x), root(y))] = min(root(x), root(y))
+    got = nd.near_duplicates(spark.read.parquet(table)).toPandas().set_index("doc_id").class_id.reindex(docs.doc_id).to_numpy()
+    words = docs.text.fillna("").str.split().str.join(" ").tolist()
+    near = [(x, y) for x, y in linked if words[x] != words[y]]
+    assert near and sum(got[x] == got[y] for x, y in near) >= 0.9 * len(near)
+    whole = docs.doc_id.to_numpy()[[root(n) for n in range(len(docs))]]
+    with_words = np.array([bool(text) for text in words])
+    # No class joins what is not connected.
+    assert pd.Series(whole[with_words]).groupby(got[with_words]).nunique().max() == 1
