@@ -135,6 +135,21 @@ def test_tokens_refuse_a_code_out_of_range(spark):
         tk.item_tokens(spark.createDataFrame([("a", 0, 1, 2, 256)], IDS)).collect()
 
 
+def test_more_items_of_equal_codes_than_a_level_has_tokens(spark):
+    """Queries take every ordinal. The fourth tokens that have the numbers of PAD, BOS and EOS read back and lead to their items."""
+    coded = spark.range(300).select(F.col("id").alias("parent_asin"), F.expr("array(0, 1, 2)").alias("codes"))
+    tokens = tk.item_tokens(si.semantic_ids(coded), ordinals=None)
+    assert {r["parent_asin"]: r["tokens"] for r in tokens.collect()} == {n: [0, 257, 514, 768 + n] for n in range(300)}
+    noisy = F.expr("concat(array(1024), tokens, array(1026, 1024))").alias("tokens")
+    candidates = ev.decoded(tokens.select(F.col("parent_asin").alias("user_id"), F.lit(0).alias("rank"), noisy))
+    found = ev.tokens_to_items(candidates, tokens).collect()
+    assert len(found) == 300 and all(r["user_id"] == r["parent_asin"] for r in found)
+    cut = spark.createDataFrame([([1, 2, 3, 1026, 1024],), ([1, 1024, 2, 3, 4, 1026],), ([],), (None,)], "tokens ARRAY<INT>")
+    assert [r["tokens"] for r in ev.decoded(cut).collect()] == [[1, 2, 3], [1, 2, 3, 4], [], None]
+    with pytest.raises(PySparkException, match="0,256,2,0"):
+        tk.item_tokens(spark.createDataFrame([("a", 0, 256, 2, 0)], IDS), ordinals=None).collect()
+
+
 def brute_examples(by_user, tokens, history=20):
     out = set()
     for user, items in by_user.items():
