@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.columns import percent, ratio
@@ -105,6 +105,7 @@ def _kcore(
     stored: DataFrame | None = None
     losses: _Losses | None = None
     previous, converged = None, False
+    whole, many_reads = edges, any(table is not None for table in hot.values())
     while max_rounds is None or len(trace) < max_rounds:
         started = time.perf_counter()
         if losses is not None and losses.rows < REWRITE_SHARE * losses.stored_rows:
@@ -114,7 +115,11 @@ def _kcore(
         if losses is not None:
             rows = losses.advance()
         else:
+            if strategy == "recompute" and many_reads:
+                edges = _replayed(whole, len(trace), k, hot)
             edges = _full_round(edges, k, hot)
+            if strategy == "persist" and many_reads:
+                edges = cut_lineage(edges)
             if strategy in ("delta", "table"):
                 edges = cut_lineage(edges)
                 if stored is not None:
@@ -146,12 +151,28 @@ def _between(df: DataFrame, users: DataFrame, items: DataFrame, user: str, item:
 
 
 def _full_round(edges: DataFrame, k: int, hot: dict[str, DataFrame | None]) -> DataFrame:
+    """One round. Without hot keys it reads `edges` once, so the plan of n rounds on top of each other has n rounds; a join of
+    the edges with their own counts would double it with every key."""
     for key in hot:
+        if hot[key] is None:
+            rows = F.count(F.lit(1)).over(Window.partitionBy(key))
+            edges = edges.withColumn("_rows", rows).filter(F.col("_rows") >= k).drop("_rows")
+            continue
         enough = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= k).select(key)
         edges = _among(edges, enough, key, hot[key])
     return edges
 
 
+def _replayed(edges: DataFrame, rounds: int, k: int, hot: dict[str, DataFrame | None]) -> DataFrame:
+    """`edges` after some rounds, all of them run now. A round with hot keys reads its input several times, so each is stored
+    until the next has run; a plan of n such rounds would read the edges 9^n times."""
+    for n in range(rounds):
+        before, edges = edges, cut_lineage(_full_round(edges, k, hot))
+        if n:
+            drop_stored(before)
+    return edges
+
+
 def _among(edges: DataFrame, enough: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """Rows whose key is in `enough`.
 

@@ -9,6 +9,7 @@ import pytest
 from seqloom.operators import kcore as kcore_module
 from seqloom.operators import peel
 from seqloom.operators.kcore import STRATEGIES, NotConverged, kcore, kcore_report
+from seqloom.plans.inspect import physical_plan
 from seqloom.plans.reports import kcore_strategies
 from seqloom.session import shared_folder
 
@@ -173,6 +174,22 @@ def test_peeling_keeps_texts_nulls_and_other_columns(spark):
     assert none.rows.isEmpty() and none.converged
 
 
+def test_rounds_on_top_of_each_other_read_the_edges_once(spark):
+    """Rounds that are only planned, as `recompute` and `persist` do, must not double the plan."""
+    edges = frame(spark, random_rows(2)).select("user_id", "parent_asin")
+    for _ in range(6):
+        edges = kcore_module._full_round(edges, 2, {"user_id": None, "parent_asin": None})
+    assert physical_plan(edges).count("Exchange hashpartitioning") == 12 and "Join" not in physical_plan(edges)
+
+
+@pytest.mark.parametrize("strategy", ["persist", "recompute"])
+def test_planned_rounds_with_hot_keys(spark, strategy):
+    rows = [(0, i) for i in range(1, 60)] + [(u, 0) for u in range(1, 60)] + [(u, i) for u in range(70, 75) for i in range(70, 75)]
+    kept, trace, _ = plain_kcore(rows, 3)
+    core = kcore(frame(spark, rows), 3, strategy=strategy, hot_rows=20)
+    assert [entry[1] for entry in core.trace] == trace and as_counter(core.rows) == Counter(kept)
+
+
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
         kcore(frame(spark, []), 2, strategy="magic")
