@@ -3,9 +3,8 @@
 A turn is written `<s>ROLE\\nTEXT</s>`. Control strings inside roles and texts get `\\.` after their first character,
 backslashes are doubled and a line break in a role is `\\n`, so that the output reads back exactly.
 
-Contexts are stored once. The row of an example holds the text that it adds to the example before (its `segment`) and how
-many characters of the conversation precede it; `expanded` writes out whole examples. Stored in full, a conversation of
-n turns would take n * n / 2 turns, whatever the engine.
+The row of an example holds its whole text, context included, and how many characters of it are context, so a conversation
+of n turns takes up to n * n / 2 turns. Turns that no example ends with are rows of their own, which add to the context.
 """
 
 from __future__ import annotations
@@ -51,11 +50,17 @@ class _Conversation:
 
     def __init__(self, conv_id):
         self.conv_id, self.example, self.turns, self.chars = conv_id, 0, 0, 0
+        self.context: list[str] = []
         self.pending: list[str] = []
         self.pending_chars = self.pending_turns = 0
 
     def _row(self, loss_start=None, loss_end=None):
-        row = (self.conv_id, self.example, self.turns, self.pending_turns, self.chars, loss_start, loss_end, "".join(self.pending))
+        added = "".join(self.pending)
+        self.context.append(added)
+        if loss_start is not None:
+            self.context = ["".join(self.context)]
+        text = added if loss_start is None else self.context[0]
+        row = (self.conv_id, self.example, self.turns, self.pending_turns, self.chars, loss_start, loss_end, text)
         self.example += 1
         self.turns += self.pending_turns
         self.chars += self.pending_chars
@@ -100,22 +105,22 @@ def prefix_examples(
     conversations: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
     segment_chars: int = SEGMENT_CHARS,
 ) -> DataFrame:
-    """One row per example: conv_id, example, context_turns, new_turns, context_chars, loss_start, loss_end, segment.
+    """One row per example: conv_id, example, context_turns, new_turns, context_chars, loss_start, loss_end, text.
 
-    The example's text is the conversation's first `context_chars` characters, that is the segments of the rows before,
-    followed by `segment`; only characters loss_start..loss_end of it, the reply, are trainable. Turns after the last
-    reply, and runs of other turns of over `segment_chars` characters, are rows without trainable text.
+    `text` is the whole example: its first `context_chars` characters are all turns before, the rest its new turns; only
+    characters loss_start..loss_end, the reply, are trainable. Turns after the last reply, and runs of other turns of over
+    `segment_chars` characters, are rows without trainable text, and their `text` is the new turns alone.
 
     Turns go by `turn`, ties by role and text, nulls first; repeated rows are turns of their own. Null role or text is
     empty. Rows with a null key form one conversation. Other columns are dropped. No rows give no examples. One shuffle;
-    a task streams its conversations in order and holds one segment.
+    a task streams its conversations in order and holds the text of one.
     """
     rows = conversations.select(
         F.col(key).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
     )
     schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("context_turns", pa.int64()),
                         ("new_turns", pa.int64()), ("context_chars", pa.int64()), ("loss_start", pa.int64()),
-                        ("loss_end", pa.int64()), ("segment", pa.string())])
+                        ("loss_end", pa.int64()), ("text", pa.string())])
 
     def build(batches):
         def examples():
@@ -134,25 +139,20 @@ def prefix_examples(
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(
         build, "conv_id long, example long, context_turns long, new_turns long, context_chars long, loss_start long, "
-        "loss_end long, segment string",
+        "loss_end long, text string",
     )
 
 
 def expanded(examples: DataFrame) -> DataFrame:
-    """Whole examples: conv_id, example, text, loss_start, loss_end. As large as the expansion is by definition."""
-    targets = examples.filter("loss_start is not null").select("conv_id", "example", "loss_start", "loss_end")
-    parts = examples.select(F.col("conv_id").alias("of"), F.col("example").alias("part"), "segment")
-    joined = targets.join(parts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("part") <= F.col("example")))
-    ordered = F.array_sort(F.collect_list(F.struct("part", "segment")))
-    return joined.groupBy("conv_id", "example", "loss_start", "loss_end").agg(
-        F.array_join(ordered["segment"], "").alias("text")
-    ).select("conv_id", "example", "text", "loss_start", "loss_end")
+    """The examples that have a reply: conv_id, example, text, loss_start, loss_end."""
+    return examples.filter("loss_start is not null").select("conv_id", "example", "text", "loss_start", "loss_end")
 
 
 def read_back(examples: DataFrame) -> DataFrame:
     """Per conversation, from the examples alone: counts and SHA-256 digests of its turns and of its trainable text.
 
-    SHA-256 runs over a conversation's segments in order, so one task streams each conversation; it holds one segment.
+    SHA-256 runs over a conversation's turns in order, so one task streams each conversation and holds one example. An example
+    whose context is not the text before it stops the job.
     `formatted_chars` sums the lengths of the whole examples, contexts included; turns that no example ends with count once.
     """
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
@@ -162,23 +162,29 @@ def read_back(examples: DataFrame) -> DataFrame:
     def digest(batches):
         def rows():
             current, state = None, None
-            for conv_id, before, start, end, segment in _streamed(
-                batches, ["conv_id", "context_chars", "loss_start", "loss_end", "segment"]
+            for conv_id, before, start, end, text in _streamed(
+                batches, ["conv_id", "context_chars", "loss_start", "loss_end", "text"]
             ):
                 if state is None or conv_id != current:
                     if state is not None:
                         yield finished(current, state)
                     current = conv_id
-                    state = {"turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "loss_n": 0, "chars": 0, "tail": 0, "examples": 0}
-                for role, text in read_turns(segment):
-                    state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                    state = {"turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "loss_n": 0, "chars": 0, "tail": 0, "examples": 0, "whole": ""}
+                if start is None:
+                    added, state["whole"] = text, state["whole"] + text
+                else:
+                    if text[:before] != state["whole"]:
+                        raise ValueError(f"conversation {conv_id}: the context of an example is not the text before it")
+                    added, state["whole"] = text[before:], text
+                for role, words in read_turns(added):
+                    state["turns"].update(f"{role}\n{words}\n".encode("utf-8", "surrogatepass"))
                     state["n"] += 1
-                state["tail"] += len(segment)
+                state["tail"] += len(added)
                 if start is not None:
-                    said = unescape(segment[start - before : end - before])
+                    said = unescape(text[start:end])
                     state["loss"].update(said.encode("utf-8", "surrogatepass"))
                     state["loss_n"] += len(said)
-                    state["chars"] += before + len(segment)
+                    state["chars"] += len(text)
                     state["tail"] = 0
                     state["examples"] += 1
             if state is not None:

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from seqloom.llm import chat
 
@@ -62,6 +63,21 @@ def test_every_reply_is_an_example_with_all_turns_before(spark, segment_chars):
         assert examples[key] == [(turns[: n + 1], t) for n, (r, t) in enumerate(turns) if r == "assistant"]
 
 
+def test_rows_of_examples_hold_their_whole_text(spark):
+    """The examples themselves, not what is made of them later, hold context and reply; a wrong context is found."""
+    made = chat.prefix_examples(rows(spark), segment_chars=30)
+    texts = defaultdict(list)
+    for row in made.filter("loss_start is not null").orderBy("example").collect():
+        assert row["text"][row["context_chars"] :].startswith("<s>")
+        texts[row["conv_id"]].append(row["text"])
+    for key, turns in conversations().items():
+        pieces = [chat.render_turn(role, text)[0] for role, text in turns]
+        assert texts[key] == ["".join(pieces[: n + 1]) for n, (role, _) in enumerate(turns) if role == "assistant"]
+    with pytest.raises(Exception, match="context of an example"):
+        changed = F.replace("text", F.lit("be kind"), F.lit("be blind"))
+        chat.read_back(made.withColumn("text", F.when(F.col("context_turns") > 2, changed).otherwise(F.col("text")))).collect()
+
+
 def test_no_rows(spark):
     assert chat.read_back(chat.prefix_examples(rows(spark, []))).count() == 0
 
