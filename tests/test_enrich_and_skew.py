@@ -95,6 +95,29 @@ def test_adaptive_comparison_and_repeat_cost(spark, tables):
     ]
 
 
+def test_reports_compute_their_input_once_an_action(spark, tables):
+    """Repeated runs compute the input once each and the cache once more; joins read stored interactions."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(df):
+        def run(frames):
+            for frame in frames:
+                seen.add(len(frame))
+                yield frame
+
+        return df.mapInPandas(run, df.schema)
+
+    rows = spark.range(100).selectExpr("id AS n")
+    assert {r["rows"] for r in rp.repeat_cost(watched(rows)).filter("mode != 'plan'").collect()} == {100}
+    assert seen.value == 300
+    seen.value = 0
+    interactions, items = tables
+    exchanged = watched(interactions.repartition(3, "user_id"))
+    report = rp.enrich_strategies(exchanged, items).collect()
+    assert {r["rows"] for r in report} == {interactions.count()} and {r["error"] for r in report} == {None}
+    assert seen.value == interactions.count()
+
+
 def test_adaptive_execution_splits_hot_keys(spark, tmp_path):
     """One item and one user each hold a third of the rows; every shuffled join that meets them is split."""
     n = 60_000
