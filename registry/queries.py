@@ -275,12 +275,12 @@ def kcore_empty_k30(spark, sf_dir):
 
 @query
 def kcore_rounds(spark, sf_dir):
-    return kc.kcore(t.clean(spark, sf_dir), 23).rounds.select("round", "rows")
+    return kc.kcore(t.clean(spark, sf_dir).select(kc.USER, kc.ITEM), 23).rounds.select("round", "rows")
 
 
 @query
 def kcore_report(spark, sf_dir):
-    rows = t.clean(spark, sf_dir)
+    rows = t.clean(spark, sf_dir).select(kc.USER, kc.ITEM)
     return rounded(kc.kcore_report(rows, kc.kcore(rows, 23)))
 
 
