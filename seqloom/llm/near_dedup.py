@@ -15,8 +15,9 @@ round, until all such members were pivots: then every pair of members of differe
 
 In a crowded bucket, the many texts with something in common that are no near-duplicates would make this long. Its members
 are dealt anew, by shared shingles among their rarest (prefix filtering), and two of them are compared only if what both hold
-from that shingle on could reach the threshold (positional filtering). No link is lost, while what is common to the crowd
-brings nobody together.
+from that shingle on could reach the threshold (positional filtering). Rare is what few texts of the crowd hold, however many
+documents there are in all: a passage that a fixed share of them repeat comes after what is each text's own. No link is lost,
+while what is common to the crowd brings nobody together.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 BUCKET_BITS = 18
+CROWD_BITS = 20
 RARE = 100
 ID_BITS = 44
 TABLE_BITS = 16
@@ -240,6 +242,9 @@ def _thinned(members: DataFrame, texts: DataFrame, idf, threshold: float, crowde
     A text's rare shingles are the first, rarest first, that together weigh more than 1 - threshold of it. If all that two
     texts share came after the rare shingles of one of them, it would weigh less than the threshold asks for. `total` is the
     text's weight and `rest` what it weighs from the shingle on; both are 0 in the other buckets.
+
+    That holds for any order that all texts have in common. Theirs is by how many texts of the crowds hold a shingle, counted in
+    2^CROWD_BITS buckets. Weights would not do: they are equal below a share of documents, which may be very many.
     """
     members = members.select("bucket", "rep", F.lit(0.0).alias("total"), F.lit(0.0).alias("rest"))
     crowds = members.groupBy(F.col("bucket").alias("b")).count().filter(F.col("count") > crowded).select("b")
@@ -248,6 +253,8 @@ def _thinned(members: DataFrame, texts: DataFrame, idf, threshold: float, crowde
         return cut_lineage(members)
     in_crowd = F.col("bucket") == F.col("b")
     wanted = members.join(crowds, in_crowd, "left_semi").select(F.col("rep").alias("of")).distinct()
+    crowd_texts = cut_lineage(texts.join(wanted, F.col("doc") == F.col("of"), "left_semi"))
+    holders = members.sparkSession.sparkContext.broadcast(document_frequencies(crowd_texts, CROWD_BITS).astype(np.int32))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +262,7 @@ def _thinned(members: DataFrame, texts: DataFrame, idf, threshold: float, crowde
             for first, last, flat, offsets in _blocks(batch):
                 row, ids, counts = shingles(flat, offsets)
                 w = weights(ids, counts, idf.value).astype(np.float64)
-                order = np.lexsort((ids, -idf.value[ids & (len(idf.value) - 1)], row))
+                order = np.lexsort((ids, holders.value[ids & (len(holders.value) - 1)], row))
                 row, ids, w = row[order], ids[order], w[order]
                 sums = np.cumsum(w)
                 begins = np.searchsorted(row, np.arange(last - first))
@@ -269,9 +276,8 @@ def _thinned(members: DataFrame, texts: DataFrame, idf, threshold: float, crowde
                 columns = [-1 - ids[chosen], docs[first + row[chosen]], whole, rest]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "rep", "total", "rest"])
 
-    found = texts.join(wanted, F.col("doc") == F.col("of"), "left_semi")
-    found = found.mapInArrow(rare, "bucket long, rep long, total double, rest double")
-    found = cut_lineage(found)
+    found = cut_lineage(crowd_texts.mapInArrow(rare, "bucket long, rep long, total double, rest double"))
+    drop_stored(crowd_texts)
     shared = found.groupBy(F.col("bucket").alias("b")).count().filter("count > 1").select("b")
     dealt = found.join(shared, in_crowd, "left_semi").unionByName(members.join(crowds, in_crowd, "left_anti"))
     return cut_lineage(dealt)

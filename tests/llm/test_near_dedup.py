@@ -115,6 +115,23 @@ def test_weights_follow_shares_of_documents_not_their_number():
     assert (nd.inverse_frequencies(np.array([0, 50]), 0) == 1).all()
 
 
+def test_a_passage_of_a_crowd_deals_nobody_together(spark):
+    """Texts of one bucket repeat a passage, rare among all documents, in 70 of 100 words; each has one near copy."""
+    passage = [f"p{i}" for i in range(70)]
+    rows = []
+    for n in range(30):
+        own = [f"{n}x{i}" for i in range(30)]
+        rows += [(2 * n, " ".join(own + passage)), (2 * n + 1, " ".join([*own[:-1], "other", *passage]))]
+    texts = spark.createDataFrame(rows, "doc LONG, text STRING")
+    members = spark.createDataFrame([(1, doc) for doc, _ in rows], "bucket LONG, rep LONG")
+    idf = spark.sparkContext.broadcast(np.ones(1 << nd.BUCKET_BITS, np.float32))
+    dealt = defaultdict(set)
+    for row in nd._thinned(members, texts, idf, nd.THRESHOLD, 10).collect():
+        dealt[row["bucket"]].add(row["rep"])
+    assert max(map(len, dealt.values())) == 2
+    assert {tuple(sorted(reps)) for reps in dealt.values()} == {(2 * n, 2 * n + 1) for n in range(30)}
+
+
 def test_links_of_the_whole_table_at_default_bands(spark):
     """Every pair of texts whose similarity reaches the threshold, by brute force over `documents`, against the classes."""
     table = f"{os.environ.get('ORACLE_SF_DIR', '/root/testdata/sf0.01')}/documents.parquet"
