@@ -1,10 +1,13 @@
 """k-core by local peeling: each task removes all it can before anything is exchanged.
 
-The edges are dealt out by user. A part knows its users' rows and, for each of its items, how many rows the item had in all
-parts at the last exchange. Whatever the other parts do, an item that has lost so many rows here that fewer than k can be left
-is gone, and so is a user with fewer than k rows; their rows go, which may make others go. A part follows this to its end and
-then reports what its items have lost. Sums of these losses go to the parts that hold the items, and the next exchange begins.
-The fixpoint is reached when no part has lost anything.
+The edges are dealt out by user. A part knows its users' rows and, for each of its items, how many rows the item has in all
+parts. Whatever the other parts do, an item that has lost so many rows here that fewer than k can be left is gone, and so is a
+user with fewer than k rows; their rows go, which may make others go. A part follows this to its end and then reports what its
+items have lost. A ledger adds up the losses; the parts that hold an item are told once, when it is out, and the next exchange
+begins. The fixpoint is reached when no item is out anew.
+
+Parts are stored once, in the layout of the exchange, and never moved or written again: what they have removed follows from
+what they were told. So the rows exchanged are the losses, and the items that go with their holders, not parts times exchanges.
 
 Users with very many partners are dealt out by partner and treated like items, so that parts have about the same size.
 """
@@ -12,6 +15,8 @@ Users with very many partners are dealt out by partner and treated like items, s
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,179 +24,211 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from seqloom.session import cut_lineage, drop_stored
+from seqloom.session import conf_scope, cut_lineage, drop_stored, scratch_path
+from seqloom.sources.readers import union_all
 
 # Pairs of a user and an item in one part, which a task holds in some 30 bytes each.
 PART_PAIRS = 1 << 19
-UNKNOWN = 1 << 62
 
 
 class _Part:
-    """Edges of one part. `lost` counts what nodes lost since the last exchange."""
+    """Edges of one part. Totals are rows in all parts at the start; of users that only this part holds -1."""
 
     def __init__(self, users: pa.Array, items: pa.Array, u: np.ndarray, i: np.ndarray, n: np.ndarray, total_u: np.ndarray, total_i: np.ndarray):
-        # totals: rows in all parts at the last exchange; of users that only this part holds -1.
         self.users, self.items, self.u, self.i, self.n, self.total_u, self.total_i = users, items, u, i, n, total_u, total_i
 
     @staticmethod
     def first(rows: pa.Table) -> _Part:
+        rows = rows.sort_by("user")
         users, items = (rows.column(name).combine_chunks().dictionary_encode() for name in ("user", "item"))
-        shared = np.zeros(len(users.dictionary), bool)
-        u, i = users.indices.to_numpy().astype(np.int64), items.indices.to_numpy().astype(np.int64)
-        shared[u] = rows.column("shared").to_numpy(zero_copy_only=False)
-        return _Part(users.dictionary, items.dictionary, u, i, rows.column("n").to_numpy().astype(np.int64),
-                     np.where(shared, UNKNOWN, -1), np.full(len(items.dictionary), UNKNOWN))
+        u, i = users.indices.to_numpy(), items.indices.to_numpy()
+        total_u, total_i = np.empty(len(users.dictionary), np.int64), np.empty(len(items.dictionary), np.int64)
+        total_u[u], total_i[i] = (rows.column(name).to_numpy() for name in ("total_u", "total_i"))
+        return _Part(users.dictionary, items.dictionary, u, i, rows.column("n").to_numpy(), total_u, total_i)
+
+    def row(self, number: int) -> pa.Table:
+        ends = [pa.array([np.ascontiguousarray(a, np.int32).tobytes()]) for a in (self.u, self.i)]
+        counts = [pa.array([np.ascontiguousarray(a, np.int64).tobytes()]) for a in (self.n, self.total_u, self.total_i)]
+        columns = [pa.array([number], pa.int32()), _one(self.users), _one(self.items), *ends, *counts]
+        return pa.table(columns, ["part", "users", "items", "u", "i", "n", "total_u", "total_i"])
 
     @staticmethod
     def stored(row: pa.Table) -> _Part:
         lists = [row.column(name).combine_chunks().flatten() for name in ("users", "items")]
-        arrays = [np.frombuffer(row.column(name)[0].as_py(), np.int64) for name in ("u", "i", "n", "total_u", "total_i")]
-        return _Part(*lists, *[a.copy() for a in arrays])
-
-    def told(self, messages: pa.Table) -> None:
-        """Totals at this exchange: the first message of a node states all its rows, later ones what it lost."""
-        for name, keys, total in (("of_user", self.users, self.total_u), ("of_item", self.items, self.total_i)):
-            own = messages.filter(pc.is_valid(messages.column(name)))
-            if not own.num_rows:
-                continue
-            at = pc.index_in(own.column(name).combine_chunks(), value_set=keys).to_numpy(zero_copy_only=False)
-            known = ~np.isnan(at.astype(float))
-            at, rows = at[known].astype(np.int64), own.column("total").to_numpy()[known]
-            total[at] = np.where(total[at] == UNKNOWN, rows, total[at] - rows)
-
-    def peel(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Remove what cannot stay; rows lost by each user and item."""
+        ends = [np.frombuffer(row.column(name)[0].as_py(), np.int32).astype(np.int64) for name in ("u", "i")]
+        return _Part(*lists, *ends, *[np.frombuffer(row.column(name)[0].as_py(), np.int64) for name in ("n", "total_u", "total_i")])
+
+    def places(self, messages: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Users and items that the messages name."""
+        found = []
+        for name, keys in (("of_user", self.users), ("of_item", self.items)):
+            named = messages.column(name).combine_chunks().drop_null()
+            found.append(pc.index_in(named, value_set=keys).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
+        return tuple(found)
+
+    def peel(self, k: int, told: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Remove what cannot stay after each set of users and items said to be out. Rows that users and items lost before
+        the last set, rows that they lost in all, and the edges that are gone."""
         lost = [np.zeros(len(self.users), np.int64), np.zeros(len(self.items), np.int64)]
-        ends, totals = (self.u, self.i), (self.total_u, self.total_i)
+        ends, before = (self.u, self.i), lost
         held = [np.bincount(e, self.n, len(x)).astype(np.int64) for e, x in zip(ends, lost)]
-        totals = [np.where(t < 0, h, t) for t, h in zip(totals, held)]
+        totals = [np.where(t < 0, h, t) for t, h in zip((self.total_u, self.total_i), held)]
         order = [np.argsort(e, kind="stable") for e in ends]
         first = [np.concatenate([[0], np.cumsum(np.bincount(e, minlength=len(x)))]) for e, x in zip(ends, lost)]
         gone = np.zeros(len(self.u), bool)
         out = [np.zeros(len(x), bool) for x in lost]
-        falling = [np.flatnonzero(t < k) for t in totals]
-        while len(falling[0]) + len(falling[1]):
-            edges = []
-            for side in (0, 1):
-                out[side][falling[side]] = True
-                starts = first[side][falling[side]]
-                counts = first[side][falling[side] + 1] - starts
-                inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                edges.append(order[side][np.repeat(starts, counts) + inside])
-            edges = np.unique(np.concatenate(edges))
-            edges = edges[~gone[edges]]
-            gone[edges] = True
-            for side in (0, 1):
-                ends_here = ends[side][edges]
-                np.add.at(lost[side], ends_here, self.n[edges])
-                touched = np.unique(ends_here)
-                falling[side] = touched[(totals[side][touched] - lost[side][touched] < k) & ~out[side][touched]]
-        stay = ~gone
-        self.u, self.i, self.n = self.u[stay], self.i[stay], self.n[stay]
-        # Nodes whose totals say that they are out are known to be so everywhere.
-        return tuple(np.where(t >= k, x, 0) for t, x in zip(totals, lost))
-
-    def compact(self) -> None:
-        """Forget nodes that have no rows here."""
-        used_u, self.u = np.unique(self.u, return_inverse=True)
-        used_i, self.i = np.unique(self.i, return_inverse=True)
-        self.users, self.items = self.users.take(pa.array(used_u)), self.items.take(pa.array(used_i))
-        self.total_u, self.total_i = self.total_u[used_u], self.total_i[used_i]
-
-
-def _reports(part: _Part, lost: tuple[np.ndarray, np.ndarray], held: bool) -> list[tuple[pa.Array, pa.Array, np.ndarray]]:
-    """(users, items, rows) to report: what shared nodes lost or, the first time, what they hold."""
-    reports = []
-    for side, (keys, ends, total) in enumerate(((part.users, part.u, part.total_u), (part.items, part.i, part.total_i))):
-        rows = np.bincount(ends, part.n, len(keys)).astype(np.int64) if held else lost[side]
-        at = np.flatnonzero((rows > 0) & (total >= 0))
-        own = keys.take(pa.array(at))
-        other = pa.nulls(len(at), (part.items, part.users)[side].type)
-        reports.append((own, other, rows[at]) if side == 0 else (other, own, rows[at]))
-    return reports
+        weak = [np.flatnonzero(t < k) for t in totals]
+        for nodes in told:
+            before = [x.copy() for x in lost]
+            falling = [np.union1d(w, x) for w, x in zip(weak, nodes)]
+            falling = [f[~o[f]] for f, o in zip(falling, out)]
+            while len(falling[0]) + len(falling[1]):
+                edges = []
+                for side in (0, 1):
+                    out[side][falling[side]] = True
+                    starts = first[side][falling[side]]
+                    counts = first[side][falling[side] + 1] - starts
+                    inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    edges.append(order[side][np.repeat(starts, counts) + inside])
+                edges = np.unique(np.concatenate(edges))
+                edges = edges[~gone[edges]]
+                gone[edges] = True
+                for side in (0, 1):
+                    ends_here = ends[side][edges]
+                    np.add.at(lost[side], ends_here, self.n[edges])
+                    touched = np.unique(ends_here)
+                    falling[side] = touched[(totals[side][touched] - lost[side][touched] < k) & ~out[side][touched]]
+        return before, lost, gone
 
 
 def peeled(edges: DataFrame, k: int, user: str, item: str, hot: DataFrame | None, part_pairs: int = PART_PAIRS):
     """The users and the items of the k-core of `edges`, each once, and the trace (exchange, rows left, seconds).
 
     Equal edges are counted map-side. `hot` lists the hashes of users to be dealt out by item, see `ranking.find_hot`. A
-    message is a row per node and part that holds it; nothing passes through the driver but the number of rows.
+    message is a row per node that is out and part that holds it; nothing passes through the driver but the number of rows.
     """
-    began = time.perf_counter()
+    began, spark = time.perf_counter(), edges.sparkSession
     seen = Observation()
     pairs = edges.groupBy(F.col(user).alias("user"), F.col(item).alias("item")).agg(F.count(F.lit(1)).alias("n"))
     pairs = counted = cut_lineage(pairs.observe(seen, F.count(F.lit(1)).alias("pairs")))
     parts = max(1, -(-seen.get["pairs"] // part_pairs))
+    # Stored, so that the joins know their size and adaptive execution can split the partitions of hot keys.
+    totals = cut_lineage(pairs.groupBy("item").agg(F.sum("n").alias("total_i")))
+    pairs, shared_totals = pairs.join(totals, "item"), None
     if hot is None:
-        shared = F.lit(False)
+        pairs = pairs.withColumn("total_u", F.lit(-1).cast("bigint"))
     else:
-        pairs = pairs.join(F.broadcast(hot), F.xxhash64("user") == F.col("_hot"), "left")
-        shared = F.col("_hot").isNotNull()
-    part = F.when(shared, F.pmod(F.xxhash64("user", "item"), F.lit(parts))).otherwise(F.pmod(F.xxhash64("user"), F.lit(parts)))
-    dealt = pairs.select(part.cast("int").alias("part"), "user", "item", "n", shared.alias("shared"))
+        shared = counted.join(F.broadcast(hot), F.xxhash64("user") == F.col("_hot"), "left_semi")
+        shared_totals = cut_lineage(shared.groupBy("user").agg(F.sum("n").alias("total_u")))
+        pairs = pairs.join(shared_totals, "user", "left").fillna(-1, ["total_u"])
+    by_pair, by_user = (F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int") for key in (["user", "item"], ["user"]))
+    part = F.when(F.col("total_u") >= 0, by_pair).otherwise(by_user)
+    dealt = pairs.select(part.alias("part"), "user", "item", "n", "total_u", "total_i")
     types = dict(pairs.dtypes)
-    schema = (
-        f"part int, left_rows long, users array<{types['user']}>, items array<{types['item']}>, u binary, i binary, n binary, "
-        f"total_u binary, total_i binary, user {types['user']}, item {types['item']}, rows long"
+    node = f"user {types['user']}, item {types['item']}"
+    state_schema = (
+        f"part int, users array<{types['user']}>, items array<{types['item']}>, u binary, i binary, n binary, total_u binary, "
+        "total_i binary"
     )
-    names = [piece.split(" ")[0] for piece in schema.split(", ")]
-
-    def result(number: int, part: _Part, lost, held: bool) -> pa.Table:
-        reports = _reports(part, lost, held)
-        part.compact()
-        blobs = [np.ascontiguousarray(a, np.int64).tobytes() for a in (part.u, part.i, part.n, part.total_u, part.total_i)]
-        kinds = [pa.list_(part.users.type), pa.list_(part.items.type)]
-        state = [
-            pa.array([number], pa.int32()), pa.array([int(part.n.sum())]), *[_one(keys) for keys in (part.users, part.items)],
-            *[pa.array([blob]) for blob in blobs], pa.nulls(1, part.users.type), pa.nulls(1, part.items.type), pa.nulls(1, pa.int64()),
-        ]
-        tables = [pa.table(state, names)]
-        for users, items, rows in reports:
-            size = len(rows)
-            empty = [pa.nulls(size, kind) for kind in (pa.int64(), *kinds, *[pa.binary()] * 5)]
-            tables.append(pa.table([pa.array([number] * size, pa.int32()), *empty, users, items, pa.array(rows)], names))
-        return pa.concat_tables(tables)
-
-    def begin(rows: pa.Table) -> pa.Table:
-        own = _Part.first(rows)
-        lost = own.peel(k)
-        return result(rows.column("part")[0].as_py(), own, lost, True)
-
-    def step(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = _Part.stored(left)
-        own.told(right)
-        lost = own.peel(k)
-        return result(left.column("part")[0].as_py(), own, lost, False)
-
-    state, left, reports = _stored(dealt.groupBy("part").applyInArrow(begin, schema))
-    drop_stored(counted)
-    holders = state.filter("users is null").select(F.col("part").alias("to"), F.col("user").alias("of_user"), F.col("item").alias("of_item"))
-    first, trace = state, []
+
+    def pack(rows: pa.Table) -> pa.Table:
+        return _Part.first(rows).row(rows.column("part")[0].as_py())
+
+    name = _laid_out(dealt.groupBy("part").applyInArrow(pack, state_schema), parts)
+    for table in (counted, shared_totals):
+        if table is not None:
+            drop_stored(table)
+    state = spark.table(name)
+    told = [spark.createDataFrame([], f"to int, of_{node.replace(', ', ', of_')}, at int")]
+
+    def step(at: int):
+        def report(left: pa.Table, right: pa.Table) -> pa.Table:
+            own = _Part.stored(left)
+            new = pc.equal(right.column("at"), at)
+            known = own.places(right.filter(pc.invert(new))), own.places(right.filter(new))
+            before, lost, gone = own.peel(k, known)
+            number, kinds = left.column("part")[0].as_py(), (own.users.type, own.items.type)
+            rows = [pa.table([[number], [int(own.n[~gone].sum())], *[pa.nulls(1, kind) for kind in kinds], *[pa.nulls(1, pa.int64())] * 2],
+                             _REPORT)]
+            for side, (keys, total) in enumerate(((own.users, own.total_u), (own.items, own.total_i))):
+                # The first report names all nodes that others may hold too, so that it says who holds them.
+                wanted = total >= 0
+                if at:
+                    wanted &= lost[side] > before[side]
+                    wanted[np.concatenate([known[0][side], known[1][side]])] = False
+                    lost[side] = lost[side] - before[side]
+                places = np.flatnonzero(wanted)
+                nodes = [pa.nulls(len(places), kind) for kind in kinds]
+                nodes[side] = keys.take(pa.array(places))
+                rows.append(pa.table([[number] * len(places), pa.nulls(len(places), pa.int64()), *nodes, lost[side][places], total[places]],
+                                     _REPORT))
+            kind = pa.schema([("part", pa.int32()), ("left_rows", pa.int64()), ("user", kinds[0]), ("item", kinds[1]),
+                              ("lost", pa.int64()), ("total", pa.int64())])
+            return pa.concat_tables([table.cast(kind) for table in rows])
+
+        return report
+
+    schema = f"part int, left_rows long, {node}, lost long, total long"
+    ledger = holders = None
+    trace: list[tuple[int, int, float]] = []
     while True:
-        reported = state.filter("users is null").groupBy("user", "item").agg(F.sum("rows").alias("rows"))
-        trace.append((len(trace) + 1, left, time.perf_counter() - began))
+        at = len(trace)
+        messages = union_all(told).groupBy("to")
+        # With as many partitions as buckets, Spark exchanges the messages and leaves the parts where they are.
+        with conf_scope(spark, spark__sql__shuffle__partitions=parts):
+            reports, left = _stored(state.groupBy("part").cogroup(messages).applyInArrow(step(at), schema))
+        if holders is None:
+            holders = reports.filter("lost is not null").select(
+                F.col("part").alias("to"), F.col("user").alias("of_user"), F.col("item").alias("of_item")
+            )
+        trace.append((at + 1, left, time.perf_counter() - began))
         began = time.perf_counter()
-        if not reports:
+        losses = reports.filter("lost > 0").select("user", "item", "lost", "total", F.lit(None).cast("int").alias("out"))
+        sums = union_all([losses] if ledger is None else [ledger, losses]).groupBy("user", "item").agg(
+            F.sum("lost").alias("lost"), F.max("total").alias("total"), F.min("out").alias("out")
+        )
+        out = F.coalesce("out", F.when(F.col("total") - F.col("lost") < k, F.lit(at + 1)))
+        before, ledger = ledger, cut_lineage(sums.withColumn("out", out))
+        for table in (before, reports if at else None):
+            if table is not None:
+                drop_stored(table)
+        dead = cut_lineage(ledger.filter(F.col("out") == at + 1).select("user", "item"))
+        if dead.isEmpty():
             break
         same = F.col("user").eqNullSafe(F.col("of_user")) & F.col("item").eqNullSafe(F.col("of_item"))
-        messages = holders.join(reported, same).select("to", "of_user", "of_item", F.col("rows").alias("total"))
-        parts_now = state.filter("users is not null")
-        new, left, reports = _stored(parts_now.groupBy("part").cogroup(messages.groupBy("to")).applyInArrow(step, schema))
-        if state is not first:
-            drop_stored(state)
-        state = new
-    survivors = state.filter("users is not null")
-    users = cut_lineage(survivors.select(F.explode("users").alias(user)).distinct())
-    items = cut_lineage(survivors.select(F.explode("items").alias(item)).distinct())
+        told.append(cut_lineage(holders.join(dead, same).select("to", "of_user", "of_item", F.lit(at + 1).alias("at"))))
+        drop_stored(dead)
+
+    def staying(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = _Part.stored(left)
+        _, _, gone = own.peel(k, [own.places(right)])
+        return pa.table([own.users.take(pa.array(np.unique(own.u[~gone])))], [user])
+
+    found = state.groupBy("part").cogroup(union_all(told).groupBy("to")).applyInArrow(staying, f"`{user}` {types['user']}")
+    with conf_scope(spark, spark__sql__shuffle__partitions=parts):
+        users = cut_lineage(found if hot is None else found.distinct())
+    gone = ledger.filter("item is not null and out is not null").select("item")
+    items = cut_lineage(totals.join(gone, "item", "left_anti").select(F.col("item").alias(item)))
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
     return users, items, trace
 
 
-def _stored(states: DataFrame) -> tuple[DataFrame, int, int]:
-    """The parts' new states and reports, stored; the rows left and the number of reports, counted by the same pass."""
+_REPORT = ["part", "left_rows", "user", "item", "lost", "total"]
+
+
+def _laid_out(states: DataFrame, parts: int) -> str:
+    """Name of a table that holds the parts in as many buckets, so that an exchange moves the messages alone."""
+    spark, name = states.sparkSession, f"seqloom_{uuid.uuid4().hex}"
+    with conf_scope(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        states.write.bucketBy(parts, "part").option("path", scratch_path(spark)).saveAsTable(name)
+    return name
+
+
+def _stored(reports: DataFrame) -> tuple[DataFrame, int]:
+    """The parts' reports, stored, and the rows left, counted by the same pass."""
     seen = Observation()
-    left = F.coalesce(F.sum("left_rows"), F.lit(0)).alias("left")
-    stored = cut_lineage(states.observe(seen, left, F.count("rows").alias("reports")))
-    return stored, seen.get["left"], seen.get["reports"]
+    stored = cut_lineage(reports.observe(seen, F.coalesce(F.sum("left_rows"), F.lit(0)).alias("left")))
+    return stored, seen.get["left"]
 
 
 def _one(keys: pa.Array) -> pa.Array:

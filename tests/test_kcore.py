@@ -163,6 +163,20 @@ def test_peeling_follows_a_chain_inside_a_part_without_exchanges(spark):
     assert core.rows.isEmpty() and len(core.trace) <= 3
 
 
+@pytest.mark.parametrize("hot_rows", [1_000_000, 12])
+def test_peeling_exchanges_messages_and_leaves_the_parts(spark, monkeypatch, hot_rows):
+    """Losses and the nodes that go are exchanged; the parts are stored once, and a node's holders are told once."""
+    plans, stored = [], peel._stored
+    monkeypatch.setattr(peel, "_stored", lambda df: (plans.append(physical_plan(df)), stored(df))[1])
+    monkeypatch.setattr(kcore_module, "peeled", lambda *args: peel.peeled(*args, part_pairs=30))
+    rows = random_rows(4, 500)
+    kept, _, _ = plain_kcore(rows, 4, 200)
+    core = kcore(frame(spark, rows), 4, strategy="peel", hot_rows=hot_rows)
+    assert as_counter(core.rows) == Counter(kept) and len(plans) == len(core.trace) > 2
+    assert all("hashpartitioning(to" in plan and "hashpartitioning(part" not in plan for plan in plans)
+    core.release()
+
+
 def test_peeling_keeps_texts_nulls_and_other_columns(spark):
     rows = [("ä", "x", 1.5)] * 3 + [("b", "x", None)] * 3 + [(None, "x", 0.0)] * 9 + [("b", None, 0.0)] * 9 + [("c", "y", 2.0)]
     df = spark.createDataFrame(rows, "user_id STRING, parent_asin STRING, part DOUBLE")
