@@ -5,11 +5,12 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.columns import percent, ratio
+from seqloom.functions.columns import percent, ratio, value_bytes
 from seqloom.operators.clean import require_keys
+from seqloom.operators.enrich import payload_bytes
 from seqloom.operators.peel import peeled
 from seqloom.operators.ranking import HOT_GROUP_ROWS, find_hot, split_hot, store_with_hot
 from seqloom.plans.inspect import exchange_count
@@ -23,6 +24,8 @@ STRATEGIES = ("delta", "table", "persist", "recompute")
 STORING = ("delta", "table", "peel")
 # While losses are followed, the edge table is rewritten once fewer than this share of its rows is left.
 REWRITE_SHARE = 0.5
+# Keys that a join broadcasts, in bytes of their values: two million numbers, some 100 MB as a hash table.
+KEYS_LIMIT_BYTES = 16 * 1024 * 1024
 
 
 @dataclass
@@ -73,6 +76,9 @@ def kcore(
     follows only the keys that the previous removals touched, so that a round with few removals is two scans without a
     shuffle of edges; `peel` runs many rounds in one, see `operators.peel`: its trace lists exchanges instead of rounds,
     always to the fixpoint, so it takes no round limit.
+
+    With keys of more than `hot_rows` rows, a round moves counts and the keys that go, not the rows; `table` then counts
+    all rows once and their losses in each round.
     """
     if strategy not in (*STRATEGIES, "peel"):
         raise ValueError(f"strategy must be peel or one of {STRATEGIES}, not {strategy!r}")
@@ -103,17 +109,20 @@ def _kcore(
     trace: list[tuple[int, int, float]] = []
     cached: list[DataFrame] = []
     stored: DataFrame | None = None
-    losses: _Losses | None = None
     previous, converged = None, False
     whole, many_reads = edges, any(table is not None for table in hot.values())
+    rewriting = strategy == "table" and many_reads
+    losses = _Losses(edges, k, hot) if rewriting else None
     while max_rounds is None or len(trace) < max_rounds:
         started = time.perf_counter()
-        if losses is not None and losses.rows < REWRITE_SHARE * losses.stored_rows:
+        if strategy == "delta" and losses is not None and losses.rows < REWRITE_SHARE * losses.stored_rows:
             stored, edges, losses = losses.edges, losses.remaining(), None
         elif losses is None and strategy == "delta" and previous:
-            losses = _Losses(edges, previous, k, user, item)
+            losses = _Losses(edges, k, hot)
         if losses is not None:
             rows = losses.advance()
+            if rewriting and rows != previous:
+                losses.rewrite()
         else:
             if strategy == "recompute" and many_reads:
                 edges = _replayed(whole, len(trace), k, hot)
@@ -137,6 +146,8 @@ def _kcore(
             converged = True
             break
         previous = rows
+    if rewriting:
+        return KCore(losses.among_remaining(df), trace, converged)
     if losses is not None:
         users, items = losses.survivors()
     else:
@@ -152,20 +163,20 @@ def _between(df: DataFrame, users: DataFrame, items: DataFrame, user: str, item:
 
 def _full_round(edges: DataFrame, k: int, hot: dict[str, DataFrame | None]) -> DataFrame:
     """One round. Without hot keys it reads `edges` once, so the plan of n rounds on top of each other has n rounds; a join of
-    the edges with their own counts would double it with every key."""
+    the edges with their own counts would double it with every key. With hot keys the rows stay where they are."""
+    if any(table is not None for table in hot.values()):
+        losses = _Losses(edges, k, hot)
+        losses.advance()
+        return losses.remaining()
     for key in hot:
-        if hot[key] is None:
-            rows = F.count(F.lit(1)).over(Window.partitionBy(key))
-            edges = edges.withColumn("_rows", rows).filter(F.col("_rows") >= k).drop("_rows")
-            continue
-        enough = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= k).select(key)
-        edges = _among(edges, enough, key, hot[key])
+        rows = F.count(F.lit(1)).over(Window.partitionBy(key))
+        edges = edges.withColumn("_rows", rows).filter(F.col("_rows") >= k).drop("_rows")
     return edges
 
 
 def _replayed(edges: DataFrame, rounds: int, k: int, hot: dict[str, DataFrame | None]) -> DataFrame:
     """`edges` after some rounds, all of them run now. A round with hot keys reads its input several times, so each is stored
-    until the next has run; a plan of n such rounds would read the edges 9^n times."""
+    until the next has run."""
     for n in range(rounds):
         before, edges = edges, cut_lineage(_full_round(edges, k, hot))
         if n:
@@ -173,65 +184,117 @@ def _replayed(edges: DataFrame, rounds: int, k: int, hot: dict[str, DataFrame |
     return edges
 
 
-def _among(edges: DataFrame, enough: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """Rows whose key is in `enough`.
+def _among(
+    rows: DataFrame, keys: DataFrame, key: str, hot: DataFrame | None, how: str = "left_semi", size: int | None = None
+) -> DataFrame:
+    """Rows whose key is in the stored table `keys` of `size` bytes, or with `left_anti` is not.
 
-    Adaptive execution cannot split a join partition whose other side is an aggregate, so rows of hot keys stay where
-    they are: the few hot keys that are in `enough` are broadcast.
+    Rows of hot keys stay where they are: `keys` is broadcast if it is small, else the few hot keys in it. Where even the hot
+    keys are too many for that, adaptive execution splits the partitions of the largest, as `keys` is no aggregate.
     """
     if hot is None:
-        return edges.join(enough, key, "left_semi")
-    ordinary, large = split_hot(edges, [key], hot)
-    ordinary_keys, large_keys = split_hot(enough, [key], hot)
-    shuffled = ordinary.join(ordinary_keys, key, "left_semi")
-    return shuffled.unionByName(large.join(F.broadcast(large_keys), key, "left_semi"))
+        return rows.join(keys, key, how)
+    if (payload_bytes(keys) if size is None else size) <= KEYS_LIMIT_BYTES:
+        return rows.join(F.broadcast(keys), key, how)
+    if payload_bytes(hot) > KEYS_LIMIT_BYTES:
+        return rows.join(keys, key, how)
+    ordinary, large = split_hot(rows, [key], hot)
+    ordinary_keys, large_keys = split_hot(keys, [key], hot)
+    return ordinary.join(ordinary_keys, key, how).unionByName(large.join(F.broadcast(large_keys), key, how))
+
+
+def _stored(df: DataFrame, measure: Column) -> tuple[DataFrame, int]:
+    """`df`, stored, and the sum of `measure` over its rows, taken by the same pass."""
+    seen = Observation()
+    stored = cut_lineage(df.observe(seen, F.coalesce(F.sum(measure), F.lit(0)).alias("measure")))
+    return stored, seen.get["measure"]
 
 
 class _Losses:
-    """Late rounds: the edge table stays, and small tables say which keys are gone and what the others have lost.
+    """Rounds that leave the rows where they are: small tables say which keys are gone and what the others have lost.
 
     A row counts as removed with the first of its ends to go, so no loss is counted twice.
     """
 
-    def __init__(self, edges: DataFrame, rows: int, k: int, user: str, item: str) -> None:
-        self.edges, self.rows, self.stored_rows, self.k = edges, rows, rows, k
-        self.user, self.item = user, item
-        self.degree = {
-            key: cut_lineage(edges.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))) for key in (user, item)
-        }
-        self.gone: dict[str, list[DataFrame]] = {user: [], item: []}
-        self.lost: dict[str, list[DataFrame]] = {user: [], item: []}
-        self.weak_users = cut_lineage(self.degree[user].filter(F.col("_rows") < k).select(user))
+    def __init__(self, edges: DataFrame, k: int, hot: dict[str, DataFrame | None]) -> None:
+        self.edges, self.k, self.hot = edges, k, hot
+        self.user, self.item = hot
+        self.degree = {}
+        for key in hot:
+            counts = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+            self.degree[key], self.rows = _stored(counts, F.col("_rows"))
+        self.stored_rows = self.rows
+        # Tables of the keys that are gone, with their sizes, and of the rows that keys have lost.
+        self.gone: dict[str, list[tuple[DataFrame, int]]] = {key: [] for key in hot}
+        self.lost: dict[str, list[DataFrame]] = {key: [] for key in hot}
+        # How many of the tables of gone keys are older than the edge table, which has no rows of those keys.
+        self.applied = dict.fromkeys(hot, 0)
+        self.weak_users = self._weak(self.user)
+        self.first = True
 
     def advance(self) -> int:
         """One round; returns the row count after it."""
-        if self.weak_users.isEmpty():
-            return self.rows
-        weak_items = self._remove(self.user, self.weak_users, self.item)
-        self.weak_users = self._remove(self.item, weak_items, self.user)
+        touched = self._remove(self.user, self.weak_users, self.item)
+        # Before the first removals an item can be too weak without a loss.
+        weak_items = self._weak(self.item) if self.first else self._weak(self.item, touched) if touched else None
+        self.first = False
+        touched = self._remove(self.item, weak_items, self.user)
+        self.weak_users = self._weak(self.user, touched) if touched else None
         return self.rows
 
-    def _remove(self, key: str, weak: DataFrame, other: str) -> DataFrame:
-        """Remove the `weak` keys with their rows; returns the keys of the other side that fall below k."""
-        removed = self._without_gone(self.edges.join(weak, key, "left_semi"), other)
-        lost = cut_lineage(removed.groupBy(other).agg(F.count(F.lit(1)).alias("_lost")))
-        self.rows -= lost.agg(F.coalesce(F.sum("_lost"), F.lit(0))).first()[0]
+    def _remove(self, key: str, weak: tuple[DataFrame, int] | None, other: str) -> DataFrame | None:
+        """Remove the `weak` keys with their rows; returns the keys of the other side that lose rows."""
+        if weak is None:
+            return None
+        keys, size = weak
+        removed = self._without_gone(_among(self.edges, keys, key, self.hot[key], size=size), other)
+        lost, rows = _stored(removed.groupBy(other).agg(F.count(F.lit(1)).alias("_lost")), F.col("_lost"))
+        self.rows -= rows
         self.gone[key].append(weak)
         self.lost[other].append(lost)
-        touched = lost.select(other)
-        total = union_all(self.lost[other]).join(touched, other, "left_semi").groupBy(other).agg(F.sum("_lost").alias("_lost"))
-        below = self.degree[other].join(total, other).filter(F.col("_rows") - F.col("_lost") < self.k)
-        return cut_lineage(self._without_gone(below.select(other), other))
+        return lost.select(other)
+
+    def _weak(self, key: str, touched: DataFrame | None = None) -> tuple[DataFrame, int] | None:
+        """The keys that fall below k, of all or of those touched, and the size of that table; None if there are none."""
+        left = self.degree[key].withColumn("_lost", F.lit(0))
+        if self.lost[key]:
+            total = union_all(self.lost[key])
+            if touched is not None:
+                total = total.join(touched, key, "left_semi")
+            total = total.groupBy(key).agg(F.sum("_lost").alias("_lost"))
+            left = self.degree[key].join(total, key, "left" if touched is None else "inner").fillna(0, ["_lost"])
+        below = left.filter(F.col("_rows") - F.col("_lost") < self.k).select(key)
+        keys, size = _stored(below, value_bytes(below))
+        return (keys, size) if size else None
+
+    def _without(self, df: DataFrame, key: str, gone: list[tuple[DataFrame, int]]) -> DataFrame:
+        if not gone:
+            return df
+        size = sum(size for _, size in gone)
+        return _among(df, union_all([keys for keys, _ in gone]), key, self.hot[key], "left_anti", size)
 
     def _without_gone(self, df: DataFrame, key: str) -> DataFrame:
-        return df.join(union_all(self.gone[key]), key, "left_anti") if self.gone[key] else df
+        return self._without(df, key, self.gone[key][self.applied[key]:])
 
     def remaining(self) -> DataFrame:
         """The edges between keys that are still there."""
         return self._without_gone(self._without_gone(self.edges, self.user), self.item)
 
+    def rewrite(self) -> None:
+        """Write the edges that are left."""
+        before, self.edges = self.edges, cut_lineage(self.remaining())
+        self.applied = {key: len(gone) for key, gone in self.gone.items()}
+        drop_stored(before)
+
+    def among_remaining(self, df: DataFrame) -> DataFrame:
+        """Rows of `df`, the table that the edges came from, between keys that are still there."""
+        kept = require_keys(df, list(self.hot))
+        for key in self.hot:
+            kept = self._without(kept, key, self.gone[key])
+        return kept.select(*df.columns)
+
     def survivors(self) -> tuple[DataFrame, DataFrame]:
-        users, items = (self._without_gone(self.degree[key].select(key), key) for key in (self.user, self.item))
+        users, items = (self._without(self.degree[key].select(key), key, self.gone[key]) for key in self.hot)
         return users, items
 
 

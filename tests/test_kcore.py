@@ -204,6 +204,42 @@ def test_planned_rounds_with_hot_keys(spark, strategy):
     assert [entry[1] for entry in core.trace] == trace and as_counter(core.rows) == Counter(kept)
 
 
+def test_rounds_with_hot_keys_leave_the_rows_where_they_are(spark, monkeypatch):
+    """A round scans the edges and writes what is left; it neither exchanges the edges nor broadcasts the keys that stay."""
+    plans, stored = [], kcore_module.cut_lineage
+    monkeypatch.setattr(kcore_module, "cut_lineage", lambda df: (plans.append((set(df.columns), physical_plan(df))), stored(df))[1])
+    rows = random_rows(1)
+    kept, trace, _ = plain_kcore(rows, 4, 50)
+    core = kcore(frame(spark, rows), 4, strategy="table", hot_rows=5)
+    assert [entry[1] for entry in core.trace] == trace and as_counter(core.rows) == Counter(kept) and len(trace) > 2
+    edges = [plan for columns, plan in plans if columns == {"user_id", "parent_asin"}]
+    assert len(edges) == len(trace) - 1
+    assert not any("Exchange hashpartitioning" in plan or "Union" in plan or "LeftSemi" in plan for plan in edges)
+    assert "Exchange hashpartitioning" not in physical_plan(core.rows) and "LeftSemi" not in physical_plan(core.rows)
+    core.release()
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+@pytest.mark.parametrize("strategy", ["table", "delta", "peel"])
+def test_hot_keys_with_any_number_of_keys_to_remove(spark, monkeypatch, strategy, limit):
+    """Only the hot ones of many keys are broadcast, or none."""
+    monkeypatch.setattr(kcore_module, "KEYS_LIMIT_BYTES", limit)
+    block = [(u, i) for u in range(300, 312) for i in range(300, 312)]
+    rows = random_rows(6) + block + [(0, i) for i in range(400, 460)] + [(u, 0) for u in range(400, 460)]
+    kept, trace, _ = plain_kcore(rows, 4, 50)
+    core = kcore(frame(spark, rows + [(None, 300)] * 30 + [(300, None)] * 30), 4, strategy=strategy, hot_rows=25)
+    assert as_counter(core.rows) == Counter(kept) and core.rows.columns == ["user_id", "parent_asin"]
+    assert strategy == "peel" or [entry[1] for entry in core.trace] == trace
+    core.release()
+
+
+def test_items_that_are_too_weak_at_the_start_go_in_the_first_round(spark):
+    rows = [(u, i) for u in range(6) for i in range(6)] + [(0, 50), (1, 51)]
+    kept, trace, _ = plain_kcore(rows, 3)
+    core = kcore(frame(spark, rows), 3, strategy="table", hot_rows=6)
+    assert [entry[1] for entry in core.trace] == trace == [36, 36] and as_counter(core.rows) == Counter(kept)
+
+
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
         kcore(frame(spark, []), 2, strategy="magic")
