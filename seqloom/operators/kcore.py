@@ -247,15 +247,17 @@ class _Losses:
         if weak is None:
             return None
         keys, size = weak
+        self.gone[key].append(weak)
+        if not size:
+            return None
         removed = self._without_gone(_among(self.edges, keys, key, self.hot[key], size=size), other)
         lost, rows = _stored(removed.groupBy(other).agg(F.count(F.lit(1)).alias("_lost")), F.col("_lost"))
         self.rows -= rows
-        self.gone[key].append(weak)
         self.lost[other].append(lost)
         return lost.select(other)
 
-    def _weak(self, key: str, touched: DataFrame | None = None) -> tuple[DataFrame, int] | None:
-        """The keys that fall below k, of all or of those touched, and the size of that table; None if there are none."""
+    def _weak(self, key: str, touched: DataFrame | None = None) -> tuple[DataFrame, int]:
+        """The keys that fall below k, of all or of those touched, and the size of that table."""
         left = self.degree[key].withColumn("_lost", F.lit(0))
         if self.lost[key]:
             total = union_all(self.lost[key])
@@ -264,8 +266,7 @@ class _Losses:
             total = total.groupBy(key).agg(F.sum("_lost").alias("_lost"))
             left = self.degree[key].join(total, key, "left" if touched is None else "inner").fillna(0, ["_lost"])
         below = left.filter(F.col("_rows") - F.col("_lost") < self.k).select(key)
-        keys, size = _stored(below, value_bytes(below))
-        return (keys, size) if size else None
+        return _stored(below, value_bytes(below))
 
     def _without(self, df: DataFrame, key: str, gone: list[tuple[DataFrame, int]]) -> DataFrame:
         if not gone:
