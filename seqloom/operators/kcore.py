@@ -15,7 +15,7 @@ from seqloom.operators.peel import peeled
 from seqloom.operators.ranking import HOT_GROUP_ROWS, find_hot, split_hot, store_with_hot
 from seqloom.plans.inspect import exchange_count
 from seqloom.schemas import ITEM, USER
-from seqloom.session import StoredTables, cut_lineage, drop_stored
+from seqloom.session import StoredTables, conf_scope, cut_lineage, drop_stored
 from seqloom.sources.readers import union_all
 
 # Strategies that go round by round; `peel` is the other one.
@@ -26,6 +26,10 @@ STORING = ("delta", "table", "peel")
 REWRITE_SHARE = 0.5
 # Keys that a join broadcasts, in bytes of their values: two million numbers, some 100 MB as a hash table.
 KEYS_LIMIT_BYTES = 16 * 1024 * 1024
+# What a row of losses counts for under this limit, before its keys are known.
+LOSS_BYTES = 64
+# Rows of losses that an exchange of them has a partition for.
+TASK_ROWS = 100_000
 
 
 @dataclass
@@ -71,14 +75,14 @@ def kcore(
     table goes through the rounds; the wide rows are joined once at the end, and stored first if they take a shuffle.
 
     Strategies differ in what a round costs, never in its result:
-    `recompute` runs every earlier round again; `persist` caches each round and frees the one before; `table` writes
-    each round to the shared folder; `delta` does that in the first round, then leaves the edge table as it is and
-    follows only the keys that the previous removals touched, so that a round with few removals is two scans without a
-    shuffle of edges; `peel` runs many rounds in one, see `operators.peel`: its trace lists exchanges instead of rounds,
-    always to the fixpoint, so it takes no round limit.
-
-    With keys of more than `hot_rows` rows, a round moves counts and the keys that go, not the rows; `table` then counts
-    all rows once and their losses in each round.
+    `recompute` keeps nothing between rounds and runs every earlier round again; `persist` caches the edges that a round
+    leaves and frees those of the one before; `table` writes them to the shared folder. These three count all rows in the
+    first round and then what keys have lost; the rows stay where they are. `delta` writes the edges of the first round,
+    counted by windows, then leaves the edge table as it is and follows losses, so that a round with few removals is two
+    scans without a shuffle of edges; `peel` runs many rounds in one, see `operators.peel`: its trace lists exchanges
+    instead of rounds, always to the fixpoint, so it takes no round limit.
+
+    With keys of more than `hot_rows` rows, the first round of `delta` leaves the rows where they are, too.
     """
     if strategy not in (*STRATEGIES, "peel"):
         raise ValueError(f"strategy must be peel or one of {STRATEGIES}, not {strategy!r}")
@@ -107,52 +111,52 @@ def _kcore(
         users, items, trace = peeled(edges, k, user, item, hot[user])
         return KCore(_between(df, users, items, user, item, hot), trace, True)
     trace: list[tuple[int, int, float]] = []
-    cached: list[DataFrame] = []
-    stored: DataFrame | None = None
+    # The edges that the last round left, where a strategy keeps them, and the tables of the last replay.
+    kept: DataFrame | None = None
+    replay: StoredTables | None = None
     previous, converged = None, False
-    whole, many_reads = edges, any(table is not None for table in hot.values())
-    rewriting = strategy == "table" and many_reads
-    losses = _Losses(edges, k, hot) if rewriting else None
+    losses: _Losses | None = None
     while max_rounds is None or len(trace) < max_rounds:
         started = time.perf_counter()
         if strategy == "delta" and losses is not None and losses.rows < REWRITE_SHARE * losses.stored_rows:
-            stored, edges, losses = losses.edges, losses.remaining(), None
-        elif losses is None and strategy == "delta" and previous:
-            losses = _Losses(edges, k, hot)
-        if losses is not None:
+            kept, edges, losses = losses.edges, losses.remaining(), None
+        elif losses is None and (strategy != "delta" or previous):
+            losses = _Losses(edges, k, hot) if strategy != "recompute" else None
+        if strategy == "recompute":
+            if replay is not None:
+                replay.release()
+            losses, replay = _replayed(edges, len(trace) + 1, k, hot)
+            rows = losses.rows
+        elif losses is not None:
             rows = losses.advance()
-            if rewriting and rows != previous:
-                losses.rewrite()
+            if strategy == "table" and rows != previous:
+                before = losses.go_on_with(cut_lineage(losses.remaining()))
+                drop_stored(before)
+            elif strategy == "persist" and rows != previous:
+                before, kept = kept, losses.remaining().persist()
+                kept.count()
+                losses.go_on_with(kept)
+                if before is not None:
+                    before.unpersist()
         else:
-            if strategy == "recompute" and many_reads:
-                edges = _replayed(whole, len(trace), k, hot)
-            edges = _full_round(edges, k, hot)
-            if strategy == "persist" and many_reads:
-                edges = cut_lineage(edges)
-            if strategy in ("delta", "table"):
-                edges = cut_lineage(edges)
-                if stored is not None:
-                    drop_stored(stored)
-                stored = edges
-            elif strategy == "persist":
-                edges = edges.persist()
+            edges = cut_lineage(_full_round(edges, k, hot))
+            if kept is not None:
+                drop_stored(kept)
+            kept = edges
             rows = edges.count()
-            if strategy == "persist":
-                cached.append(edges)
-                if len(cached) > 1:
-                    cached.pop(0).unpersist()
         trace.append((len(trace) + 1, rows, time.perf_counter() - started))
         if rows == previous:
             converged = True
             break
         previous = rows
-    if rewriting:
+    cached = [kept] if strategy == "persist" and kept is not None else []
+    if strategy == "table" and losses is not None and any(table is not None for table in hot.values()):
         return KCore(losses.among_remaining(df), trace, converged)
-    if losses is not None:
-        users, items = losses.survivors()
-    else:
-        users, items = (edges.select(key).distinct() for key in (user, item))
-    return KCore(_between(df, cut_lineage(users), cut_lineage(items), user, item, hot), trace, converged, cached)
+    users, items = losses.survivors() if losses is not None else (edges.select(key).distinct() for key in (user, item))
+    users, items = cut_lineage(users), cut_lineage(items)
+    if replay is not None:
+        replay.release()
+    return KCore(_between(df, users, items, user, item, hot), trace, converged, cached)
 
 
 def _between(df: DataFrame, users: DataFrame, items: DataFrame, user: str, item: str, hot: dict) -> DataFrame:
@@ -174,14 +178,13 @@ def _full_round(edges: DataFrame, k: int, hot: dict[str, DataFrame | None]) -> D
     return edges
 
 
-def _replayed(edges: DataFrame, rounds: int, k: int, hot: dict[str, DataFrame | None]) -> DataFrame:
-    """`edges` after some rounds, all of them run now. A round with hot keys reads its input several times, so each is stored
-    until the next has run."""
-    for n in range(rounds):
-        before, edges = edges, cut_lineage(_full_round(edges, k, hot))
-        if n:
-            drop_stored(before)
-    return edges
+def _replayed(edges: DataFrame, rounds: int, k: int, hot: dict[str, DataFrame | None]) -> tuple[_Losses, StoredTables]:
+    """The state after so many rounds, all of them run now on `edges` from the first count on, and the tables it reads."""
+    with StoredTables(edges.sparkSession) as tables:
+        losses = _Losses(edges, k, hot)
+        for _ in range(rounds):
+            losses.advance()
+    return losses, tables
 
 
 def _among(
@@ -189,13 +192,16 @@ def _among(
 ) -> DataFrame:
     """Rows whose key is in the stored table `keys` of `size` bytes, or with `left_anti` is not.
 
-    Rows of hot keys stay where they are: `keys` is broadcast if it is small, else the few hot keys in it. Where even the hot
-    keys are too many for that, adaptive execution splits the partitions of the largest, as `keys` is no aggregate.
+    Rows stay where they are if `keys` is small and so broadcast; else those of hot keys do, by a broadcast of the few hot keys
+    in it. Where even the hot keys are too many for that, adaptive execution splits the partitions of the largest, as `keys` is
+    no aggregate.
     """
+    if size is None and hot is not None:
+        size = payload_bytes(keys)
+    if size is not None and size <= KEYS_LIMIT_BYTES:
+        return rows.join(F.broadcast(keys), key, how)
     if hot is None:
         return rows.join(keys, key, how)
-    if (payload_bytes(keys) if size is None else size) <= KEYS_LIMIT_BYTES:
-        return rows.join(F.broadcast(keys), key, how)
     if payload_bytes(hot) > KEYS_LIMIT_BYTES:
         return rows.join(keys, key, how)
     ordinary, large = split_hot(rows, [key], hot)
@@ -203,70 +209,71 @@ def _among(
     return ordinary.join(ordinary_keys, key, how).unionByName(large.join(F.broadcast(large_keys), key, how))
 
 
-def _stored(df: DataFrame, measure: Column) -> tuple[DataFrame, int]:
-    """`df`, stored, and the sum of `measure` over its rows, taken by the same pass."""
-    seen = Observation()
-    stored = cut_lineage(df.observe(seen, F.coalesce(F.sum(measure), F.lit(0)).alias("measure")))
-    return stored, seen.get["measure"]
-
-
 class _Losses:
-    """Rounds that leave the rows where they are: small tables say which keys are gone and what the others have lost.
+    """Rounds that leave the rows where they are: small tables say which keys are gone and what the others have left.
 
-    A row counts as removed with the first of its ends to go, so no loss is counted twice.
+    All rows are counted in the first round, and later only those that go. A row goes with the first of its ends, so no loss is
+    counted twice.
     """
 
     def __init__(self, edges: DataFrame, k: int, hot: dict[str, DataFrame | None]) -> None:
         self.edges, self.k, self.hot = edges, k, hot
         self.user, self.item = hot
-        self.degree = {}
-        for key in hot:
-            counts = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-            self.degree[key], self.rows = _stored(counts, F.col("_rows"))
-        self.stored_rows = self.rows
-        # Tables of the keys that are gone, with their sizes, and of the rows that keys have lost.
+        # Tables of the rows that keys have left: first of all keys, then of those that lost some. A key's least number holds.
+        self.left: dict[str, list[DataFrame]] = {key: [] for key in hot}
+        # The keys that the last of these tables shows to be too weak, with their size and their rows.
+        self.weak: dict[str, tuple[DataFrame, int, int] | None] = dict.fromkeys(hot)
+        # Tables of the keys that are gone, with their sizes.
         self.gone: dict[str, list[tuple[DataFrame, int]]] = {key: [] for key in hot}
-        self.lost: dict[str, list[DataFrame]] = {key: [] for key in hot}
         # How many of the tables of gone keys are older than the edge table, which has no rows of those keys.
         self.applied = dict.fromkeys(hot, 0)
-        self.weak_users = self._weak(self.user)
-        self.first = True
+        self.rows = self.stored_rows = self._note(self.user, self._counts(edges, self.user))
 
     def advance(self) -> int:
         """One round; returns the row count after it."""
-        touched = self._remove(self.user, self.weak_users, self.item)
-        # Before the first removals an item can be too weak without a loss.
-        weak_items = self._weak(self.item) if self.first else self._weak(self.item, touched) if touched else None
-        self.first = False
-        touched = self._remove(self.item, weak_items, self.user)
-        self.weak_users = self._weak(self.user, touched) if touched else None
+        self._remove(self.user)
+        if self.left[self.item]:
+            self._lose(self.item, self.user)
+        else:
+            self._note(self.item, self._counts(self.remaining(), self.item))
+        self._remove(self.item)
+        self._lose(self.user, self.item)
         return self.rows
 
-    def _remove(self, key: str, weak: tuple[DataFrame, int] | None, other: str) -> DataFrame | None:
-        """Remove the `weak` keys with their rows; returns the keys of the other side that lose rows."""
-        if weak is None:
-            return None
-        keys, size = weak
-        self.gone[key].append(weak)
-        if not size:
-            return None
-        removed = self._without_gone(_among(self.edges, keys, key, self.hot[key], size=size), other)
-        lost, rows = _stored(removed.groupBy(other).agg(F.count(F.lit(1)).alias("_lost")), F.col("_lost"))
-        self.rows -= rows
-        self.lost[other].append(lost)
-        return lost.select(other)
-
-    def _weak(self, key: str, touched: DataFrame | None = None) -> tuple[DataFrame, int]:
-        """The keys that fall below k, of all or of those touched, and the size of that table."""
-        left = self.degree[key].withColumn("_lost", F.lit(0))
-        if self.lost[key]:
-            total = union_all(self.lost[key])
-            if touched is not None:
-                total = total.join(touched, key, "left_semi")
-            total = total.groupBy(key).agg(F.sum("_lost").alias("_lost"))
-            left = self.degree[key].join(total, key, "left" if touched is None else "inner").fillna(0, ["_lost"])
-        below = left.filter(F.col("_rows") - F.col("_lost") < self.k).select(key)
-        return _stored(below, value_bytes(below))
+    def _counts(self, edges: DataFrame, key: str, name: str = "_left") -> DataFrame:
+        return edges.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
+    def _note(self, key: str, left: DataFrame) -> int:
+        """Store what keys have left; the same pass finds the weak ones and the sum over all, which is returned."""
+        weak, seen = F.col("_left") < self.k, Observation()
+        sums = {"total": F.col("_left"), "rows": F.when(weak, F.col("_left")), "size": F.when(weak, value_bytes(left.select(key)))}
+        stored = cut_lineage(left.observe(seen, *[F.coalesce(F.sum(sums[name]), F.lit(0)).alias(name) for name in sums]))
+        self.left[key].append(stored)
+        self.weak[key] = stored.filter(weak).select(key), seen.get["size"], seen.get["rows"]
+        return seen.get["total"]
+
+    def _remove(self, key: str) -> None:
+        """The weak keys go, with their rows."""
+        if self.weak[key]:
+            keys, size, rows = self.weak[key]
+            self.gone[key].append((keys, size))
+            self.rows -= rows
+
+    def _lose(self, key: str, other: str) -> None:
+        """Note what keys have left once the weak ones of the other side are gone."""
+        taken, self.weak[other], self.weak[key] = self.weak[other], None, None
+        if not taken or not taken[2]:
+            return
+        keys, size, rows = taken
+        removed = self._without_gone(_among(self.edges, keys, other, self.hot[other], size=size), key)
+        lost = self._counts(removed, key, "_lost")
+        if rows * LOSS_BYTES <= KEYS_LIMIT_BYTES:
+            lost = F.broadcast(lost)
+        left = union_all(self.left[key]).join(lost, key).groupBy(key)
+        # Few rows go after the first rounds; a map task opens a file for each partition of its exchange.
+        usual = int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        with conf_scope(self.edges.sparkSession, spark__sql__shuffle__partitions=min(usual, 1 + rows // TASK_ROWS)):
+            self._note(key, left.agg((F.min("_left") - F.max("_lost")).alias("_left")))
 
     def _without(self, df: DataFrame, key: str, gone: list[tuple[DataFrame, int]]) -> DataFrame:
         if not gone:
@@ -281,11 +288,11 @@ class _Losses:
         """The edges between keys that are still there."""
         return self._without_gone(self._without_gone(self.edges, self.user), self.item)
 
-    def rewrite(self) -> None:
-        """Write the edges that are left."""
-        before, self.edges = self.edges, cut_lineage(self.remaining())
+    def go_on_with(self, edges: DataFrame) -> DataFrame:
+        """Take a copy of the edges that are left as the edge table; returns the one before."""
+        before, self.edges = self.edges, edges
         self.applied = {key: len(gone) for key, gone in self.gone.items()}
-        drop_stored(before)
+        return before
 
     def among_remaining(self, df: DataFrame) -> DataFrame:
         """Rows of `df`, the table that the edges came from, between keys that are still there."""
@@ -295,7 +302,7 @@ class _Losses:
         return kept.select(*df.columns)
 
     def survivors(self) -> tuple[DataFrame, DataFrame]:
-        users, items = (self._without(self.degree[key].select(key), key, self.gone[key]) for key in self.hot)
+        users, items = (self._without(self.left[key][0].select(key), key, self.gone[key]) for key in self.hot)
         return users, items
 
 

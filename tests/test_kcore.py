@@ -240,6 +240,22 @@ def test_items_that_are_too_weak_at_the_start_go_in_the_first_round(spark):
     assert [entry[1] for entry in core.trace] == trace == [36, 36] and as_counter(core.rows) == Counter(kept)
 
 
+@pytest.mark.parametrize("strategy", ["table", "persist", "recompute"])
+def test_rounds_leave_the_rows_where_they_are_without_hot_keys(spark, monkeypatch, strategy):
+    """Only keys and counts are exchanged and stored, apart from the edges that `table` writes; `recompute` runs all rounds again."""
+    plans, rounds, stored, advance = [], [], kcore_module.cut_lineage, kcore_module._Losses.advance
+    monkeypatch.setattr(kcore_module, "cut_lineage", lambda df: (plans.append((set(df.columns), physical_plan(df))), stored(df))[1])
+    monkeypatch.setattr(kcore_module._Losses, "advance", lambda losses: (rounds.append(1), advance(losses))[1])
+    rows = random_rows(1)
+    kept, trace, _ = plain_kcore(rows, 4, 50)
+    core = kcore(frame(spark, rows + [(None, 3)] * 9 + [(3, None)] * 9).sortWithinPartitions("user_id"), 4, strategy=strategy)
+    assert [entry[1] for entry in core.trace] == trace and as_counter(core.rows) == Counter(kept) and len(trace) > 2
+    assert not any("Window" in plan for _, plan in plans)
+    edges = [plan for columns, plan in plans if columns == {"user_id", "parent_asin"} and "Exchange hashpartitioning" in plan]
+    assert len(edges) == 0 and len(rounds) == (len(trace) * (len(trace) + 1) // 2 if strategy == "recompute" else len(trace))
+    core.release()
+
+
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
         kcore(frame(spark, []), 2, strategy="magic")
