@@ -493,10 +493,11 @@ def sequences_read_back(spark, sf_dir):
 
 @query
 def examples_read_back(spark, sf_dir):
-    """Token examples written with one directory per split; one split is read."""
+    """Token examples written with one directory per split; one split is read. An example repeats most of the one before it, so
+    the files are compressed."""
     path = scratch_path(spark, "examples")
     steps = tk.token_steps(t.clean(spark, sf_dir), t.tokens_by_item(spark, sf_dir))
-    write_json(tk.examples(steps), path, partition_by="split")
+    write_json(tk.examples(steps), path, partition_by="split", compression="gzip")
     read = read_token_examples(spark, path, "valid")
     return as_text(read.withColumn("user_id", F.col("user_id").cast("bigint")))
 

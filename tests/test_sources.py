@@ -164,3 +164,33 @@ def test_partitioned_writes_make_few_files(spark, tmp_path):
         for value in ("v0", "v1", "v2"):
             files = [f for f in (tmp_path / name / f"split={value}").iterdir() if f.name.startswith("part-")]
             assert 1 <= len(files) <= 8
+
+
+def test_compressed_examples_take_little_disk_and_read_back_the_same(spark, tmp_path):
+    clean = spark.createDataFrame(
+        [(f"u{u}", f"i{u * 7 % 11 + i}", 10 * i) for u in range(40) for i in range(30)], "user_id STRING, parent_asin STRING, ts_ms BIGINT"
+    )
+    tokens = spark.createDataFrame([(f"i{i}", [i, 256 + i, 512, 768]) for i in range(50)], "parent_asin STRING, tokens ARRAY<INT>")
+    made = tk.examples(tk.token_steps(clean, tokens))
+    sizes = {}
+    for name, codec in (("plain", None), ("small", "gzip")):
+        wr.write_json(made, str(tmp_path / name), partition_by="split", compression=codec)
+        files = [f for f in (tmp_path / name).rglob("part-*")]
+        sizes[name] = sum(f.stat().st_size for f in files)
+        assert all(f.name.endswith(".json.gz") == bool(codec) for f in files)
+    assert sizes["small"] < sizes["plain"] / 4
+    for split in tk.SPLITS:
+        plain, small = (rd.read_token_examples(spark, str(tmp_path / name), split) for name in ("plain", "small"))
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, small.collect())) and plain.count() == 40 * (27 if split == "train" else 1)
+
+
+def test_the_query_keeps_its_examples_compressed(spark, monkeypatch):
+    from registry import queries
+
+    written = []
+    monkeypatch.setattr(queries, "write_json", lambda df, path, **how: (written.append(how), wr.write_json(df, path, **how)))
+    monkeypatch.setattr(queries.t, "clean", lambda *_: spark.createDataFrame([(1, n, n) for n in range(5)], "user_id BIGINT, parent_asin BIGINT, ts_ms BIGINT"))
+    monkeypatch.setattr(queries.t, "tokens_by_item", lambda *_: spark.createDataFrame([(n, [n, 256, 512, 768]) for n in range(5)], "parent_asin BIGINT, tokens ARRAY<INT>"))
+    rows = queries.examples_read_back(spark, "").collect()
+    assert written == [{"partition_by": "split", "compression": "gzip"}]
+    assert [(r["user_id"], r["t"], r["split"], r["tgt"]) for r in rows] == [(1, 3, "valid", "3 256 512 768")]
